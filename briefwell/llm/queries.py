@@ -46,6 +46,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .top_k import exact_top_k
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_decontaminate": op4_decontaminate,
     "op5_mix_sources": op5_mix_sources,
+    "op6_near_duplicates": op6_near_duplicates,
     "op8_top_k": op8_top_k,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
