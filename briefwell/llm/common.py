@@ -54,11 +54,11 @@ def crc_fold(doc_id: str | Column, folds: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, text_col: str, limit: int) -> DataFrame:
-    """(_id, _text, _label) of documents with one of at most ``limit`` labels: those whose id hashes lowest, so always the same.
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, text_col: str, limit: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(_id, _text, _label, and columns to keep) of documents with one of at most ``limit`` labels: those whose id hashes lowest, so always the same.
 
     Null labels are left out. The labels' bound makes them safe to broadcast, so no text is shuffled.
     """
     chosen = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("double").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(limit)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep).join(F.broadcast(chosen), "_id")

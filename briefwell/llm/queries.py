@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from .common import crc_fold, table
 
 
+def toxicity_categories() -> dict:
+    """Chain order: abuse in English, abuse in other languages, then any; the first two are told by the documents' lang, in training only."""
+    toxic, english = F.col("_label") == 1, F.col("lang") == "en"
+    return {"english": toxic & english, "other": toxic & ~english, "any": toxic}
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), toxicity_categories(), keep=("lang",))
+    return score_toxicity(docs, model)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,6 +89,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_url_filter": op3_url_filter,
     "op4_decontaminate": op4_decontaminate,
