@@ -105,3 +105,8 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, text_col: str = "text",
     packed = docs.withColumn("_stats", F.struct(*[stats[s].cast("double").alias(s) for s in used])) if used else docs
     scored = packed.withColumn("score", model.score({s: F.col("_stats")[s] for s in used}))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_stats")
+
+
+def keep_good(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score at or over the threshold, with their own columns only."""
+    return docs.filter(model.score({name: stat.cast("double") for name, stat in statistics(F.col(text_col)).items()}) >= threshold)

@@ -66,6 +66,12 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ctw import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .top_k import exact_top_k
 
@@ -88,6 +94,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -95,9 +107,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_mix_sources": op5_mix_sources,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_lm_scores": op7_lm_scores,
     "op8_top_k": op8_top_k,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
