@@ -1 +1 @@
-
+"""Streaming forms: windows, incremental feedback, source history kept by micro-batches."""
