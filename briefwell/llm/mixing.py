@@ -44,8 +44,9 @@ def target_sizes(sources: DataFrame, weights: tuple[float, ...], max_repeats: fl
 
 
 def unit_hash(columns: list[str], seed: int) -> Column:
-    """A number in [0, 1) from the hash of columns and a seed; the same on every run."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(1 << 53))
+    """A number in [0, 1) from the first 52 bits of an MD5 of the seed and the columns; the same on every run and engine."""
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repeats: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
