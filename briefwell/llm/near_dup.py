@@ -6,10 +6,12 @@
    in an order of the bucket's own, so pairs grow with the rows, whatever a bucket's size.
 3. Pairs are compared a batch of hash values at a time and dropped as soon as the posterior probability of a similarity
    at or over the threshold falls under the chosen miss probability.
-4. Survivors are verified on whole shingle sets, each class's most similar partners first; links are joined to
-   components. Then come the survivors that still lie between two components.
-5. Pairs that step 2 did not form are formed where they can matter: in buckets that hold more than one component, cut
-   into blocks, block against block, where both sides are compared in arrays and only survivors become rows.
+4. Each class's most similar surviving partners are verified on whole shingle sets; links are joined to components.
+5. What is left lies between components. Survivors of step 3, and buckets that hold more than one component (all their
+   pairs, compared in arrays), tell which components come near each other: such components form a region.
+6. A region's classes are brought together with their sets, cut into blocks, block against block: every pair between
+   two components that survives the comparison is verified there. A block gives a spanning forest of what it finds, so
+   rows grow with the classes, not with the pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from .common import materialize, small_batches
 
 HASHES, BAND_ROWS, BATCH = 128, 4, 32
 BANDS = HASHES // BAND_ROWS
-BLOCK = 64
+BLOCK = 256
 #: Partners of a class that are verified first.
 FIRST_PARTNERS = 3
 MAX_WORDS = 500_000
@@ -157,47 +159,152 @@ def candidate_pairs(members: DataFrame) -> DataFrame:
     return both.filter("node != first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
 
 
-def residual_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Surviving (a, b, equal) between components, from buckets of more than three classes that hold more than one component."""
+def _dealt(rows: DataFrame, run, schema: str) -> DataFrame:
+    """Run a function over the rows of each ``group``, which come together but never all at once to Python."""
+
+    def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            groups = np.asarray(held.column("group").combine_chunks())
+            cuts = np.flatnonzero(np.diff(groups)) + 1
+            for start, end in zip([0, *cuts], cuts):
+                yield run(held.slice(start, end - start))
+            if len(cuts):
+                held = held.slice(cuts[-1])
+        if held is not None and held.num_rows:
+            yield run(held)
+
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(whole_groups, schema)
+
+
+class Forest:
+    """Union-find over component ids; ``join`` tells whether two were apart."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def root(self, x):
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _columns(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    return [np.asarray(rows.column(c).combine_chunks()) for c in names]
+
+
+def bucket_edges(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """(a, b): components between which some pair of a common bucket survives, as a spanning forest of each block.
+
+    Only buckets of more than three classes (in smaller ones every pair was formed before) that hold more than one
+    component, block against block.
+    """
     least = least_matches(threshold, miss)
     kind = classes.schema["node"].dataType.simpleString()
     labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = labelled.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("m > 3 and low < high")
     open_ = labelled.join(mixed.select("bucket", "m"), "bucket").join(classes.select("node", "sig"), "node")
     n_blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
-    dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    dealt = dealt.withColumn("group", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).select("group", "own", "other", "node", "comp", "sig")
+    dealt = open_.withColumn("own", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    dealt = dealt.withColumn("group", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).select("group", "own", "comp", "sig")
 
-    def of_group(rows: pa.Table) -> pa.RecordBatch:
-        nodes, comps, own = (np.asarray(rows.column(c).combine_chunks()) for c in ("node", "comp", "own"))
+    def run(rows: pa.Table) -> pa.RecordBatch:
+        comps, own = _columns(rows, "comp", "own")
         sigs = _signatures(rows.column("sig"))
-        left, right = np.triu_indices(len(nodes), 1)
+        left, right = np.triu_indices(len(comps), 1)
         keep = comps[left] != comps[right]
         if len(np.unique(own)) > 1:
             keep &= own[left] != own[right]  # pairs inside a block are those of the block's own group
         left, right = left[keep], right[keep]
-        alive, equal = matches(sigs[left], sigs[right], least)
-        x, y = nodes[left[alive]], nodes[right[alive]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(equal)], ["a", "b", "equal"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        alive, _ = matches(sigs[left], sigs[right], least)
+        x, y = comps[left[alive]], comps[right[alive]]
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+        forest = Forest()
+        kept = [k for k, (i, j) in enumerate(pairs.tolist()) if forest.join(i, j)]
+        return pa.RecordBatch.from_arrays([pa.array(pairs[kept, 0]), pa.array(pairs[kept, 1])], ["a", "b"])
+
+    return _dealt(dealt, run, f"a {kind}, b {kind}").distinct()
+
+
+def common_sizes(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of set pairs; many pairs are counted by a product of membership matrices, in pieces."""
+    if len(left) < 4 * len(sets):
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(left, right)], np.int64)
+    all_, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, n = np.unique(all_, return_inverse=True, return_counts=True)
+    shared = n[place] > 1
+    owner, (_, place) = owner[shared], np.unique(place[shared], return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+        a, b = np.searchsorted(place, [first, first + 4096])
+        held = np.zeros((len(sets), 4096), np.float32)
+        held[owner[a:b], place[a:b] - first] = 1
+        total += held @ held.T
+    return total[left, right].astype(np.int64)
+
+
+def region_links(comps: DataFrame, edges: DataFrame, classes: DataFrame, text_of: DataFrame, width: int, threshold: float, miss: float) -> DataFrame:
+    """Links (a, b) between components that ``edges`` join into regions, verified on whole sets; a spanning forest of each block.
+
+    Every class of a region comes with its set. The region's largest component is compared with the others, and those
+    among themselves, block against block.
+    """
+    least = least_matches(threshold, miss)
+    percent = round(threshold * 100)
+    kind = classes.schema["node"].dataType.simpleString()
+    regions = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("region"))
+    inside = comps.join(regions, "comp", "right").select("region", "comp", F.coalesce("node", "comp").alias("node"))
+    inside = materialize(inside, "regions")
+    sizes = inside.groupBy("region", "comp").agg(F.count("*").alias("m"))
+    whole = sizes.groupBy("region").agg(F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("top"))
+    blocks = whole.select("region", F.col("top.comp").alias("top"), F.ceil(F.col("top.m") / F.lit(BLOCK)).cast("int").alias("n_top"), F.ceil((F.col("all") - F.col("top.m")) / F.lit(BLOCK)).cast("int").alias("n_rest"))
+
+    def as_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            groups = np.asarray(held.column("group").combine_chunks())
-            cuts = np.flatnonzero(np.diff(groups)) + 1
-            for start, end in zip([0, *cuts], cuts):
-                yield of_group(held.slice(start, end - start))
-            if len(cuts):
-                held = held.slice(cuts[-1])
-        if held is not None and held.num_rows:
-            yield of_group(held)
+            sets = [shingle_hashes(t.as_py(), width).tobytes() for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
+
+    sets = text_of.join(inside.select("node"), "node", "left_semi").mapInArrow(as_set, f"node {kind}, set binary")
+    rows = inside.join(blocks, "region").join(classes.select("node", "sig"), "node").join(sets, "node")
+    in_top = F.col("comp") == F.col("top")
+    own = F.when(in_top, F.pmod(F.xxhash64("node"), F.col("n_top"))).otherwise(-1 - F.pmod(F.xxhash64("node"), F.col("n_rest"))).cast("int")
+    rest_blocks = F.transform(F.sequence(F.lit(1), F.col("n_rest")), lambda k: -k)
+    others = F.when(in_top, rest_blocks).otherwise(F.concat(rest_blocks, F.sequence(F.lit(0), F.col("n_top") - 1)))
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(others))
+    dealt = dealt.withColumn("group", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))).select("group", "own", "node", "comp", "sig", "set")
+
+    def run(rows: pa.Table) -> pa.RecordBatch:
+        nodes, comps, own = _columns(rows, "node", "comp", "own")
+        sigs = _signatures(rows.column("sig"))
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("set").to_pylist()]
+        left, right = np.triu_indices(len(nodes), 1)
+        keep = comps[left] != comps[right]
+        if len(np.unique(own)) > 1:
+            keep &= own[left] != own[right]
+        left, right = left[keep], right[keep]
+        alive, equal = matches(sigs[left], sigs[right], least)
+        order = np.argsort(-equal, kind="stable")
+        left, right = left[alive][order], right[alive][order]
+        both, size = common_sizes(sets, left, right), np.array([len(x) for x in sets], np.int64)
+        true = np.flatnonzero(100 * both >= percent * (size[left] + size[right] - both))
+        forest = Forest()
+        kept = [k for k in true if forest.join(comps[left[k]].item(), comps[right[k]].item())]
+        x, y = nodes[left[kept]], nodes[right[kept]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = dealt.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(run, f"a {kind}, b {kind}, equal int")
-    return found.distinct()
+    return _dealt(dealt, run, f"a {kind}, b {kind}")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -275,12 +382,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, mis
     links = materialize(verified(first, texts_for(first), width, threshold), "links")
     labels = materialize(components(links), "labels")
     small_batches(docs.sparkSession, 4096)
-    rest = survivors.unionByName(residual_pairs(members, classes, labels, threshold, miss)).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     of = lambda side: labels.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp"))
-    rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b"))
-    rest = materialize(rest.select("a", "b"), "rest-pairs")
+    apart = survivors.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).filter("a != b")
+    edges = materialize(apart.unionByName(bucket_edges(members, classes, labels, threshold, miss)).distinct(), "region-edges")
     small_batches(docs.sparkSession, 200)
-    more = verified(rest, texts_for(rest), width, threshold)
+    more = region_links(labels, edges, classes, text_of, width, threshold, miss)
     final = components(labels.filter("node != comp").select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more))
     reached = grouped.select("key", "node").join(final, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
     placed = sk.select("id", "n", "key").join(reached, "key", "left")
