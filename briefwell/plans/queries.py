@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
 from ..operators import dedup, events, history, ranking, recall, reports, routing, scoring
+from ..operators.stored import stored
 from ..streaming import windows
 from .adapters import ARTICLES_SQL, POLICY, articles, table
 
@@ -386,9 +387,9 @@ def stage_metrics(spark, d):
     return reports.stage_timings(table(spark, d, "events").withColumn("ms", F.floor("value")), "event_type", "ms")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.ref') AS ref, TRY_CAST(json_extract_string(props, '$.v') AS INTEGER) AS v FROM events", over="")
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS v FROM events", over="")
 def json_props(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.ref").alias("ref"), F.get_json_object("props", "$.v").try_cast("int").alias("v"))
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.k").try_cast("int").alias("v"))
 
 
 @query("""SELECT page_id, concat_ws(',', CASE WHEN NOT starts_with(trim(t), '<b>') THEN 'missing_or_wrong_header' END, CASE WHEN regexp_matches(t, '\\[[^\\]]+\\]\\(https?://[^)]+\\)') THEN 'markdown_links_present' END,
@@ -446,7 +447,8 @@ def routing_policy(spark, d):
 
 
 def judged(spark, d) -> DataFrame:
-    rows = routed(spark, d)
+    """Judged articles; the routed ones are written first, which cuts the nested rules into two plans."""
+    rows = stored(routed(spark, d).drop("content", "title", "url"), "routed")
     sure = routing.confidence(F.col("total_score"), F.col("content_available"), F.col("source_tier"))
     return routing.judge(rows.withColumn("confidence_label", sure).withColumn("event_cluster_size", (F.col("ord") % 3 + 1).cast("int")).withColumn("event_is_primary", F.col("ord") % 7 != 0))
 
@@ -526,3 +528,69 @@ def message_pieces(spark, d):
 def skip_reasons(spark, d):
     raw = F.when(F.col("event_type") == "error", "Old").when(F.col("event_type") == "click", " marketing ").when(F.col("event_type") == "view", "").when(F.col("event_type") == "signup", "duplicate").otherwise("strange")
     return table(spark, d, "events").groupBy(text.skip_reason(raw).alias("name")).agg(F.count("*").alias("n"))
+
+
+# --- selection and model output ------------------------------------------------------------------------------------
+
+
+@query(f"""+ {ROUTED_SQL}, {JUDGED_SQL}, k AS (SELECT * FROM j WHERE dec = 'include'), z AS (SELECT count(*) AS nk, count(*) FILTER (WHERE source_kind = 'official') AS o FROM k
+), g AS (SELECT k.*, mb >= CASE WHEN source_kind IN ('official', 'watchlist') THEN 50 WHEN source_kind = 'strong_media' THEN 54 WHEN source_kind = 'github' THEN 68 ELSE 60 END + CASE WHEN nk < 6 OR o = 0 THEN 4 ELSE 0 END AND ds >= 9 AS good, CASE WHEN nk >= 12 THEN 6 WHEN nk >= 6 THEN 5 ELSE 4 END AS most FROM k, z
+), p AS (SELECT * FROM g WHERE good OR NOT (SELECT coalesce(bool_or(good), false) FROM g)
+), s AS (SELECT ord FROM p WHERE source_kind = 'official' ORDER BY mb DESC, ord LIMIT 1
+), c AS (SELECT ord, row_number() OVER (ORDER BY CASE WHEN ord IN (SELECT ord FROM s) THEN 0 ELSE 1 END, mb DESC, ord) AS i, most FROM p)
+SELECT ord, mb::INTEGER AS main_brief_score, ord IN (SELECT ord FROM c WHERE i <= most) AS selected FROM k""")
+def main_brief_selection(spark, d):
+    from ..operators import selection
+
+    rows = judged(spark, d).filter("delivery_decision = 'include'").select("ord", "source_kind", "main_brief_score", "delivery_score")
+    return selection.select_main_brief(rows, [F.col("main_brief_score").desc(), F.col("ord")]).select("ord", "main_brief_score", "selected")
+
+
+@query("""SELECT event_id, CAST(40 + least(18, CAST(floor(log10(greatest(1, user_id * 37)) * 6) AS INTEGER)) + least(20, 3 * (event_id % 9)) + CASE WHEN event_type = 'purchase' THEN 10 ELSE 0 END + CASE WHEN event_id % 60 <= 3 THEN 14 WHEN event_id % 60 <= 14 THEN 8 WHEN event_id % 60 <= 45 THEN 3 ELSE 0 END AS BIGINT) AS rank FROM events""", over="")
+def repository_rank(spark, d):
+    from ..operators import selection
+
+    rank = selection.repo_rank(F.col("user_id") * 37, F.col("event_id") % 9, F.col("event_type") == "purchase", F.col("event_id") % 60)
+    return table(spark, d, "events").select("event_id", rank.cast("long").alias("rank"))
+
+
+SIGNALS = {"agents": ("the", "thand"), "funding": ("of a", "and th"), "policy": ("was",), "infrastructure": ("from", "with")}
+
+
+@query("""SELECT ord, array_to_string(CASE WHEN len(t) > 0 THEN t[1:3] ELSE ['general'] END, ',') AS tags FROM (SELECT ord, list_filter([CASE WHEN contains(k, ' the ') OR contains(k, ' thand ') THEN 'agents' END, CASE WHEN contains(k, 'of a') OR contains(k, 'and th') THEN 'funding' END, CASE WHEN contains(k, ' was ') THEN 'policy' END, CASE WHEN contains(k, ' from ') OR contains(k, ' with ') THEN 'infrastructure' END], lambda x: x IS NOT NULL) AS t
+FROM (SELECT ord, ' ' || regexp_replace(regexp_replace(strip_accents(lower(replace(title, 'ß', ''))), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', ' ', 'g') || ' ' AS k FROM a))""")
+def article_tags(spark, d):
+    from ..operators import selection
+
+    return articles(spark, d).select("ord", F.concat_ws(",", selection.signal_tags(F.col("title"), SIGNALS, F.lit("general"))).alias("tags"))
+
+
+@query("""SELECT event_id, 'valid_json' AS status, json_extract_string(props, '$.k') AS ref FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT event_id, 'repaired_json', json_extract_string(props, '$.k') FROM events WHERE event_id % 3 = 1 UNION ALL SELECT event_id, 'fallback', NULL FROM events WHERE event_id % 3 = 2""", over="")
+def model_json_repair(spark, d):
+    """Answers as models give them: plain, fenced and cut off, or prose."""
+    from ..functions import repair
+
+    k = F.col("event_id") % 3
+    raw = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("```json\n"), F.expr("substring(props, 1, length(props) - 1)"), F.lit(",}\n```"))).otherwise("No data today.")
+    rows = table(spark, d, "events").select("event_id", raw.alias("raw")).withColumn("parsed", repair.repair_json(F.col("raw")))
+    status = repair.json_status(F.col("raw"), F.col("parsed"), repair.missing_fields(F.col("parsed"), ["k"]))
+    return rows.select("event_id", status.alias("status"), F.get_json_object("parsed", "$.k").alias("ref"))
+
+
+@query("""SELECT user_id, CAST(sum(event_id % 5) AS BIGINT) AS calls, bool_or(event_type = 'error') AS failed, max_by(event_type, ts) AS last_status FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) AS k FROM events) GROUP BY user_id""", over="")
+def merge_observability(spark, d):
+    from ..operators import selection
+
+    rows = table(spark, d, "events").select("user_id", "ts", (F.col("event_id") % 5).alias("calls"), (F.col("event_type") == "error").alias("failed"), F.col("event_type").alias("last_status"))
+    return selection.merge_counters(rows, "user_id", ["calls"], ["failed"], ["last_status"], "ts")
+
+
+@query()
+def section_selection(spark, d):
+    """Per lane the best stories of fresh rows, filled from older ones."""
+    from ..operators import selection
+
+    rows = articles(spark, d).select("ord", "title", "total_score", "primary_type", "age_hours")
+    clustered = rows.join(events.event_clusters(rows, events.event_pairs(rows), best()), "ord")
+    return selection.select_sections(clustered.filter("age_hours <= 168"), clustered.filter("age_hours > 168"), "primary_type", best()).select("primary_type", "part", "place", "ord", "total_score")

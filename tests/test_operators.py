@@ -145,3 +145,13 @@ def test_message_chunks(spark):
     pieces = one(spark, text.message_chunks(F.lit(whole), 40))
     assert [len(p) for p in pieces] == [32, 30, 100, 5] and "\n\n".join(pieces) == whole
     assert one(spark, text.message_chunks(F.lit(None).cast("string"), 40)) == []
+
+
+@pytest.mark.parametrize("raw, fixed", [('{"a": 1}', {"a": 1}), ('```json\n{"a": [1, 2,],}\n```', {"a": [1, 2]}), ("{a: 'x', b: None, c: True", {"a": "x", "b": None, "c": True}), ("{“a”： 1｝", {"a": 1}), ('Sure: [{"a": "}"}] done', [{"a": "}"}]), ("no json", None), (None, None)])
+def test_json_repair(raw, fixed):
+    import json
+
+    from briefwell.functions.repair import repaired
+
+    got = repaired(raw)
+    assert (json.loads(got) if got is not None else None) == fixed
