@@ -34,6 +34,8 @@ BLOCK = 256
 #: Partners of a class that are verified first.
 FIRST_PARTNERS = 3
 MAX_WORDS = 500_000
+#: Size of the bitmap that sifts texts before a join: 1 MB.
+SIEVE_BITS = 1 << 23
 #: A-Z to a-z, all other bytes as they are; bytes.split() then cuts at the space and U+0009 to U+000D.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -276,7 +278,7 @@ def region_links(comps: DataFrame, edges: DataFrame, classes: DataFrame, text_of
             sets = [shingle_hashes(t.as_py(), width).tobytes() for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
-    sets = text_of.join(inside.select("node"), "node", "left_semi").mapInArrow(as_set, f"node {kind}, set binary")
+    sets = sifted(text_of, "node", inside).join(inside.select("node"), "node", "left_semi").mapInArrow(as_set, f"node {kind}, set binary")
     rows = inside.join(blocks, "region").join(classes.select("node", "sig"), "node").join(sets, "node")
     in_top = F.col("comp") == F.col("top")
     own = F.when(in_top, F.pmod(F.xxhash64("node"), F.col("n_top"))).otherwise(-1 - F.pmod(F.xxhash64("node"), F.col("n_rest"))).cast("int")
@@ -307,6 +309,27 @@ def region_links(comps: DataFrame, edges: DataFrame, classes: DataFrame, text_of
     return _dealt(dealt, run, f"a {kind}, b {kind}")
 
 
+def sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose key may be among the ``wanted`` keys, by a bitmap of key hashes of a fixed size.
+
+    It keeps the texts that a later join would drop anyway from being shuffled; what passes is still joined exactly.
+    """
+    spark = rows.sparkSession
+    place = F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS))
+    marks = wanted.select((place + 1).alias("n")).groupBy(F.bitmap_bucket_number("n").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("m"))
+    bits = np.zeros(SIEVE_BITS // 8, np.uint8)
+    for b, m in marks.collect():  # SIEVE_BITS / 32768 rows of 4 KB at most
+        bits[(b - 1) * 4096 : b * 4096] = np.frombuffer(m, np.uint8)
+    sent = spark.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def may(hashes: pa.Array) -> pa.Array:
+        x = np.asarray(hashes)
+        return pa.array((sent.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
+
+    return rows.filter(may(place))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
     """The (a, b) pairs whose whole shingle sets have 100 * intersection >= 100 * threshold * union."""
     percent = round(threshold * 100)
@@ -374,7 +397,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, mis
 
     def texts_for(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return materialize(text_of.join(nodes, "node", "left_semi"), "texts")
+        return materialize(sifted(text_of, "node", nodes).join(nodes, "node", "left_semi"), "texts")
 
     ways = survivors.select(F.col("a").alias("u"), "a", "b", "equal").unionByName(survivors.select(F.col("b").alias("u"), "a", "b", "equal"))
     nearest = F.row_number().over(Window.partitionBy("u").orderBy(F.col("equal").desc(), F.xxhash64("a", "b")))
