@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import TITLE_STOPWORDS
 
@@ -34,12 +37,13 @@ def hit_count(c: Column, pattern: str) -> Column:
     return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(pattern))
 
 
+def _fold(values: pa.Array) -> pa.Array:
+    return pc.ascii_lower(pc.replace_substring_regex(pc.utf8_normalize(values, form="NFKD"), "[^\\x00-\\x7F]+", ""))
+
+
 def ascii_key(c: Column) -> Column:
-    """Lower case without accents; letters that have no unaccented form are dropped."""
-    accented = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýÿ"
-    plain = "aaaaaa?ceeeeiiii?nooooo?uuuuyy"
-    base = F.translate(F.lower(F.coalesce(c, F.lit(""))), accented, plain.replace("?", "\u0001"))
-    return F.regexp_replace(base, "[^\\x20-\\x7E\\t\\n\\r]", "")
+    """The ASCII part of the text's compatibility decomposition (NFKD), in lower case; letters without one are dropped."""
+    return F.arrow_udf(_fold, StringType())(F.coalesce(c, F.lit("")))
 
 
 def title_tokens(c: Column) -> Column:
