@@ -32,6 +32,11 @@ FEEDBACK_PHRASES = {
 # Words left out of title tokens and themes.
 TITLE_STOPWORDS = ("the", "and", "for", "with", "from", "that", "this", "its", "are", "was")
 
+# Hosts that are always near the topic, words of the topic, words of other topics.
+TOPIC_HOSTS = ("openai.com", "anthropic.com", "about.fb.com", "deepmind.google", "ai.googleblog.com", "huggingface.co", "developer.nvidia.com", "research.google", "aws.amazon.com", "blogs.microsoft.com", "nvidianews.nvidia.com")
+TOPIC_WORDS = r"\b(ai|artificial intelligence|tri tue nhan tao|trí tuệ nhân tạo|llm|model|agent|agents|openai|anthropic|claude|gpt|gemini|deepmind|hugging face|huggingface|xai|grok|nvidia|inference|training|transcription|asr|benchmark|robotics|robot|chip|gpu)\b"
+OFF_TOPIC_WORDS = r"\b(oil|tankers|hormuz|iran|middle east|zelenskyy|ukraine aid|troops|stocks|wall street|private credit|saudi|football|showbiz|weather|iphone case|camera roundup|celebrity|ios|iphone|ipad|apple music|sleep tracking|playlist|playstation|ps5)\b"
+
 
 @dataclass(frozen=True)
 class SourcePolicy:

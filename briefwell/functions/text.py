@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
 import pyarrow as pa
@@ -60,6 +61,15 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "[ \\t\\n\\r]+", " "))
 
 
+def _plain(values: pa.Array) -> pa.Array:
+    return pa.array([" ".join(html.unescape(v).split()) for v in values.to_pylist()], pa.string())
+
+
+def plain_text(c: Column) -> Column:
+    """The whole text with entities unescaped and white space collapsed; empty for null."""
+    return F.arrow_udf(_plain, StringType())(F.coalesce(c, F.lit("")))
+
+
 def clip(c: Column, limit: int) -> Column:
     """At most ``limit`` characters, cut after a whole word where there is one, with an ellipsis."""
     text = collapse(c)

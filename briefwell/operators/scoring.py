@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import COMPONENT_CAPS, FRESHNESS_POINTS, TIER_POINTS
-from ..functions.text import falsy, is_false
+from ..config import COMPONENT_CAPS, FRESHNESS_POINTS, OFF_TOPIC_WORDS, TIER_POINTS, TOPIC_HOSTS, TOPIC_WORDS
+from ..functions.text import falsy, hit_count, is_false, plain_text, unicode_pattern
 
 
 def clamp(c: Column, low: int, high: int) -> Column:
@@ -90,3 +90,23 @@ def running_ledger(entries: DataFrame, key: str, order: list[Column], delta: str
     own = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = F.sum(delta).over(own)
     return entries.withColumn("after", after).withColumn("before", F.col("after") - F.col(delta)).withColumn("shown", clamp(F.col("after"), low, high))
+
+
+def ai_relevance(host: Column, title: Column, content: Column) -> Column:
+    """struct(ai_hits, off_hits, relevant, signals) of the whole title and content: near the topic or not, and why.
+
+    A host of the topic or two hits let an item through, unless two hits of other topics meet fewer than four; a single
+    hit does if there is none of other topics.
+    """
+    whole = F.concat_ws(" ", plain_text(title), plain_text(content))
+    ai, off = hit_count(whole, unicode_pattern(TOPIC_WORDS)), hit_count(whole, unicode_pattern(OFF_TOPIC_WORDS))
+    known = F.coalesce(host.isin(*TOPIC_HOSTS), F.lit(False))
+
+    def decided(c: Column) -> Column:
+        ai, off, known = c["ai_hits"], c["off_hits"], c["known"]
+        close, dominated, single = known | (ai >= 2), (off >= 2) & (ai < 4), (ai == 1) & (off == 0)
+        verdict = F.when(close & dominated, "blocked:offtopic_dominant").when(close, F.lit(None)).when(single, "borderline_ai_signal").otherwise("blocked:weak_ai_signal")
+        hits = [F.when(known, "ai_domain"), F.when(ai > 0, F.concat(F.lit("ai_hits:"), ai)), F.when(off > 0, F.concat(F.lit("off_topic_hits:"), off))]
+        return F.struct(ai.alias("ai_hits"), off.alias("off_hits"), F.when(close, ~dominated).otherwise(single).alias("relevant"), F.concat_ws(",", *hits, verdict).alias("signals"))
+
+    return F.get(F.transform(F.array(F.struct(ai.alias("ai_hits"), off.alias("off_hits"), known.alias("known"))), decided), F.lit(0))

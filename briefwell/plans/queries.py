@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import OFF_TOPIC_WORDS, TOPIC_HOSTS, TOPIC_WORDS
 from ..functions import dates, text, urls
 from ..operators import dedup, events, history, ranking, recall, reports, routing, scoring
 from ..operators.stored import stored
@@ -102,6 +103,16 @@ def relevance_hits(spark, d):
     return articles(spark, d).select("ord", text.hit_count(body, "(?:\\bthe\\b|\\band\\b)").alias("ai_hits"), text.hit_count(body, "\\bof\\b").alias("off_hits"))
 
 
+@query(f"""+ h AS (SELECT ord, len(regexp_extract_all(w, '(?i){TOPIC_WORDS}')) AS x, len(regexp_extract_all(w, '(?i){OFF_TOPIC_WORDS}')) AS y, source_domain IN {TOPIC_HOSTS} AS k FROM (
+  SELECT ord, source_domain, regexp_replace(regexp_replace(replace(lower(title || ' ' || content), 'trí tuệ nhân tạo', 'tri tue nhan tao'), '[^\\x00-\\x7F\\p{{L}}\\p{{N}}\\p{{M}}]', ' ', 'g'), '[^\\x00-\\x7F]', '_', 'g') AS w FROM a))
+SELECT ord, CAST(x AS INTEGER) AS ai_hits, CAST(y AS INTEGER) AS off_hits, CASE WHEN k OR x >= 2 THEN NOT (y >= 2 AND x < 4) ELSE x = 1 AND y = 0 END AS relevant,
+  concat_ws(',', CASE WHEN k THEN 'ai_domain' END, CASE WHEN x > 0 THEN 'ai_hits:' || x END, CASE WHEN y > 0 THEN 'off_topic_hits:' || y END,
+  CASE WHEN (k OR x >= 2) AND y >= 2 AND x < 4 THEN 'blocked:offtopic_dominant' WHEN k OR x >= 2 THEN NULL WHEN x = 1 AND y = 0 THEN 'borderline_ai_signal' ELSE 'blocked:weak_ai_signal' END) AS signals FROM h""")
+def relevance_decision(spark, d):
+    """Relevance of every document by its whole text. The SQL writes letters outside ASCII as _, for its \\b knows ASCII only."""
+    return articles(spark, d).select("ord", scoring.ai_relevance(F.col("source_domain"), F.col("title"), F.col("content")).alias("r")).select("ord", "r.*")
+
+
 @query("SELECT ord, list_aggregate(list_sort(list_distinct(list_filter(regexp_extract_all(regexp_replace(strip_accents(lower(replace(title, 'ß', ''))), '[^\\x00-\\x7F]', '', 'g'), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this', 'its', 'are', 'was')))), 'string_agg', ' ') AS tokens FROM a WHERE lang = 'en'")
 def title_tokens_english(spark, d):
     rows = articles(spark, d).filter("lang = 'en'").select("ord", text.title_tokens(F.col("title")).alias("t"))
