@@ -119,6 +119,13 @@ def title_tokens_english(spark, d):
     return rows.select("ord", F.when(F.size("t") > 0, F.concat_ws(" ", "t")).alias("tokens"))
 
 
+@query("SELECT ord, list_aggregate(list_sort(list_distinct(list_filter(regexp_extract_all(regexp_replace(strip_accents(lower(replace(title, 'ß', ''))), '[^\\x00-\\x7F]', '', 'g'), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this', 'its', 'are', 'was')))), 'string_agg', ' ') AS tokens FROM a")
+def title_tokens_all(spark, d):
+    """Tokens of the title of every document, whatever its language, also without one."""
+    rows = articles(spark, d).select("ord", text.title_tokens(F.col("title")).alias("t"))
+    return rows.select("ord", F.when(F.size("t") > 0, F.concat_ws(" ", "t")).alias("tokens"))
+
+
 @query("SELECT ord, 'domain:' || source_domain AS source_key FROM a")
 def source_history_keys(spark, d):
     none = F.lit(None).cast("string")

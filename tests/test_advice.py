@@ -49,3 +49,12 @@ def test_relevance_reads_whole_texts(spark):
     rows = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "n int, host string, title string, content string")
     got = rows.select("n", scoring.ai_relevance(F.col("host"), F.col("title"), F.col("content")).alias("r")).orderBy("n").collect()
     assert [(r["r"]["relevant"], r["r"]["signals"]) for r in got] == [c[3:] for c in cases]
+
+
+def test_title_tokens_of_every_document(spark, sf):
+    from briefwell.plans.adapters import articles
+    from briefwell.plans.queries import QUERIES
+
+    got = {r["ord"]: r["tokens"] for r in QUERIES["title_tokens_all"](spark, sf).collect()}
+    titles = {r["ord"]: r["title"] for r in articles(spark, sf).select("ord", "title").collect()}
+    assert got == {k: " ".join(reference_tokens(t)) or None for k, t in titles.items()}
