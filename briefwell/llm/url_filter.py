@@ -41,12 +41,12 @@ def listed_rule(host: Column, path: Column, rules: list[UrlRule]) -> Column:
     return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
 
 
-def mine_block_rules(urls: DataFrame, labels: DataFrame, min_support: float = 0.002, min_count: int = 20, min_confidence: float = 0.6, max_tokens: int = 4) -> DataFrame:
+def mine_block_rules(urls: DataFrame, labels: DataFrame, min_support: float = 0.002, min_count: int = 20, min_confidence: float = 0.6) -> DataFrame:
     """Rules (rule_id, tokens, confidence, support) whose token sets mark labelled URLs as unwanted.
 
     ``urls``: (id, url); ``labels``: (id, bad boolean). FP-growth runs over one basket for each labelled URL: its tokens,
-    and one more item if it is bad. Kept are rules to that item with the confidence asked for, the larger of the support
-    and the number of pages asked for, and at most ``max_tokens`` tokens. Too few labelled rows, or none bad: no rules.
+    and one more item if it is bad. Kept are rules to that item with the confidence asked for and the larger of the support
+    and the number of pages asked for, whatever their number of tokens. Too few labelled rows, or none bad: no rules.
     """
     baskets = urls.join(labels, "id").select(F.concat(url_tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
     baskets = materialize(baskets.filter(F.size("items") > 0), "url-baskets")
@@ -54,7 +54,7 @@ def mine_block_rules(urls: DataFrame, labels: DataFrame, min_support: float = 0.
     if n < max(1, min_count):
         return urls.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(baskets)
-    mined = model.associationRules.filter((F.get("consequent", F.lit(0)) == BLOCK) & (F.size("antecedent") <= max_tokens))
+    mined = model.associationRules.filter(F.get("consequent", F.lit(0)) == BLOCK)
     return mined.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("tokens"), "confidence", "support")
 
 

@@ -58,3 +58,14 @@ def test_title_tokens_of_every_document(spark, sf):
     got = {r["ord"]: r["tokens"] for r in QUERIES["title_tokens_all"](spark, sf).collect()}
     titles = {r["ord"]: r["title"] for r in articles(spark, sf).select("ord", "title").collect()}
     assert got == {k: " ".join(reference_tokens(t)) or None for k, t in titles.items()}
+
+
+def test_url_rules_of_five_tokens_block(spark):
+    from briefwell.llm.url_filter import filter_urls
+
+    words = ["ant", "bee", "cat", "dog", "elk"]
+    paths = [words] * 40 + [[w for w in words if w != gone] for gone in words for _ in range(40)]
+    pages = spark.createDataFrame([(i, f"https://h/{'/'.join(p)}/{i}") for i, p in enumerate(paths)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, len(p) == 5) for i, p in enumerate(paths)], "id long, bad boolean")
+    got = {r["page_id"]: r["verdict"] for r in filter_urls(pages, labels, []).collect()}
+    assert got == {i: "block" if len(p) == 5 else "allow" for i, p in enumerate(paths)}
