@@ -143,3 +143,20 @@ def test_pipeline_samples_labels_of_its_own_documents(spark, sf, tmp_path, monke
     monkeypatch.setattr(pipe, "drop_toxic", lambda docs, model: docs)
     pipe.toxicity(spark, docs, str(tmp_path))
     assert labelled_sample(docs, given["labels"], "doc_id", "toxic", "text", 16_000).count() == docs.count()
+
+
+def test_stated_loss_of_near_duplicates():
+    import math
+    from pathlib import Path
+
+    from briefwell.llm.near_dup import BATCH, least_matches
+
+    alive, lost = {0: 1.0}, 0.0
+    for need in least_matches(0.8, 1e-5):
+        step = {}
+        for m, p in alive.items():
+            for k in range(BATCH + 1):
+                step[m + k] = step.get(m + k, 0.0) + p * math.comb(BATCH, k) * 0.8**k * 0.2 ** (BATCH - k)
+        lost += sum(p for m, p in step.items() if m < need)
+        alive = {m: p for m, p in step.items() if m >= need}
+    assert f"{lost:.1e}" == "3.3e-05" and "3.3e-5" in (Path(__file__).parents[1] / "README.md").read_text()
