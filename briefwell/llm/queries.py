@@ -37,12 +37,11 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels share the pages' ids; a page is bad if its quality label is 0 or its toxic label 1."""
-    from .url_filter import filter_urls
+    """Mining learns from the pages that a listed rule decides: the verdicts are labels of URLs, while ``labels`` are of documents."""
+    from .url_filter import filter_urls, listed_labels
 
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    judged = filter_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, listed_labels(pages, URL_RULES), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +114,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": """
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), l AS (SELECT * FROM (VALUES ('www.example.com', '/en/', 'allow'), ('example.com', '/en/', 'block'), ('net', '/es/', 'block'), ('net', '/fr/', 'block'), ('com', '/', 'allow')) AS v(h, p, v)
+), r AS (SELECT u.*, (SELECT max_by({'rule': h || p, 'verdict': v}, length(h || p)) FROM l WHERE (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)) AS f,
+  list_sort(list_distinct(list_filter(list_concat(list_transform(string_split_regex(host, '[.:]'), lambda x: 'host:' || x), list_transform(string_split_regex(lower(path), '[^\\p{L}\\p{N}]+'), lambda x: 'path:' || x), list_transform(regexp_extract_all(url, '[?&]([^=&#]+)', 1), lambda x: 'query:' || lower(x))), lambda x: NOT regexp_matches(x, ':[0-9]*$')))) AS w FROM u
+), t AS (SELECT x, count(*) FILTER (WHERE bad) AS nb FROM (SELECT unnest(w) AS x, f.verdict = 'block' AS bad FROM r WHERE f IS NOT NULL) GROUP BY 1
+), n AS (SELECT count(*) AS n, CAST(ceil(count(*) * 5 / 1000.0) AS BIGINT) AS least FROM r WHERE f IS NOT NULL
+), k AS (SELECT list(x) AS xs FROM t, n WHERE nb >= least
+), s AS (SELECT page_id, f.verdict AS v, list_intersect(w, (SELECT xs FROM k)) AS w FROM r
+), g AS (SELECT page_id, v, array_to_string(list_sort(list_filter(w, lambda x, i: (m >> (i - 1)) & 1 = 1)), ' ') AS set FROM (SELECT *, unnest(range(1, CAST(1 << len(w) AS BIGINT))) AS m FROM s)
+), q AS (SELECT set FROM g, n WHERE v IS NOT NULL GROUP BY set, least HAVING count(*) FILTER (WHERE v = 'block') >= least AND 100 * count(*) FILTER (WHERE v = 'block') >= 80 * count(*)
+), b AS (SELECT DISTINCT page_id FROM g WHERE set IN (SELECT set FROM q))
+SELECT page_id, host, path, f.rule AS rule, coalesce(f.verdict, CASE WHEN page_id IN (SELECT page_id FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM r""",
     "op4_decontaminate": """
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
 ), i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark

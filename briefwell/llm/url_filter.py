@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +12,6 @@ from .common import materialize
 
 #: (verdict, host, path prefix)
 UrlRule = tuple[str, str, str]
-#: The item that stands for an unwanted page in a labelled basket; no URL token can contain a space.
-BLOCK = "label is block"
 
 
 def url_host(url: Column) -> Column:
@@ -41,51 +41,89 @@ def listed_rule(host: Column, path: Column, rules: list[UrlRule]) -> Column:
     return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
 
 
-def mine_block_rules(urls: DataFrame, labels: DataFrame, min_support: float = 0.002, min_count: int = 20, min_confidence: float = 0.6) -> DataFrame:
-    """Rules (rule_id, tokens, confidence, support) whose token sets mark labelled URLs as unwanted.
-
-    ``urls``: (id, url); ``labels``: (id, bad boolean). FP-growth runs over one basket for each labelled URL: its tokens,
-    and one more item if it is bad. Kept are rules to that item with the confidence asked for and the larger of the support
-    and the number of pages asked for, whatever their number of tokens. Too few labelled rows, or none bad: no rules.
-    """
-    baskets = urls.join(labels, "id").select(F.concat(url_tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    baskets = materialize(baskets.filter(F.size("items") > 0), "url-baskets")
-    n = baskets.count()
-    if n < max(1, min_count):
-        return urls.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(baskets)
-    mined = model.associationRules.filter(F.get("consequent", F.lit(0)) == BLOCK)
-    return mined.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+def _with_items(rows: DataFrame, key: str, items: DataFrame) -> DataFrame:
+    """(key, items): the sorted distinct items of each row of (key, tokens); rows without one are left out."""
+    each = rows.select(key, F.explode("tokens").alias("token")).join(F.broadcast(items), "token")
+    return each.groupBy(key).agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def matched_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, rule_tokens, confidence) for each distinct URL that some rule matches: the rule of highest confidence, then most tokens, then least tokens in order.
+def _contained(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows of ``sets`` (with ``items``) joined to each of the ``rules`` (with ``needs``) all of whose items they hold.
 
-    Rules sit in an inverted index under their rarest token (by how many rules and URLs have it), so a URL meets only
-    rules one of whose rarest tokens it has; the other tokens are then tested on its token array.
+    Rules sit in an inverted index under their rarest item (by how many rules and sets hold it), so a set meets only
+    rules one of whose rarest items it has; the other items are then tested on its own array.
+    """
+    each = rules.select("rule_id", F.explode("needs").alias("item"))
+    held = each.select("rule_id", "item").unionByName(sets.select(F.lit(None).cast("long").alias("rule_id"), F.explode("items").alias("item")))
+    frequent = held.groupBy("item").agg(F.count("*").alias("n"))
+    rarest = each.join(frequent, "item").groupBy("rule_id").agg(F.min(F.struct("n", "item"))["item"].alias("item"))
+    index = rules.join(rarest, "rule_id")
+    return sets.withColumn("item", F.explode("items")).join(index, "item").filter(F.size(F.array_except("needs", "items")) == 0).drop("item")
+
+
+def mine_block_rules(urls: DataFrame, labels: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """The items (token, item) and the rules (rule_id, needs, bad, support, confidence) that mark URLs as unwanted.
+
+    ``urls``: (id, url); ``labels``: (id, bad boolean). Tokens that occur in just the same labelled URLs are one item:
+    a rule asks for one token of each of its items, which is what all the rules over single tokens come to. FP-growth
+    runs over the items of bad URLs only; what it finds is then counted in the others. Kept are the itemsets that
+    ``min_support`` of all labelled URLs hold and are bad by, and of whose URLs ``min_confidence`` are bad. At most
+    (tokens of a URL) / ``min_support`` tokens are that frequent, which bounds the items that tasks are sent. Null
+    labels are left out; without labelled or without bad rows there are no items and no rules.
     """
-    own = urls.select("url").distinct().withColumn("tokens", url_tokens(F.col("url")))
-    each = rules.select("rule_id", F.explode("tokens").alias("token"))
-    frequent = own.select(F.explode("tokens").alias("token")).join(each.select("token").distinct(), "token", "left_semi").groupBy("token").count()
-    rarest = each.join(frequent, "token", "left").groupBy("rule_id").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
-    index = rules.join(rarest, "rule_id").select("token", F.col("tokens").alias("needs"), "confidence")
-    met = own.withColumn("token", F.explode("tokens")).join(index, "token").filter(F.size(F.array_except("needs", "tokens")) == 0)
-    best = met.groupBy("url").agg(F.max(F.struct("confidence", F.size("needs").alias("n"), "needs")).alias("m"))
-    return best.select("url", F.col("m.needs").alias("mined_tokens"), F.col("m.confidence").alias("mined_confidence"))
+    spark = urls.sparkSession
+    joined = urls.join(labels.filter(F.col("bad").isNotNull()), "id").select(F.monotonically_increasing_id().alias("basket"), url_tokens(F.col("url")).alias("tokens"), "bad")
+    baskets = materialize(joined, "url-baskets")
+    n, n_bad = baskets.agg(F.count("*"), F.count(F.when(F.col("bad"), 1))).first()
+    least = max(1, math.ceil(n * min_support - 1e-9))
+    # Two sums of hash halves and the count tell the set of baskets of a token.
+    half = lambda bits: F.sum(F.shiftrightunsigned(F.shiftleft(F.xxhash64("basket"), 32 - bits), 32))
+    of_token = baskets.select("basket", "bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("m"), F.count(F.when(F.col("bad"), 1)).alias("m_bad"), half(0).alias("s"), half(32).alias("t"))
+    frequent = materialize(of_token.filter(F.col("m_bad") >= least), "url-tokens")
+    items = materialize(frequent.join(frequent.groupBy("m", "s", "t").agg(F.min("token").alias("item")), ["m", "s", "t"]).select("token", "item"), "url-items")
+    if not n_bad or items.isEmpty():
+        return items, spark.createDataFrame([], "rule_id long, needs array<string>, bad long, support double, confidence double")
+    found = materialize(_with_items(baskets, "basket", items).join(baskets.select("basket", "bad"), "basket"), "url-itemsets")
+    bad = found.filter("bad").select("items").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    mined = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / bad.count()), minConfidence=1.0).fit(bad).freqItemsets
+    sets = materialize(mined.select(F.array_sort("items").alias("needs"), F.col("freq").alias("bad")).withColumn("rule_id", F.xxhash64("needs")), "url-frequent")
+    others = found.filter("not bad").groupBy("items").agg(F.count("*").alias("w"))
+    good = _contained(others, sets).groupBy("rule_id").agg(F.sum("w").alias("good"))
+    confidence = F.col("bad") / (F.col("bad") + F.coalesce("good", F.lit(0)))
+    rules = sets.join(good, "rule_id", "left").select("rule_id", "needs", "bad", (F.col("bad") / F.lit(n)).alias("support"), confidence.alias("confidence"))
+    return items, materialize(rules.filter(F.col("confidence") >= min_confidence), "url-rules")
+
+
+def matched_rules(urls: DataFrame, items: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, mined_items, mined_confidence) for each distinct URL that some rule matches: the rule of highest confidence, then fewest items, then first items in order.
+
+    URLs with the same items are judged once.
+    """
+    own = _with_items(urls.select("url").distinct().select("url", url_tokens(F.col("url")).alias("tokens")), "url", items)
+    own = materialize(own, "url-own-items")
+    met = _contained(own.select("items").distinct(), rules)
+    best = met.groupBy("items").agg(F.max_by(F.struct("needs", "confidence"), F.struct("confidence", -F.size("needs"), F.col("bad"), F.col("rule_id"))).alias("m"))
+    return own.join(best, "items").select("url", F.col("m.needs").alias("mined_items"), F.col("m.confidence").alias("mined_confidence"))
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[UrlRule], id_col: str = "page_id", url_col: str = "url", **mining) -> DataFrame:
-    """Every row with host, path, rule, verdict (allow or block), mined_tokens, mined_confidence.
+    """Every row with host, path, rule, verdict (allow or block), mined_items, mined_confidence.
 
     A listed rule decides; where none fits, a page is blocked if a mined rule matches its URL, else allowed. A null URL
-    has an empty host and path, no tokens, and is allowed. Repeated rows repeat. ``labels``: (id, bad).
+    has an empty host and path, no tokens, and is allowed. Repeated rows repeat and count in mining as often as they are
+    labelled. Other columns are not read. ``labels``: (id, bad).
     """
     own = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
     urls = own.select(F.col("_id").alias("id"), F.col("_url").alias("url")).filter(F.col("url").isNotNull())
-    mined = materialize(mine_block_rules(urls, labels, **mining), "url-rules")
-    found = matched_rules(urls, mined).withColumnRenamed("url", "_key")
+    found = matched_rules(urls, *mine_block_rules(urls, labels, **mining)).withColumnRenamed("url", "_key")
     joined = own.join(found, own["_url"] == found["_key"], "left")
     judged = joined.withColumn("host", url_host(F.col("_url"))).withColumn("path", url_path(F.col("_url")))
     judged = judged.withColumn("_rule", listed_rule(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("mined_tokens").isNotNull(), "block").otherwise("allow"))
-    return judged.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "mined_tokens", "mined_confidence")
+    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("mined_items").isNotNull(), "block").otherwise("allow"))
+    return judged.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "mined_items", "mined_confidence")
+
+
+def listed_labels(pages: DataFrame, rules: list[UrlRule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """Labels (id, bad) of the pages that a listed rule decides: bad if it blocks."""
+    found = listed_rule(url_host(F.col(url_col)), url_path(F.col(url_col)), rules)["verdict"]
+    return pages.select(F.col(id_col).alias("id"), (found == "block").alias("bad")).filter(F.col("bad").isNotNull())
