@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import bounded_batches, discard, materialize
 
 HASHES, BAND_ROWS, BATCH = 128, 4, 32
 BANDS = HASHES // BAND_ROWS
@@ -34,8 +34,10 @@ BLOCK = 256
 #: Partners of a class that are verified first.
 FIRST_PARTNERS = 3
 MAX_WORDS = 500_000
-#: Size of the bitmap that sifts texts before a join: 1 MB.
-SIEVE_BITS = 1 << 23
+#: Least and largest size of the bitmap that sifts texts before a join: 1 to 64 MB, about 16 bits a wanted key between.
+SIEVE_BITS, MOST_SIEVE_BITS = 1 << 23, 1 << 29
+#: Rows of one bucket or region are dealt to this many salted keys when its figures are joined back.
+SALTS = 16
 #: A-Z to a-z, all other bytes as they are; bytes.split() then cuts at the space and U+0009 to U+000D.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -87,7 +89,7 @@ _multipliers_once = _multipliers()
 
 def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """id, n (size of the shingle set), key (128-bit identity of the set), sig (null for an empty set)."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +208,27 @@ def _columns(rows: pa.Table, *names: str) -> list[np.ndarray]:
     return [np.asarray(rows.column(c).combine_chunks()) for c in names]
 
 
+def in_blocks(members: DataFrame, key: str, least: int = 2) -> DataFrame:
+    """Members (key, comp, node, ...) with ``group`` and ``own``: every two rows of a key whose components differ meet in some group.
+
+    Keys with one component or fewer than ``least`` rows are left out. The rows of a key's largest component meet the
+    blocks of the others; these meet all blocks, their own too. So a key with one large component costs about its rows,
+    whatever its size, and no group has more than two blocks.
+    """
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    sizes = members.groupBy(key, "comp").agg(F.count("*").alias("m"))
+    whole = sizes.groupBy(key).agg(F.sum("m").alias("all"), F.count("*").alias("comps"), F.max(F.struct("m", "comp")).alias("top")).filter((F.col("comps") > 1) & (F.col("all") >= least))
+    n = lambda m: F.ceil(m / F.lit(BLOCK)).cast("int")
+    blocks = whole.select(key, F.col("top.comp").alias("top"), n(F.col("top.m")).alias("n_top"), n(F.col("all") - F.col("top.m")).alias("n_rest"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = members.withColumn("salt", salt).join(blocks, [key, "salt"])
+    in_top = F.col("comp") == F.col("top")
+    own = F.when(in_top, F.pmod(F.xxhash64("node"), F.col("n_top"))).otherwise(-1 - F.pmod(F.xxhash64("node"), F.col("n_rest"))).cast("int")
+    rest_blocks = F.transform(F.sequence(F.lit(1), F.col("n_rest")), lambda k: -k)
+    others = F.when(in_top, rest_blocks).otherwise(F.concat(rest_blocks, F.sequence(F.lit(0), F.col("n_top") - 1)))
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(others))
+    return dealt.withColumn("group", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))).drop("salt", "top", "n_top", "n_rest", "other")
+
+
 def bucket_edges(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float, miss: float) -> DataFrame:
     """(a, b): components between which some pair of a common bucket survives, as a spanning forest of each block.
 
@@ -215,11 +238,7 @@ def bucket_edges(members: DataFrame, classes: DataFrame, labels: DataFrame, thre
     least = least_matches(threshold, miss)
     kind = classes.schema["node"].dataType.simpleString()
     labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = labelled.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("m > 3 and low < high")
-    open_ = labelled.join(mixed.select("bucket", "m"), "bucket").join(classes.select("node", "sig"), "node")
-    n_blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    dealt = open_.withColumn("own", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    dealt = dealt.withColumn("group", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).select("group", "own", "comp", "sig")
+    dealt = in_blocks(labelled, "bucket", 4).join(classes.select("node", "sig"), "node").select("group", "own", "comp", "sig")
 
     def run(rows: pa.Table) -> pa.RecordBatch:
         comps, own = _columns(rows, "comp", "own")
@@ -270,9 +289,6 @@ def region_links(comps: DataFrame, edges: DataFrame, classes: DataFrame, text_of
     regions = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("region"))
     inside = comps.join(regions, "comp", "right").select("region", "comp", F.coalesce("node", "comp").alias("node"))
     inside = materialize(inside, "regions")
-    sizes = inside.groupBy("region", "comp").agg(F.count("*").alias("m"))
-    whole = sizes.groupBy("region").agg(F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("top"))
-    blocks = whole.select("region", F.col("top.comp").alias("top"), F.ceil(F.col("top.m") / F.lit(BLOCK)).cast("int").alias("n_top"), F.ceil((F.col("all") - F.col("top.m")) / F.lit(BLOCK)).cast("int").alias("n_rest"))
 
     def as_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,13 +296,7 @@ def region_links(comps: DataFrame, edges: DataFrame, classes: DataFrame, text_of
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
     sets = sifted(text_of, "node", inside).join(inside.select("node"), "node", "left_semi").mapInArrow(as_set, f"node {kind}, set binary")
-    rows = inside.join(blocks, "region").join(classes.select("node", "sig"), "node").join(sets, "node")
-    in_top = F.col("comp") == F.col("top")
-    own = F.when(in_top, F.pmod(F.xxhash64("node"), F.col("n_top"))).otherwise(-1 - F.pmod(F.xxhash64("node"), F.col("n_rest"))).cast("int")
-    rest_blocks = F.transform(F.sequence(F.lit(1), F.col("n_rest")), lambda k: -k)
-    others = F.when(in_top, rest_blocks).otherwise(F.concat(rest_blocks, F.sequence(F.lit(0), F.col("n_top") - 1)))
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(others))
-    dealt = dealt.withColumn("group", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))).select("group", "own", "node", "comp", "sig", "set")
+    dealt = in_blocks(inside, "region").join(classes.select("node", "sig"), "node").join(sets, "node").select("group", "own", "node", "comp", "sig", "set")
 
     def run(rows: pa.Table) -> pa.RecordBatch:
         nodes, comps, own = _columns(rows, "node", "comp", "own")
@@ -311,15 +321,16 @@ def region_links(comps: DataFrame, edges: DataFrame, classes: DataFrame, text_of
 
 
 def sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Those of ``rows`` whose key may be among the ``wanted`` keys, by a bitmap of key hashes of a fixed size.
+    """Those of ``rows`` whose key may be among the ``wanted`` keys, by a bitmap of key hashes, its size bounded.
 
     It keeps the texts that a later join would drop anyway from being shuffled; what passes is still joined exactly.
     """
     spark = rows.sparkSession
-    place = F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS))
+    size = min(MOST_SIEVE_BITS, max(SIEVE_BITS, 1 << (16 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(size))
     marks = wanted.select((place + 1).alias("n")).groupBy(F.bitmap_bucket_number("n").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("m"))
-    bits = np.zeros(SIEVE_BITS // 8, np.uint8)
-    for b, m in marks.collect():  # SIEVE_BITS / 32768 rows of 4 KB at most
+    bits = np.zeros(size // 8, np.uint8)
+    for b, m in marks.toLocalIterator():  # size / 32768 rows of 4 KB at most
         bits[(b - 1) * 4096 : b * 4096] = np.frombuffer(m, np.uint8)
     sent = spark.sparkContext.broadcast(bits)
 
@@ -370,7 +381,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
     edges, last = materialize(edges.distinct(), "edges"), None
     while True:
-        edges = materialize(star(materialize(star(edges, True), "edges"), False), "edges")
+        large = materialize(star(edges, True), "edges")
+        small = materialize(star(large, False), "edges")
+        for old in (edges, large):
+            discard(old)
+        edges = small
         now = state(edges)
         if now == last:
             break
@@ -393,7 +408,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, mis
     classes = grouped.select("node", "sig")
     members = materialize(buckets(classes), "buckets")
     survivors = materialize(compare_pairs(candidate_pairs(members), classes, threshold, miss), "survivors")
-    small_batches(docs.sparkSession, 200)
     text_of = docs.select(F.col(id_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def texts_for(pairs: DataFrame) -> DataFrame:
@@ -403,13 +417,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, mis
     ways = survivors.select(F.col("a").alias("u"), "a", "b", "equal").unionByName(survivors.select(F.col("b").alias("u"), "a", "b", "equal"))
     nearest = F.row_number().over(Window.partitionBy("u").orderBy(F.col("equal").desc(), F.xxhash64("a", "b")))
     first = materialize(ways.withColumn("place", nearest).filter(F.col("place") <= FIRST_PARTNERS).select("a", "b").distinct(), "first-pairs")
-    links = materialize(verified(first, texts_for(first), width, threshold), "links")
+    texts = texts_for(first)
+    links = materialize(verified(first, texts, width, threshold), "links")
+    for done in (first, texts):
+        discard(done)
     labels = materialize(components(links), "labels")
-    small_batches(docs.sparkSession, 4096)
     of = lambda side: labels.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp"))
     apart = survivors.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).filter("a != b")
     edges = materialize(apart.unionByName(bucket_edges(members, classes, labels, threshold, miss)).distinct(), "region-edges")
-    small_batches(docs.sparkSession, 200)
     more = region_links(labels, edges, classes, text_of, width, threshold, miss)
     final = components(labels.filter("node != comp").select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more))
     reached = grouped.select("key", "node").join(final, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
