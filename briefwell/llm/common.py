@@ -8,22 +8,25 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python; documents reach hundreds of KB, so batches stay small.
-BATCH_ROWS = 500
+#: Bytes of one Arrow batch handed to Python. Documents reach hundreds of KB, so rows alone would not bound a batch.
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches. The value is the same for every operator, so frames held back run as those built last."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (local runs)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset in a local run."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="briefwell-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -40,8 +43,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
+def discard(df: DataFrame | None) -> None:
     """Delete the files behind a materialized frame that no later plan reads."""
+    if df is None:
+        return
     spark = df.sparkSession
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(file)
@@ -57,7 +62,8 @@ def crc_fold(doc_id: str | Column, folds: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, text_col: str, limit: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """(_id, _text, _label, and columns to keep) of documents with one of at most ``limit`` labels: those whose id hashes lowest, so always the same.
 
-    Null labels are left out. The labels' bound makes them safe to broadcast, so no text is shuffled.
+    Null labels are left out; an id with several labels or documents gives a row for each pair. The labels' bound makes
+    them safe to broadcast, so no text is shuffled.
     """
     chosen = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("double").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(limit)

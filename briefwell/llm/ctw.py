@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, materialize, small_batches
+from .common import bounded_batches, crc_fold, materialize
 
 #: Preceding bytes that a context reaches back, at most 6.
 DEPTH = 5
@@ -298,7 +298,7 @@ def score_texts(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, depth:
     if not 2 <= depth <= 6:
         raise ValueError("depth is from 2 to 6")
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), (crc_fold(id_col, folds) == held_out_fold).alias("held_out"))
 
@@ -325,7 +325,6 @@ def score_texts(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, depth:
     n_segments = max(1, texts.agg(F.countDistinct("of")).first()[0])
     totals = materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
     n_all, n_distinct = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     hashed = F.pmod(F.xxhash64("segment"), F.lit(1 << 40))
     model = materialize(merged_runs(lists.select("last", hashed.alias("part"), "runs", "counts"), n_segments), "lm-model")
     chances = materialize(run_probabilities(model, depth), "lm-chances")

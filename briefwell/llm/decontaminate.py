@@ -20,9 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import bounded_batches, materialize
 
-SEGMENT_WORDS = 500_000
+#: A segment ends at so many words or documents, so that positions, a gap a document included, fit in 32 bits.
+SEGMENT_WORDS, SEGMENT_DOCS = 500_000, 50_000
 #: Words between the documents of a segment; longer than any phrase plus slop.
 GAP = 4096
 #: Phrases of one block.
@@ -51,7 +52,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty texts are documents of length 0.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     kind = docs.schema[id_col].dataType
     known = spark.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)}) if vocabulary is not None else None
     schema = f"segment long, docs array<{kind.simpleString()}>, bases array<int>, lengths array<int>, terms array<binary>, term_starts array<int>, positions array<int>"
@@ -88,7 +89,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 bases.append(base)
                 lengths.append(len(words))
                 base += len(words) + GAP
-                if base >= SEGMENT_WORDS + GAP * len(docs_):
+                if base >= SEGMENT_WORDS + GAP * len(docs_) or len(docs_) >= SEGMENT_DOCS:
                     yield segment()
                     table, docs_, bases, lengths, found = fresh()
                     base, made = 0, made + 1
@@ -220,8 +221,6 @@ def search(index: DataFrame, phrases: list[tuple[int, tuple[bytes, ...]]], items
                     ["segment", "place", "doc", "n_words", "hits", "items"],
                 )
 
-    # A segment is a large row: one a batch.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     return index.mapInArrow(run, f"segment long, place int, doc {kind}, n_words long, hits array<int>, items array<{item_kind}>")
 
 

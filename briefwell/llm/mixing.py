@@ -24,7 +24,8 @@ def target_sizes(sources: DataFrame, weights: tuple[float, ...], max_repeats: fl
     Sources in code point order (null last) weigh ``weights`` in turn and share the total size by weight. A target stops
     at ``max_repeats`` times its source's size and the excess goes to the others by weight. The level at which the
     water stands follows from running sums over sources by cap / weight: the first k are full if the level that the
-    rest would get reaches their caps. One row a source goes through the two sorts.
+    rest would get reaches their caps. One row a source goes through the two sorts, each in one task: sources may be
+    many (a million rows of three numbers are small), but they are kinds of origin, not one for each document.
     """
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     place = F.row_number().over(order) - 1
@@ -70,14 +71,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repea
     """The mixed corpus: every column of ``docs`` and copy_no (from 1); documents whose copies are 0 are absent.
 
     The rate is joined to the documents by source (salted), so texts stay where they are read if rates are small enough
-    for Spark to broadcast, and are never gathered by source otherwise.
+    for Spark to broadcast, and are never gathered by source otherwise. Nulls, repeated rows and ids are as in
+    plan_mix(); a column copy_no of the input is replaced, all others keep their names, whatever these are. An empty
+    table gives an empty one.
     """
+    own = docs.drop("copy_no")
+    packed = own.select(F.struct(*[F.col(f"`{c}`") for c in own.columns]).alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).cast("int").alias("own"))
     sizes = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rates = target_sizes(totals, weights, max_repeats).select(F.col("source").alias("_key"), F.col("rate").alias("_rate")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).cast("int")
-    joined = docs.withColumn("_own", salt).join(rates, F.col(source_col).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_salt")))
-    whole = F.floor("_rate")
-    copies = F.least(whole + (unit_hash([id_col], seed) < F.col("_rate") - whole).cast("long"), F.lit(int(max_repeats)).cast("long"))
-    emitted = joined.withColumn("_copies", copies).filter("_copies > 0")
-    return emitted.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns, "copy_no")
+    rates = target_sizes(totals, weights, max_repeats).select(F.col("source").alias("key"), "rate").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = packed.join(rates, F.col("source").eqNullSafe(F.col("key")) & (F.col("own") == F.col("salt")))
+    whole = F.floor("rate")
+    copies = F.least(whole + (unit_hash(["id"], seed) < F.col("rate") - whole).cast("long"), F.lit(int(max_repeats)).cast("long"))
+    emitted = joined.withColumn("copies", copies).filter("copies > 0")
+    return emitted.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy_no")).select("row.*", "copy_no")

@@ -99,12 +99,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "label", id
 
 
 def score_quality(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 if score >= threshold). Null and empty texts get the score of their (zero) statistics."""
+    """``docs`` with score (0 to 1) and predicted (1 if score >= threshold); columns of these names are replaced, all others stay.
+
+    Null and empty texts get the score of their (zero) statistics. Repeated rows repeat; an empty table gives an empty one.
+    """
     stats = statistics(F.col(text_col))
     used = sorted({s for rule, _ in model.rules for s, _, _ in rule})
-    packed = docs.withColumn("_stats", F.struct(*[stats[s].cast("double").alias(s) for s in used])) if used else docs
-    scored = packed.withColumn("score", model.score({s: F.col("_stats")[s] for s in used}))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_stats")
+    own = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted")])
+    packed = own.select(F.struct(*[F.col(f"`{c}`") for c in own.columns]).alias("row"), F.struct(F.lit(0).alias("none"), *[stats[s].cast("double").alias(s) for s in used]).alias("stats"))
+    scored = packed.select("row", model.score({s: F.col("stats")[s] for s in used}).alias("score"))
+    return scored.select("row.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -23,11 +23,16 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import bounded_batches
 
 CHUNK_CHARS = 1 << 16
 MAX_STATES = 250_000
 MAX_WORDS = 600_000
+#: Pieces longer than this are run through the transducer each time, not kept.
+LONGEST_KEPT = 64
+#: What the compiled transducer stands for, as fixed values: the file's normaliser, pre-tokenizer and model options.
+NORMALISERS = ["NFC", ("\\s+", " "), "Lowercase"]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: White space of the tokenizer's pattern (Unicode White_Space), as a fixed value.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: Control characters that str.split() takes for white space and the tokenizer does not.
@@ -43,12 +48,26 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+def check_kind(spec: dict) -> None:
+    """Raise unless the file is of the kind that is compiled here, so that another tokenizer never gets wrong counts."""
+    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    normalisers = [(n["pattern"].get("Regex"), n["content"]) if n["type"] == "Replace" else n["type"] for n in steps]
+    cutters = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    cut = [(c["pattern"].get("Regex"), c["behavior"], c["invert"]) if c["type"] == "Split" else (c["type"], c.get("add_prefix_space"), c.get("use_regex")) for c in cutters]
+    model = spec["model"]
+    plain = model["type"] == "BPE" and model.get("end_of_word_suffix") and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    whole = not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if normalisers != NORMALISERS or cut != [(SPLIT, "Removed", True), ("ByteLevel", False, False)] or not plain or not whole:
+        raise ValueError("the tokenizer file is not a lower-casing byte-level BPE with word ends, which is what the transducer is compiled from")
+
+
 class CountingTransducer:
     """Counts the tokens of whole texts; tables grow lazily up to fixed bounds and are then rebuilt."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_kind(spec)
         end = spec["model"]["end_of_word_suffix"]
         symbols = byte_symbols()
         #: One character for each byte, and one more for each byte at a word's end, so that entries are plain strings.
@@ -149,7 +168,8 @@ class CountingTransducer:
                 total = self.piece(text[:-1]) + self.piece(text[-1])
             else:
                 total = sum(map(self.word, pre_tokens(text)))
-            self.words[text] = total
+            if len(text) <= LONGEST_KEPT:
+                self.words[text] = total
         return total
 
     def chunk_map(self, chunk: str) -> tuple[str, int, str] | tuple[str]:
@@ -247,7 +267,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     Whole texts in one pass without a shuffle. A null text counts as empty: 0 bytes, 0 tokens. Repeated rows give
     repeated results; an empty table gives an empty one; other columns are not read.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 
 SHARD_ROWS = 8192
 #: Components of all queries of one block.
@@ -48,6 +48,8 @@ class Block:
         if not len(ids):
             return
         limit = max(1.0, float(np.abs(vectors).max(initial=0))) * max(1.0, float(np.abs(self.vectors).max(initial=0))) * max(1, vectors.shape[1])
+        if limit >= 2**63:
+            raise OverflowError("components are so large that scores may not fit in 64 bits; use a smaller scale")
         kind = np.float64 if limit < 2**53 else np.int64
         postings = np.ascontiguousarray(vectors.T, dtype=kind)
         high, low = (postings.max(axis=1), postings.min(axis=1)) if len(postings) else (np.zeros(0, kind),) * 2
@@ -90,37 +92,42 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
     """(query_id, rank, id, score): each query's k highest integer inner products with every row but its own.
 
     Ties go to the smaller id. Vectors that are null or hold null or non-finite components, and rows with a null id,
-    take no part; a query meets rows of its own dimension. Fewer rows than k: all. No query: no rows.
+    take no part; a query meets rows of its own dimension. Fewer rows than k: all. No query: no rows. Of rows that share
+    a query's id the one whose vector sorts first asks; each repeated candidate row counts. Scores that may pass 64 bits
+    are an error.
+
+    Vectors are quantised once, to a table. Queries come in blocks, each of which is answered and written before the
+    next is read, so neither the driver nor a task holds more than one.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SHARD_ROWS))
+    bounded_batches(spark)
     whole = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("q")).filter(F.col("v").isNotNull() & F.col("id").isNotNull())
-    schema = "query_id long, id long, score long"
+    whole = materialize(whole, "vectors")
     names = ["query_id", "id", "score"]
-    found = []
-    for block in _blocks(whole.filter("q").select("id", "v").dropDuplicates(["id"])):
+    parts = None
+    for block in _blocks(whole.filter("q").groupBy("id").agg(F.min("v").alias("v"))):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             dims, (ids, matrix) = sent.value
             own = Block(ids, matrix, k)
-            for batch in batches:
-                width = np.asarray(batch.column(1).value_lengths())
+            for shard in (batch.slice(i, SHARD_ROWS) for batch in batches for i in range(0, batch.num_rows, SHARD_ROWS)):
+                width = np.asarray(shard.column(1).value_lengths())
                 keep = np.flatnonzero(width == dims)
-                values = np.asarray(batch.column(1).take(pa.array(keep)).flatten()).reshape(len(keep), dims)
-                own.search(np.asarray(batch.column(0))[keep], values)
+                values = np.asarray(shard.column(1).take(pa.array(keep)).flatten()).reshape(len(keep), dims)
+                own.search(np.asarray(shard.column(0))[keep], values)
             for q, (scores, rows) in enumerate(own.best):
                 if len(rows):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), ids[q])), pa.array(rows), pa.array(scores)], names)
 
-        found.append(whole.select("id", "v").mapInArrow(run, schema))
-    if not found:
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id")))
+        found = whole.select("id", "v").mapInArrow(run, "query_id long, id long, score long").withColumn("rank", place.cast("int")).filter(F.col("rank") <= k)
+        best = materialize(found.select("query_id", "rank", F.col("id").alias(id_col), "score"), "best")
+        sent.destroy()
+        parts = best if parts is None else parts.unionByName(best)
+    if parts is None:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
-    parts = found[0]
-    for f in found[1:]:
-        parts = parts.unionByName(f)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id")))
-    return parts.withColumn("rank", place.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return parts
 
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:

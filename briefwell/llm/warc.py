@@ -18,12 +18,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path, small_batches
+from .common import bounded_batches, materialize, scratch_path
 
 ARCHIVE_BYTES = 64 << 20
 PIECE = 1 << 18
 LEVEL = 4
-SALTS = 8
+SALTS = 32
 GZIP = zlib.MAX_WBITS | 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -33,17 +33,20 @@ def with_roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Of records with equal payloads of at least ``least_bytes`` bytes, that with the smallest id is the response and the
     others revisit it. A null payload is empty. Rows with the smallest id are all responses if it occurs twice; rows
-    with a null id revisit any other. Only digests that occur more than once are joined back, by salted keys.
+    with a null id revisit any other, and are responses where there is none. Ids and digests alone decide who revisits
+    whom, by salted keys; payloads meet the outcome by id and digest, so copies of one payload are spread out.
     """
     body = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
-    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"))
-    own = own.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
-    groups = own.filter(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    groups = groups.select(F.col("digest").alias("_digest"), "first").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = own.withColumn("_own", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(groups, (F.col("digest") == F.col("_digest")) & (F.col("_own") == F.col("_salt")), "left")
-    again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    return joined.select("page_id", "url", "digest", "size", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"), F.when(~again, F.col("payload")).alias("payload"))
+    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    narrow = materialize(own.select("page_id", "digest", F.octet_length("payload").cast("long").alias("size")).filter(F.col("size") >= least_bytes).select("page_id", "digest"), "warc-digests")
+    groups = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    groups = groups.select("digest", "first").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = narrow.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    again = salted.join(groups, ["digest", "salt"]).filter(~F.col("first").eqNullSafe(F.col("page_id")))
+    again = again.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("first").alias("refers_to")).distinct()
+    joined = own.join(again, (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("_id")), "left")
+    revisit = F.col("_digest").isNotNull() & F.col("refers_to").isNotNull()
+    return joined.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "refers_to", F.when(~revisit, F.col("payload")).alias("payload"))
 
 
 def record_id(page_id) -> str:
@@ -58,16 +61,19 @@ def record_bytes(row: dict, date: str) -> bytes:
     if row["url"] is not None:
         fields["WARC-Target-URI"] = "".join(c for c in row["url"] if c >= " ")
     if row["record_type"] == "revisit":
-        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(row["refers_to"]), "X-Refers-To-Page": row["refers_to"]}
+        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(row["refers_to"]), "X-Refers-To-Page": json.dumps(row["refers_to"])}
     if row["page_id"] is not None:
-        fields["X-Page-Id"] = row["page_id"]
+        fields["X-Page-Id"] = json.dumps(row["page_id"])
     fields |= {"WARC-Payload-Digest": f"sha256:{row['digest']}", "Content-Type": "application/http; msgtype=response", "Content-Length": len(message)}
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + message + b"\r\n\r\n"
 
 
 def write_monolithic(records: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write ``records`` (of with_roles) as archives that are one gzip stream each; the manifest: archive, n_records."""
-    small_batches(records.sparkSession, 200)
+    id_type = records.schema["page_id"].dataType.simpleString()
+    if id_type not in ID_TYPES:
+        raise ValueError(f"page ids are integers or strings, not {id_type}")
+    bounded_batches(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -169,6 +175,8 @@ def normalise_archive(fs: pafs.FileSystem, source: str, target: str) -> list[dic
     return index
 
 
+#: Types of page ids that a header can carry.
+ID_TYPES = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "string": pa.string()}
 INDEX_SCHEMA = "archive string, record_no long, offset long, length long, record_id string, record_type string, uri string, digest string"
 
 
@@ -199,13 +207,16 @@ def normalise_archives(manifest: DataFrame, folder: str, delete_source: bool = T
     return index
 
 
-def read_records(index: DataFrame, folder: str, keep_payload: bool = False) -> DataFrame:
+def read_records(index: DataFrame, folder: str, keep_payload: bool = False, id_type: str = "long") -> DataFrame:
     """Read each record through the index by its offset, inflating only its own member.
 
     page_id, url, record_type, payload_bytes, payload_digest, refers_to, and the payload (null for revisits) if asked
     for. A response's size and digest are computed from the payload that was read; a revisit's are those in its header.
+    ``id_type``: that of the page ids, an integer type or string.
     """
-    small_batches(index.sparkSession, 200)
+    if id_type not in ID_TYPES:
+        raise ValueError(f"page ids are integers or strings, not {id_type}")
+    bounded_batches(index.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -232,16 +243,16 @@ def read_records(index: DataFrame, folder: str, keep_payload: bool = False) -> D
                         if keep_payload:
                             parts.append(piece)
                     digest, kept = sha.hexdigest(), b"".join(parts) if keep_payload else None
-                as_id = lambda v: None if v is None else int(v)
+                as_id = lambda v: None if v is None else json.loads(v)
                 rows.append((as_id(fields.get("x-page-id")), fields.get("warc-target-uri"), fields["warc-type"], size, digest, as_id(fields.get("x-refers-to-page")), kept))
             columns = list(zip(*rows)) if rows else [()] * 7
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+            kinds = [ID_TYPES[id_type], pa.string(), pa.string(), pa.int64(), pa.string(), ID_TYPES[id_type], pa.binary()]
             names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
         if file:
             file.close()
 
-    schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+    schema = f"page_id {id_type}, url string, record_type string, payload_bytes long, payload_digest string, refers_to {id_type}, payload binary"
     read = index.select("archive", "offset", "length").mapInArrow(run, schema)
     return read if keep_payload else read.drop("payload")
 
