@@ -12,6 +12,8 @@ from .common import materialize
 
 #: (verdict, host, path prefix)
 UrlRule = tuple[str, str, str]
+#: URLs with the same items are dealt to this many salted keys when their outcome is joined back.
+SALTS = 32
 
 
 def url_host(url: Column) -> Column:
@@ -97,13 +99,15 @@ def mine_block_rules(urls: DataFrame, labels: DataFrame, min_support: float = 0.
 def matched_rules(urls: DataFrame, items: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, mined_items, mined_confidence) for each distinct URL that some rule matches: the rule of highest confidence, then fewest items, then first items in order.
 
-    URLs with the same items are judged once.
+    URLs with the same items are judged once; the outcome comes back by salted keys, as very many may have the same.
     """
     own = _with_items(urls.select("url").distinct().select("url", url_tokens(F.col("url")).alias("tokens")), "url", items)
     own = materialize(own, "url-own-items")
     met = _contained(own.select("items").distinct(), rules)
     best = met.groupBy("items").agg(F.max_by(F.struct("needs", "confidence"), F.struct("confidence", -F.size("needs"), F.col("bad"), F.col("rule_id"))).alias("m"))
-    return own.join(best, "items").select("url", F.col("m.needs").alias("mined_items"), F.col("m.confidence").alias("mined_confidence"))
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = own.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
+    return own.join(best, ["items", "salt"]).select("url", F.col("m.needs").alias("mined_items"), F.col("m.confidence").alias("mined_confidence"))
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[UrlRule], id_col: str = "page_id", url_col: str = "url", **mining) -> DataFrame:
