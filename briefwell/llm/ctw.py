@@ -10,7 +10,8 @@ Training counts and predictions both go through segments: runs of documents of b
 segment contributes its distinct words and byte runs with counts, gets back their values, and scores its own texts (kept
 packed beside the counts); no task holds the corpus's dictionary, and what is gathered grows with the corpus. Byte runs
 travel as arrays, one for each segment and pair of last context bytes: a pair's trees down to depth 2 stand alone, and
-what is above has at most 256 x 255 nodes.
+what is above has at most 256 x 255 nodes. A pair whose runs grow too many is told apart by a third byte; its nodes at
+depth 2 are then summed from those of its parts. Finished values go to the segments that ask for them, and no others.
 """
 
 from __future__ import annotations
@@ -32,8 +33,14 @@ DEPTH = 5
 MARK = 0xFF
 SEGMENT_BYTES = 32 << 20
 PIECE = 1 << 20
-#: Lists of byte runs that are merged, or segments that are answered, at once.
+#: Lists of byte runs that are merged at once.
 FAN = 64
+#: A pair with a merged list over so many bytes is split by a third context byte before the next merge.
+SPLIT_BYTES = 16 << 20
+#: Keys of split pairs are third, second and last byte under this mark; others are second and last byte.
+SPLIT = 1 << 24
+#: Bytes of runs that one task looks up in a key's list, at least.
+ASK_BYTES = 256 << 20
 HALF = np.log(0.5)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -123,7 +130,7 @@ class Bit:
         return p[self.place], at[self.place]
 
 
-def upper_tables(rows: list) -> dict[int, np.ndarray]:
+def upper_tables(rows) -> dict[int, np.ndarray]:
     """Weight and estimate of the nodes at depths 1 and 0 from depth-1 sums (byte, decision, zeros, ones, product).
 
     At most 256 x 255 rows. Result: depth to an array by [context byte or 0, decision] of (weight, chance of a 1).
@@ -142,6 +149,28 @@ def upper_tables(rows: list) -> dict[int, np.ndarray]:
     return out
 
 
+def _added(rows: np.ndarray) -> np.ndarray:
+    """Rows (context, node, zeros, ones, product) summed by context and node."""
+    keys, _, sums = gather(rows[:, 0].astype(np.int64) << 8 | rows[:, 1].astype(np.int64), rows[:, 2], rows[:, 3], rows[:, 4])
+    return np.stack([(keys >> 8).astype(np.float64), (keys & 0xFF).astype(np.float64), *sums], axis=1)
+
+
+def middle_table(rows: np.ndarray) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
+    """Depth 2 of split pairs from the sums of their parts (pair, decision, zeros, ones, product).
+
+    Each pair's place, (weight, chance of a 1) by place and decision, and the rows that depth 1 sums up.
+    """
+    estimate = log_estimate(rows[:, 2], rows[:, 3])
+    mixture = np.logaddexp(HALF + estimate, HALF + rows[:, 4])
+    places = {p: i for i, p in enumerate(np.unique(rows[:, 0]).astype(int).tolist())}
+    out = np.zeros((max(1, len(places)), 256, 2))
+    out[..., 1] = 0.5
+    at = np.array([places[int(p)] for p in rows[:, 0]], np.int64)
+    out[at, rows[:, 1].astype(int)] = np.stack([np.exp(HALF + estimate - mixture), (rows[:, 3] + 0.5) / (rows[:, 2] + rows[:, 3] + 1)], axis=1)
+    above = np.stack([rows[:, 0].astype(int) & 0xFF, rows[:, 1], rows[:, 2], rows[:, 3], mixture], axis=1).astype(np.float64)
+    return places, out, above
+
+
 def _blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
@@ -152,22 +181,59 @@ def _merged(runs: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndar
     return run, n.astype(np.int64)
 
 
-def merged_runs(lists: DataFrame, n_segments: int) -> DataFrame:
-    """(last, runs, counts): one row for each pair of last context bytes, from one for each segment and pair.
+def split_lists(lists: DataFrame, pairs: set[int]) -> DataFrame:
+    """``lists`` (last, runs, ...) with the rows of some pairs split by the third context byte."""
+    if not pairs:
+        return lists
+    sent = lists.sparkSession.sparkContext.broadcast(np.array(sorted(pairs)))
 
-    Lists are merged FAN at a time, so no task holds more than FAN of them, however many segments there are.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = batch.column("last").to_numpy()
+            hot = np.isin(last, sent.value)
+            yield batch.filter(pa.array(~hot))
+            for k in np.flatnonzero(hot).tolist():
+                runs = np.frombuffer(batch.column("runs")[k].as_py(), np.int64)
+                third = (runs >> 24) & 0xFF
+                order = np.argsort(third, kind="stable")
+                kinds, starts = np.unique(third[order], return_index=True)
+                for kind, at in zip(kinds.tolist(), np.split(order, starts[1:])):
+                    columns = []
+                    for field in batch.schema:
+                        value = batch.column(field.name)[k].as_py()
+                        if field.name == "last":
+                            value = SPLIT | kind << 16 | value
+                        elif pa.types.is_binary(field.type):
+                            value = _blob(np.frombuffer(value, np.int64)[at])
+                        columns.append(pa.array([value], field.type))
+                    yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return lists.mapInArrow(run, lists.schema)
+
+
+def merged_runs(lists: DataFrame, n_segments: int, depth: int) -> tuple[DataFrame, set[int]]:
+    """(last, runs, counts): one row for each key, from one for each segment and pair; and the pairs that were split.
+
+    Lists are merged FAN at a time, so no task holds more than FAN of them, however many segments there are; lists that
+    grow too long are split between two rounds, so a merged list has at most FAN * SPLIT_BYTES (unless three bytes of context
+    alone have more).
     """
 
     def merge(table: pa.Table) -> pa.Table:
         run, n = _merged(table.column("runs").to_pylist(), table.column("counts").to_pylist())
         return pa.table({"last": table.column("last").slice(0, 1), "part": table.column("part").slice(0, 1), "runs": pa.array([_blob(run)], pa.binary()), "counts": pa.array([_blob(n)], pa.binary())})
 
-    schema, left = "last int, part long, runs binary, counts binary", n_segments
+    schema, left, split = "last int, part long, runs binary, counts binary", n_segments, set()
     while True:
+        if depth > 2:  # at most 65,536 pairs
+            long = lists.filter(F.col("last") < SPLIT).groupBy("last").agg(F.max(F.octet_length("runs")).alias("b")).filter(F.col("b") > SPLIT_BYTES)
+            now = {r["last"] for r in long.collect()}
+            lists, split = split_lists(lists, now), split | now
         left = -(-left // FAN)
-        lists = lists.withColumn("part", F.pmod("part", F.lit(left))).groupBy("last", "part").applyInArrow(merge, schema)
+        merged = lists.withColumn("part", F.pmod("part", F.lit(left))).groupBy("last", "part").applyInArrow(merge, schema)
         if left == 1:
-            return lists.select("last", "runs", "counts")
+            return merged.select("last", "runs", "counts"), split
+        lists = materialize(merged, "lm-merged")
 
 
 def run_probabilities(model: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -183,27 +249,36 @@ def run_probabilities(model: DataFrame, depth: int = DEPTH) -> DataFrame:
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for _, run, n in trees(batch):
+            for last, run, n in trees(batch):
+                shared = 3 if last & SPLIT else 2
                 for bit in range(8):
-                    keys, (zero, one, _, mixture, _) = Bit(run, n, depth, 2, bit).top()
-                    parts.append((keys & 0xFF, (keys >> 8) & 0xFF, zero, one, mixture))
+                    keys, (zero, one, _, mixture, _) = Bit(run, n, depth, shared, bit).top()
+                    context = (keys >> 8) & (0xFFFF if shared == 3 else 0xFF)
+                    parts.append((context, keys & 0xFF, zero, one, mixture, np.full(len(keys), shared == 3)))
             if parts:
-                node, context, zero, one, mixture = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (context, node, zero, one, mixture)], ["context", "node", "zeros", "ones", "product"])
+                names = ["context", "node", "zeros", "ones", "product", "of_part"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names)
 
-    sums = model.mapInArrow(summed, "context long, node long, zeros double, ones double, product double")
-    # 256 context bytes by 255 decisions at most
-    upper = upper_tables([tuple(r) for r in sums.groupBy("context", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("product")).collect()])
+    sums = materialize(model.mapInArrow(summed, "context long, node long, zeros double, ones double, product double, of_part boolean"), "lm-sums")
+    added = lambda rows: np.array([tuple(r) for r in rows.groupBy("context", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("product")).collect()], np.float64).reshape(-1, 5)
+    # Nodes at depth 2 of split pairs (255 for each of them), then 256 context bytes by 255 decisions at most.
+    middle, rows = added(sums.filter("of_part")), added(sums.filter("not of_part"))
+    pairs, middle_tables, above = middle_table(middle)
+    upper = upper_tables(_added(np.concatenate([rows, above])))
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chances = []
-            for _, run, n in trees(batch):
+            for last, run, n in trees(batch):
                 total = np.zeros(len(run))
+                shared = 3 if last & SPLIT else 2
                 for bit in range(8):
-                    tree = Bit(run, n, depth, 2, bit)
+                    tree = Bit(run, n, depth, shared, bit)
                     p, _ = tree.predict_one()
                     node = (1 << bit) | ((run & 0xFF) >> (8 - bit))
+                    if shared == 3:
+                        weight, chance = middle_tables[pairs[last & 0xFFFF], node].T
+                        p = weight * chance + (1 - weight) * p
                     for d, context in ((1, (run >> 8) & 0xFF), (0, np.zeros(len(run), np.int64))):
                         weight, chance = upper[d][context, node].T
                         p = weight * chance + (1 - weight) * p
@@ -214,6 +289,36 @@ def run_probabilities(model: DataFrame, depth: int = DEPTH) -> DataFrame:
     return model.mapInArrow(predicted, "last int, runs binary, chances binary")
 
 
+def looked_up(lists: DataFrame, chances: DataFrame) -> DataFrame:
+    """(segment, runs, chances) of the lists (segment, last, runs): their runs' values in the key's list of ``chances``.
+
+    A key's list comes first in its task and is kept while the lists that ask are answered one by one. Keys that very many
+    ask for are dealt to several tasks, each with a copy of the list; a copy answers at least four times its own size, so
+    copies never outweigh what is asked.
+    """
+    asked = lists.groupBy("last").agg(F.sum(F.octet_length("runs")).alias("asked"))
+    sized = chances.select("last", (F.octet_length("runs") * 2).cast("long").alias("own")).join(asked, "last")
+    shares = sized.select("last", F.ceil(F.col("asked") / F.greatest(F.lit(ASK_BYTES), 4 * F.col("own"))).cast("int").alias("n"))
+    known = chances.join(shares, "last").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("last", "share", F.lit(None).cast("long").alias("segment"), "runs", "chances")
+    asks = lists.join(shares, "last").select("last", F.pmod(F.xxhash64("segment"), F.col("n")).cast("int").alias("share"), "segment", "runs", F.lit(None).cast("binary").alias("chances"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = chance = None
+        for batch in batches:
+            segments, found, answers = [], [], []
+            for segment, asked_runs, values in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+                if segment is None:
+                    runs, chance = np.frombuffer(asked_runs.as_py(), np.int64), np.frombuffer(values.as_py(), np.float64)
+                else:
+                    segments.append(segment)
+                    found.append(asked_runs.as_py())
+                    answers.append(_blob(chance[np.searchsorted(runs, np.frombuffer(found[-1], np.int64))]))
+            yield pa.RecordBatch.from_arrays([pa.array(segments, pa.int64()), pa.array(found, pa.binary()), pa.array(answers, pa.binary())], ["segment", "runs", "chances"])
+
+    both = known.unionByName(asks).repartition("last", "share").sortWithinPartitions("last", "share", F.col("segment").asc_nulls_first())
+    return both.mapInArrow(run, "segment long, runs binary, chances binary")
+
+
 class _SegmentCounts:
     """What one segment contributes: its texts, its words and its byte runs."""
 
@@ -326,22 +431,10 @@ def score_texts(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, depth:
     totals = materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
     n_all, n_distinct = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     hashed = F.pmod(F.xxhash64("segment"), F.lit(1 << 40))
-    model = materialize(merged_runs(lists.select("last", hashed.alias("part"), "runs", "counts"), n_segments), "lm-model")
+    model, split = merged_runs(lists.select("last", hashed.alias("part"), "runs", "counts"), n_segments, depth)
+    model = materialize(model, "lm-model")
     chances = materialize(run_probabilities(model, depth), "lm-chances")
-
-    # Chances go back to the segments: each group of FAN segments looks its runs up in one copy of the pair's list.
-    parts = -(-n_segments // FAN)
-    sided = lists.select("segment", "last", F.pmod(hashed, F.lit(parts)).alias("part"), "runs")
-    copies = chances.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-
-    def looked_up(asked: pa.Table, known: pa.Table) -> pa.Table:
-        if not known.num_rows:
-            return pa.table({"segment": pa.array([], pa.int64()), "runs": pa.array([], pa.binary()), "chances": pa.array([], pa.binary())})
-        run, chance = np.frombuffer(known.column("runs")[0].as_py(), np.int64), np.frombuffer(known.column("chances")[0].as_py(), np.float64)
-        found = [_blob(chance[np.searchsorted(run, np.frombuffer(r, np.int64))]) for r in asked.column("runs").to_pylist()]
-        return pa.table({"segment": asked.column("segment"), "runs": asked.column("runs"), "chances": pa.array(found, pa.binary())})
-
-    answers = sided.groupBy("last", "part").cogroup(copies.groupBy("last", "part")).applyInArrow(looked_up, "segment long, runs binary, chances binary")
+    answers = looked_up(split_lists(lists.select("segment", "last", "runs"), split), chances)
     nothing = lambda t: F.lit(None).cast(t)
     back = words.select("segment", "word").join(totals, "word").select("segment", "word", "c", nothing("binary").alias("runs"), nothing("binary").alias("chances"))
     back = back.unionByName(answers.select("segment", nothing("binary").alias("word"), nothing("long").alias("c"), "runs", "chances"))
@@ -373,6 +466,7 @@ def score_texts(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, depth:
         return pa.concat_tables(out)
 
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
-    result = texts.groupBy("of").cogroup(back.groupBy("segment")).applyInArrow(scored, schema)
+    parts = max(n_segments, int(spark.conf.get("spark.sql.shuffle.partitions")))  # about a segment each
+    result = texts.repartition(parts, "of").groupBy("of").cogroup(back.repartition(parts, "segment").groupBy("segment")).applyInArrow(scored, schema)
     bits = -F.col("score") * F.lit(float(np.log2(10))) / (F.col("n_bytes") + 1)
     return result.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", bits.alias("bits_per_byte"))

@@ -352,9 +352,12 @@ def ctw_plainly(train, text, depth):
     return total
 
 
-@pytest.mark.parametrize("fan, segment, depth", [(64, 32 << 20, 2), (2, 300, 3)])
-def test_lm_scores_equal_brute_force(spark, monkeypatch, fan, segment, depth):
+@pytest.mark.parametrize("fan, segment, depth, split", [(64, 32 << 20, 2, 1 << 20), (2, 300, 3, 1 << 20), (2, 300, 3, 24), (2, 300, 4, 100)])
+def test_lm_scores_equal_brute_force(spark, monkeypatch, fan, segment, depth, split):
+    """Also with pairs that are split by a third byte, in the first round or later, and keys dealt to several tasks."""
     monkeypatch.setattr(ctw, "FAN", fan)
+    monkeypatch.setattr(ctw, "SPLIT_BYTES", split)
+    monkeypatch.setattr(ctw, "ASK_BYTES", 64)
     monkeypatch.setattr(ctw, "SEGMENT_BYTES", segment)
     docs = [(i, " ".join(RNG.choice(["the", "Théo", "ring", "rang", "abc\tb"]) for _ in range(RNG.randint(0, 9)))) for i in range(40)] + [(60, None), (61, " \n"), (62, "never 中文 seen")]
     rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
