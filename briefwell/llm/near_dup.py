@@ -208,16 +208,16 @@ def _columns(rows: pa.Table, *names: str) -> list[np.ndarray]:
     return [np.asarray(rows.column(c).combine_chunks()) for c in names]
 
 
-def in_blocks(members: DataFrame, key: str, least: int = 2) -> DataFrame:
+def in_blocks(members: DataFrame, key: str) -> DataFrame:
     """Members (key, comp, node, ...) with ``group`` and ``own``: every two rows of a key whose components differ meet in some group.
 
-    Keys with one component or fewer than ``least`` rows are left out. The rows of a key's largest component meet the
+    Keys with one component are left out. The rows of a key's largest component meet the
     blocks of the others; these meet all blocks, their own too. So a key with one large component costs about its rows,
     whatever its size, and no group has more than two blocks.
     """
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
     sizes = members.groupBy(key, "comp").agg(F.count("*").alias("m"))
-    whole = sizes.groupBy(key).agg(F.sum("m").alias("all"), F.count("*").alias("comps"), F.max(F.struct("m", "comp")).alias("top")).filter((F.col("comps") > 1) & (F.col("all") >= least))
+    whole = sizes.groupBy(key).agg(F.sum("m").alias("all"), F.count("*").alias("comps"), F.max(F.struct("m", "comp")).alias("top")).filter("comps > 1")
     n = lambda m: F.ceil(m / F.lit(BLOCK)).cast("int")
     blocks = whole.select(key, F.col("top.comp").alias("top"), n(F.col("top.m")).alias("n_top"), n(F.col("all") - F.col("top.m")).alias("n_rest"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = members.withColumn("salt", salt).join(blocks, [key, "salt"])
@@ -238,7 +238,8 @@ def bucket_edges(members: DataFrame, classes: DataFrame, labels: DataFrame, thre
     least = least_matches(threshold, miss)
     kind = classes.schema["node"].dataType.simpleString()
     labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    dealt = in_blocks(labelled, "bucket", 4).join(classes.select("node", "sig"), "node").select("group", "own", "comp", "sig")
+    mixed = labelled.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("m > 3 and low < high").select("bucket")
+    dealt = in_blocks(materialize(labelled.join(mixed, "bucket", "left_semi"), "mixed-buckets"), "bucket").join(classes.select("node", "sig"), "node").select("group", "own", "comp", "sig")
 
     def run(rows: pa.Table) -> pa.RecordBatch:
         comps, own = _columns(rows, "comp", "own")
@@ -295,7 +296,7 @@ def region_links(comps: DataFrame, edges: DataFrame, classes: DataFrame, text_of
             sets = [shingle_hashes(t.as_py(), width).tobytes() for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
-    sets = sifted(text_of, "node", inside).join(inside.select("node"), "node", "left_semi").mapInArrow(as_set, f"node {kind}, set binary")
+    sets = sifted(text_of, "node", inside, inside.count()).join(inside.select("node"), "node", "left_semi").mapInArrow(as_set, f"node {kind}, set binary")
     dealt = in_blocks(inside, "region").join(classes.select("node", "sig"), "node").join(sets, "node").select("group", "own", "node", "comp", "sig", "set")
 
     def run(rows: pa.Table) -> pa.RecordBatch:
@@ -320,17 +321,17 @@ def region_links(comps: DataFrame, edges: DataFrame, classes: DataFrame, text_of
     return _dealt(dealt, run, f"a {kind}, b {kind}")
 
 
-def sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+def sifted(rows: DataFrame, key: str, wanted: DataFrame, n_wanted: int) -> DataFrame:
     """Those of ``rows`` whose key may be among the ``wanted`` keys, by a bitmap of key hashes, its size bounded.
 
     It keeps the texts that a later join would drop anyway from being shuffled; what passes is still joined exactly.
     """
     spark = rows.sparkSession
-    size = min(MOST_SIEVE_BITS, max(SIEVE_BITS, 1 << (16 * wanted.count()).bit_length()))
+    size = min(MOST_SIEVE_BITS, max(SIEVE_BITS, 1 << (16 * n_wanted).bit_length()))
     place = F.pmod(F.xxhash64(key), F.lit(size))
     marks = wanted.select((place + 1).alias("n")).groupBy(F.bitmap_bucket_number("n").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("m"))
     bits = np.zeros(size // 8, np.uint8)
-    for b, m in marks.toLocalIterator():  # size / 32768 rows of 4 KB at most
+    for b, m in marks.collect():  # size / 32768 rows of 4 KB at most
         bits[(b - 1) * 4096 : b * 4096] = np.frombuffer(m, np.uint8)
     sent = spark.sparkContext.broadcast(bits)
 
@@ -412,7 +413,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, mis
 
     def texts_for(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return materialize(sifted(text_of, "node", nodes).join(nodes, "node", "left_semi"), "texts")
+        return materialize(sifted(text_of, "node", nodes, 2 * pairs.count()).join(nodes, "node", "left_semi"), "texts")
 
     ways = survivors.select(F.col("a").alias("u"), "a", "b", "equal").unionByName(survivors.select(F.col("b").alias("u"), "a", "b", "equal"))
     nearest = F.row_number().over(Window.partitionBy("u").orderBy(F.col("equal").desc(), F.xxhash64("a", "b")))
