@@ -30,7 +30,10 @@ FEEDBACK_PHRASES = {
     "promote_delivery": ("nên lên brief", "nen len brief", "đưa lên brief", "dua len brief"),
 }
 # Words left out of title tokens and themes.
-TITLE_STOPWORDS = ("the", "and", "for", "with", "from", "that", "this", "its", "are", "was")
+TITLE_STOPWORDS = (
+    "the", "a", "an", "and", "or", "for", "with", "into", "from", "that", "this", "news", "today", "latest", "update", "updates", "report", "reports", "says", "new", "launches", "launch", "announces", "introduces", "about", "after",
+    "tai", "cua", "cho", "voi", "trong", "mot", "nhung", "nhat", "moi", "bao", "ve", "sau", "tren", "khi", "nguoi", "viet", "nam", "tri", "tue", "nhan", "tao",
+)
 
 # Hosts that are always near the topic, words of the topic, words of other topics.
 TOPIC_HOSTS = ("openai.com", "anthropic.com", "about.fb.com", "deepmind.google", "ai.googleblog.com", "huggingface.co", "developer.nvidia.com", "research.google", "aws.amazon.com", "blogs.microsoft.com", "nvidianews.nvidia.com")

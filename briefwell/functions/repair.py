@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import contains_any
+
 # Typographic characters and what they stand for in JSON.
 STRAIGHT = str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'", "：": ":", "，": ",", "｛": "{", "｝": "}"})
 
@@ -64,6 +67,31 @@ def repair_json(text: Column) -> Column:
     return fix(text)
 
 
+# Names under which models put the list of answers.
+LIST_NAMES = ("articles", "Articles", "items", "Items", "results", "data")
+
+
+def answers_in(parsed: Column, hints: tuple[str, ...] = ("item_id",)) -> Column:
+    """The answers, as an array of JSON texts, in a parsed batch: a list, a list or one answer under a usual name (also as quoted JSON), or one bare answer, told by the fields of ``hints``; else empty."""
+    at = lambda name: F.trim(F.get_json_object(parsed, f"$.{name}"))
+    as_list = lambda c: F.when(c.startswith("["), F.from_json(c, "array<string>")).when(c.startswith("{"), F.array(c))
+    bare = F.when(reduce(lambda a, b: a | b, [at(h).isNotNull() for h in hints]), F.array(parsed))
+    one = F.when(at("article").startswith("{"), F.array(at("article")))
+    return F.coalesce(F.when(F.trim(parsed).startswith("["), F.from_json(parsed, "array<string>")), *[as_list(at(n)) for n in LIST_NAMES], one, bare, F.array().cast("array<string>"))
+
+
+def type_from_prose(text: Column, hints: dict[str, tuple[str, ...]], fallback: Column) -> Column:
+    """The first lane of ``hints`` of which a word occurs in a prose answer, else the fallback."""
+    first, *rest = hints.items()
+    return reduce(lambda acc, kv: acc.when(contains_any(F.coalesce(text, F.lit("")), kv[1]), kv[0]), rest, F.when(contains_any(F.coalesce(text, F.lit("")), first[1]), first[0])).otherwise(fallback)
+
+
+def sentences(text: Column) -> Column:
+    """Sentences of a prose answer, without blanks around them, fences and bullets."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), "```(?:json)?|(?m)^\\s*[-*•]+\\s*", "")
+    return F.filter(F.transform(F.split(bare, "(?<=[.!?…])\\s+|\\n+"), lambda s: F.trim(s)), lambda s: s != "")
+
+
 def missing_fields(parsed: Column, names: list[str]) -> Column:
     """Names, sorted, of fields of a JSON text that are absent or null."""
     return F.filter(F.array(*[F.when(F.get_json_object(parsed, f"$.{n}").isNull(), n) for n in sorted(names)]), lambda x: x.isNotNull())

@@ -19,14 +19,25 @@ def falsy(c: Column, default) -> Column:
     return F.when(c.isNull() | (c == 0), F.lit(default)).otherwise(c)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used: chains of such uses would else grow the plan many times over."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_false(c: Column) -> Column:
     """True only for false; null is not false."""
     return c.eqNullSafe(F.lit(False))
 
 
 def contains_any(c: Column, parts) -> Column:
-    """Whether any part occurs in the lower-cased text; a plain substring test."""
-    return reduce(lambda a, b: a | b, [F.lower(c).contains(p) for p in parts], F.lit(False))
+    """Whether any part occurs in the lower-cased text; a plain substring test. Null for a null text.
+
+    Many parts are one array in the plan, not an expression each.
+    """
+    low = F.lower(c)
+    if len(parts) > 8:
+        return F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: low.contains(p))
+    return reduce(lambda a, b: a | b, [low.contains(p) for p in parts], F.lit(False))
 
 
 def unicode_pattern(pattern: str) -> str:
@@ -85,10 +96,23 @@ def message_chunks(c: Column, limit: int) -> Column:
     return F.aggregate(parts, start, lambda acc, p: F.when(fits(acc, p), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), F.lit("\n\n"), p)))).otherwise(F.concat(acc, F.array(p))))
 
 
+# Sentences that say that nothing was found.
+NO_COMMUNITY = ("không tìm thấy phản ứng cộng đồng", "chưa có dữ liệu cộng đồng", "khong tim thay phan ung cong dong")
+
+
+def missing_community(c: Column) -> Column:
+    """Whether a text on community reactions is empty or says that there are none."""
+    return (F.coalesce(c, F.lit("")) == "") | contains_any(F.coalesce(c, F.lit("")), NO_COMMUNITY)
+
+
+# Skip reasons, and older names of some.
+SKIP_REASONS = ("duplicate_event", "weak_signal", "stale", "not_ai", "promo", "speculation", "github_topic_only", "low_operator_value")
+SKIP_ALIASES = {"old": "stale", "aging": "stale", "duplicate": "duplicate_event", "thin": "weak_signal", "unknown_time": "weak_signal", "filtered_out": "weak_signal", "review_threshold": "weak_signal"}
+
+
 def skip_reason(c: Column) -> Column:
     """A reason by its canonical name; unknown names are weak_signal, empty stays empty."""
-    alias = {"old": "stale", "stale_news": "stale", "too_old": "stale", "off_topic": "not_ai", "duplicate": "duplicate_event", "marketing": "promo", "rumor": "speculation", "github_only": "github_topic_only"}
-    known = ("stale", "not_ai", "duplicate_event", "promo", "speculation", "github_topic_only", "low_operator_value", "weak_signal")
     name = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    mapped = reduce(lambda acc, kv: acc.when(name == kv[0], kv[1]), list(alias.items())[1:], F.when(name == "old", "stale")).otherwise(name)
-    return F.when(name == "", "").when(mapped.isin(*known), mapped).otherwise("weak_signal")
+    first, *rest = SKIP_ALIASES.items()
+    mapped = reduce(lambda acc, kv: acc.when(name == kv[0], kv[1]), rest, F.when(name == first[0], first[1])).otherwise(name)
+    return F.when(name == "", "").when(mapped.isin(*SKIP_REASONS), mapped).otherwise("weak_signal")

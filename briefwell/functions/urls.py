@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import KIND_PRIORITY, SourcePolicy
+from ..keywords import ARTICLE_URL_PARTS
+
+# Hosts of vendors whose pages are news only under some paths; words of financial news on one host.
+VENDOR_HOSTS, MACRO_WORDS = ("aws.amazon.com", "cloud.google.com"), ("iran", "oil", "hormuz", "saudi", "wall street", "stocks", "ukraine", "troops")
 
 
 def domain(url: Column) -> Column:
@@ -32,9 +36,20 @@ def in_domain(host: Column, names) -> Column:
 
 
 def date_in_path(url: Column) -> Column:
-    """The date of a /yyyy/mm/dd/ path, or null."""
-    parts = [F.regexp_extract(F.coalesce(url, F.lit("")), "/((?:19|20)[0-9]{2})/([0-9]{1,2})/([0-9]{1,2})(?:/|$)", k) for k in (1, 2, 3)]
-    return F.when(parts[0] != "", F.try_to_date(F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0")), "yyyy-MM-dd"))
+    """The date of a /yyyy/mm/dd/ path, else of the first yymmdd (2020 to 2039) or yyyymmdd in a run of six digits or more, or null.
+
+    A run is read from each of its places in turn, six digits before eight.
+    """
+    low = F.lower(F.coalesce(url, F.lit("")))
+    pattern = "/(20[0-9]{2})/(0[1-9]|1[0-2])/(0[1-9]|[12][0-9]|3[01])(?:/|$)"
+    parts = [F.regexp_extract(low, pattern, k) for k in (1, 2, 3)]
+    runs = F.regexp_extract_all(low, F.lit("[0-9]{6,}"), F.lit(0))
+    short = lambda r, k: F.when(F.substr(r, k, F.lit(6)).rlike("^(2[0-9]|3[0-9])[0-9]{4}$"), F.try_to_date(F.concat(F.lit("20"), F.substr(r, k, F.lit(6))), "yyyyMMdd"))
+    long = lambda r, k: F.when(F.substr(r, k, F.lit(8)).rlike("^20[0-9]{6}$"), F.try_to_date(F.substr(r, k, F.lit(8)), "yyyyMMdd"))
+    tried = F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(F.sequence(F.lit(1), F.length(r) - 5), lambda k: F.array(short(r, k), long(r, k))))))
+    first = F.get(F.filter(tried, lambda x: x.isNotNull()), F.lit(0))
+    # A path that has the form of a date but is none (31 June) gives null, as no other place is read then.
+    return F.when(parts[0] != "", F.try_to_date(F.concat(*parts), "yyyyMMdd")).otherwise(first)
 
 
 def page_title(html: Column) -> Column:
@@ -71,15 +86,18 @@ def source_tier(policy: SourcePolicy, host: Column) -> Column:
     return F.when(F.coalesce(host, F.lit("")) == "", "unknown").when(host.isin(*policy.tier_a), "a").when(host.isin(*policy.tier_b), "b").otherwise("c")
 
 
-def source_history_key(host: Column, url: Column, source: Column, github_name: Column, platform: Column) -> Column:
-    """The first name under which a source's past is kept."""
-    has = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+def source_history_key(host: Column, url: Column, source: Column, github_name: Column, platform: Column, page_url: Column | None = None, handle: Column | None = None) -> Column:
+    """The first name under which a source's past is kept: repository, page, handle, platform and host, host, source, URL."""
+    low = lambda c: F.lower(F.trim(F.coalesce(c if c is not None else F.lit(""), F.lit(""))))
+    own, page, bare = F.coalesce(F.nullif(low(host), F.lit("")), domain(url)), low(page_url), F.regexp_replace(low(handle), "^@+", "")
     return (
-        F.when(has(github_name), F.concat(F.lit("github:"), F.lower(github_name)))
-        .when(has(platform) & has(host), F.concat(F.lower(platform), F.lit(":"), host))
-        .when(has(host), F.concat(F.lit("domain:"), host))
-        .when(has(source), F.concat(F.lit("source:"), F.lower(source)))
-        .when(has(url), F.concat(F.lit("url:"), url))
+        F.when(low(github_name) != "", F.concat(F.lit("github:"), low(github_name)))
+        .when((low(platform) == "facebook") & (page != ""), F.concat(F.lit("facebook:"), domain(page), F.lit(":"), page))
+        .when((low(platform) == "x") & (bare != ""), F.concat(F.lit("x:@"), bare))
+        .when((low(platform) != "") & (own != ""), F.concat(low(platform), F.lit(":"), own))
+        .when(own != "", own)
+        .when(low(source) != "", low(source))
+        .when(low(url) != "", low(url))
         .otherwise("unknown")
     )
 
@@ -89,5 +107,12 @@ def news_flags(policy: SourcePolicy, host: Column, url: Column, title: Column) -
     low = F.lower(F.coalesce(url, F.lit("")))
     name = F.trim(F.lower(F.coalesce(title, F.lit(""))))
     any_of = lambda c, parts: reduce(lambda a, b: a | b, [c.contains(p) for p in parts], F.lit(False))
-    flags = [(host.isin(*policy.blocked_hosts) if policy.blocked_hosts else F.lit(False), "blocked_domain"), (any_of(low, policy.landing_parts), "search_or_landing_url"), (name.isin(*policy.generic_titles), "generic_title"), (any_of(name, policy.marketing_phrases), "marketing_title")]
+    flags = [
+        (host.isin(*policy.blocked_hosts) if policy.blocked_hosts else F.lit(False), "blocked_domain"),
+        (any_of(low, policy.landing_parts), "search_or_landing_url"),
+        (host.isin(*VENDOR_HOSTS) & ~any_of(low, ARTICLE_URL_PARTS), "vendor_landing_page"),
+        (name.isin(*policy.generic_titles), "generic_or_offscope_title"),
+        (any_of(name, policy.marketing_phrases), "marketing_title"),
+        ((host == "cnbc.com") & any_of(name, MACRO_WORDS), "offtopic_macro_story"),
+    ]
     return F.filter(F.array(*[F.when(test, flag) for test, flag in flags]), lambda x: x.isNotNull())

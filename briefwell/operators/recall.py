@@ -2,33 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import top_per_group
+from .stored import stored
+
+#: Components of the queries that tasks are sent at once.
+BLOCK_VALUES = 1 << 21
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that can be compared (not null, no null or non-finite component, not all 0) and their unit vectors."""
+    widths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    width = int(widths.max(initial=0))
+    whole = np.full((len(column), width), np.nan)
+    for k in np.flatnonzero(widths == width) if width else []:
+        whole[k] = column[int(k)].values.to_numpy(zero_copy_only=False)
+    norms = np.sqrt((whole * whole).sum(axis=1))
+    good = np.flatnonzero(np.isfinite(norms) & (norms > 0)) if width else np.zeros(0, np.int64)
+    return good, whole[good] / norms[good, None]
 
 
-def recall(queries: DataFrame, items: DataFrame, k: int, max_distance: float | None = None, max_queries: int = 2000) -> DataFrame:
+def recall(queries: DataFrame, items: DataFrame, k: int, max_distance: float | None = None) -> DataFrame:
     """(query_id, place, id, distance): the k nearest items of each query but itself, then those within ``max_distance``.
 
-    Both frames: (id, vector). The query set is checked: up to ``max_queries`` it is sent to the items' tasks, as one
-    block; a larger set is dealt into blocks that are joined one by one.
+    Both frames: (id, vector), vectors of one length. Queries are sent to the items' tasks in blocks of a fixed size, each
+    answered and written before the next; a task multiplies batches of items by the block and keeps k items a query, so
+    only those are shuffled. Vectors that are null, empty, zero or hold a null or non-finite component take no part. Ties by distance
+    (rounded to four places) go to the smaller id.
     """
-    unit = lambda f, name: f.select(F.col("id").alias(name), F.transform("vector", lambda x: x / F.sqrt(dot(F.col("vector"), F.col("vector")))).alias(f"{name}_v"))
-    asked, there = unit(queries, "query_id"), unit(items, "id")
-    n = queries.count()
-    blocks = max(1, -(-n // max_queries))
-    parts = []
-    for b in range(blocks):
-        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        met = there.join(F.broadcast(own), F.col("id") != F.col("query_id"))
-        parts.append(met.select("query_id", "id", F.round(1 - dot(F.col("query_id_v"), F.col("id_v")), 4).alias("distance")))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    nearest = top_per_group(whole, ["query_id"], [F.col("distance"), F.col("id")], k)
-    return nearest if max_distance is None else nearest.filter(F.col("distance") < max_distance)
+    spark = queries.sparkSession
+    parts = None
+    for ids, vectors in _blocks(queries):
+        sent = spark.sparkContext.broadcast((ids, vectors))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, vectors = sent.value
+            best: list[list[tuple[float, int]]] = [[] for _ in ids]
+            for batch in batches:
+                rows, there = _matrix(batch.column(1))
+                if not len(rows) or there.shape[1] != vectors.shape[1]:
+                    continue
+                own = batch.column(0).to_numpy(zero_copy_only=False)[rows]
+                distance = np.round(1 - there @ vectors.T, 4) + 0.0
+                for q in range(len(ids)):
+                    column = distance[:, q]
+                    bound = best[q][-1][0] if len(best[q]) == k else np.inf
+                    near = np.flatnonzero((column <= bound) & (own != ids[q]))
+                    if len(near) > k:
+                        near = near[np.lexsort((own[near], column[near]))[:k]]
+                    best[q] = sorted(best[q] + list(zip(column[near].tolist(), own[near].tolist())))[:k]
+            found = [(int(ids[q]), i, d) for q, pairs in enumerate(best) for d, i in pairs]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found]) for c in range(3)], ["query_id", "id", "distance"])
+
+        near = top_per_group(items.select(F.col("id").cast("long"), "vector").mapInArrow(run, "query_id long, id long, distance double"), ["query_id"], [F.col("distance"), F.col("id")], k)
+        near = stored(near, "near")
+        sent.destroy()
+        parts = near if parts is None else parts.unionByName(near)
+    if parts is None:
+        return spark.createDataFrame([], "query_id long, id long, distance double, place int")
+    return parts if max_distance is None else parts.filter(F.col("distance") < max_distance)
+
+
+def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Query ids and unit vectors, read piece by piece."""
+    held: list = []
+    for row in queries.select(F.col("id").cast("long"), "vector").toLocalIterator():
+        if row[0] is not None and row[1]:
+            held.append(row)
+        if held and len(held) * len(held[0][1]) >= BLOCK_VALUES:
+            yield _units(held)
+            held = []
+    if held:
+        yield _units(held)
+
+
+def _units(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    good, vectors = _matrix(pa.array([r[1] for r in rows], pa.list_(pa.float64())))
+    return np.array([rows[k][0] for k in good.tolist()], np.int64), vectors

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import FEEDBACK_PHRASES
 from ..functions.text import contains_any, title_tokens
 from .ranking import top_per_group
+from .signals import with_absent
 
 
 def count_by(rows: DataFrame, c: Column, k: int = 12) -> DataFrame:
@@ -31,12 +32,17 @@ def themes(rows: DataFrame, title: str, k: int = 5) -> DataFrame:
 def watchlist_matches(rows: DataFrame, terms: DataFrame, text: Column, order: list[Column], k: int = 5) -> DataFrame:
     """For each (kind, term): how many rows hold the term, their best score and the k first by ``order``.
 
-    Terms are matched through the words of the text: a row meets the terms whose first word's letters it holds. The
-    whole term is then tested as a substring.
+    A term is a substring, not a word, so its first three characters (all of a shorter one) are looked up among the
+    character runs of each text; a row meets only terms that begin with one of its runs, and each is then tested whole.
+    Terms are joined, never collected; Spark sends them to the tasks where their size allows.
     """
-    listed = [(r["kind"], r["term"]) for r in terms.select("kind", "term").distinct().orderBy("kind", "term").collect()]
-    hits = F.filter(F.array(*[F.when(F.lower(text).contains(t.lower()), F.struct(F.lit(kd).alias("kind"), F.lit(t).alias("term"))) for kd, t in listed]), lambda x: x.isNotNull())
-    met = rows.withColumn("_hit", F.explode(hits)).withColumn("kind", F.col("_hit.kind")).withColumn("term", F.col("_hit.term")).drop("_hit")
+    head = 3
+    listed = terms.select("kind", "term").filter(F.coalesce("term", F.lit("")) != "").distinct().withColumn("_low", F.lower("term"))
+    listed = listed.withColumn("_gram", F.substring("_low", 1, head))
+    low = rows.withColumn("_text", F.lower(F.coalesce(text, F.lit(""))))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - n + 1, F.lit(1))), lambda i: F.substr("_text", i, F.lit(n)))
+    keyed = low.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.array(*[grams(n) for n in range(1, head + 1)])))))
+    met = keyed.join(listed, "_gram").filter(F.col("_text").contains(F.col("_low"))).drop("_gram", "_text", "_low")
     totals = met.groupBy("kind", "term").agg(F.count("*").alias("n_signals"), F.max("total_score").alias("max_score"))
     return top_per_group(met, ["kind", "term"], order, k).join(totals, ["kind", "term"])
 
@@ -45,25 +51,44 @@ def stage_timings(rows: DataFrame, stage: str, duration: str) -> DataFrame:
     return rows.groupBy(F.col(stage).alias("stage")).agg(F.count("*").alias("runs"), F.sum(duration).alias("total"), F.max(duration).alias("longest"), F.min(duration).alias("shortest"))
 
 
-def run_health(rows: DataFrame) -> DataFrame:
-    """One row of counts, and green, yellow or red by rules over them."""
+def run_health(rows: DataFrame, mode: str = "", warnings: int = 0, dead_feeds: int = 0, stale_sources: int = 0) -> DataFrame:
+    """One row of counts over judged rows, status (green, yellow or red) and publish_ready by rules over them.
+
+    ``mode`` and ``warnings``: how the summary was made and what is wrong with it; ``dead_feeds``, ``stale_sources``: counts of source health.
+    """
     n = lambda test: F.count(F.when(test, 1))
+    rows = with_absent(rows, {"source_history_penalty": "int"})
+    kind, include = F.col("source_kind"), F.col("delivery_decision") == "include"
+    strong = F.col("source_tier").isin("a", "b")
     counts = rows.agg(
         F.count("*").alias("scored_count"),
-        F.count_distinct("source_domain").alias("source_diversity"),
-        n(F.col("source_kind") == "github").alias("github_count"),
-        n(F.col("source_tier").isin("a", "b")).alias("strong_count"),
-        n(F.col("freshness_bucket").isin("aging", "stale")).alias("stale_count"),
-        n(F.col("delivery_decision") == "include").alias("main_candidates"),
-        n((F.col("delivery_decision") == "include") & F.col("source_tier").isin("a", "b")).alias("strong_main"),
-        n((F.col("delivery_decision") == "include") & (F.col("source_kind") == "official")).alias("official_main"),
+        F.count_distinct(F.nullif(F.trim(F.col("source_domain")), F.lit(""))).alias("source_diversity"),
+        n(kind == "github").alias("github_count"),
+        n(strong).alias("strong_count"),
+        n(F.col("is_old_news") | F.col("is_stale_candidate")).alias("stale_count"),
+        n(F.coalesce(F.col("source_history_penalty"), F.lit(0)) >= 8).alias("penalised_count"),
+        *[n(kind == k).alias(f"{k}_count") for k in ("official", "strong_media", "community", "watchlist", "search")],
+        n(include).alias("main_candidates"),
+        n(include & strong).alias("strong_main"),
+        n(include & (kind == "official")).alias("official_main"),
     )
     c = F.col
-    third, quarter = F.floor(c("scored_count") / 3), F.floor(c("scored_count") / 4)
-    red = (c("scored_count") == 0) | (c("main_candidates") == 0) | (c("strong_main") == 0)
-    yellow = (c("main_candidates") == 1) | (c("source_diversity") <= 2) | (c("github_count") >= 0.75 * c("scored_count")) | (c("strong_count") < F.least(F.lit(3), F.greatest(F.lit(1), third))) | (c("stale_count") >= F.greatest(F.lit(3), quarter)) | (c("official_main") == 0)
+    part = lambda k: F.floor(c("scored_count") / k)
+    some, main = c("scored_count") > 0, c("main_candidates") > 0
+    bad = F.lit(mode == "safe_fallback" or warnings > 0)
+    red = ~some | ~main | bad | (main & (c("strong_main") == 0))
+    yellow = (
+        (c("main_candidates") == 1)
+        | (some & (c("source_diversity") <= 2))
+        | (some & (c("github_count") >= 0.75 * c("scored_count")))
+        | (some & (c("strong_count") < F.least(F.lit(3), F.greatest(F.lit(1), part(3)))))
+        | (some & (c("stale_count") >= F.greatest(F.lit(3), part(4))))
+        | (some & (c("penalised_count") >= F.greatest(F.lit(3), part(5))))
+        | (main & (c("official_main") == 0))
+        | F.lit(dead_feeds + stale_sources > 0)
+    )
     status = F.when(red, "red").when(yellow, "yellow").otherwise("green")
-    return counts.withColumn("status", status).withColumn("publish_ready", (F.col("status") == "green") | ((F.col("status") == "yellow") & (c("strong_main") >= 1)))
+    return counts.withColumn("status", status).withColumn("publish_ready", (F.col("status") == "green") | ((F.col("status") == "yellow") & main & ~bad & (c("strong_main") >= 1)))
 
 
 def feedback_labels(text: Column) -> Column:

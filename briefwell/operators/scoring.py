@@ -7,8 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import keywords as K
 from ..config import COMPONENT_CAPS, FRESHNESS_POINTS, OFF_TOPIC_WORDS, TIER_POINTS, TOPIC_HOSTS, TOPIC_WORDS
 from ..functions.text import falsy, hit_count, is_false, plain_text, unicode_pattern
+from .signals import keyword_hits
+
+# Hosts that editors never take, and hosts that they take only for relevant items.
+EDITORIAL_BLOCKED, EDITORIAL_SOFT_BLOCKED = ("jingyan.baidu.com",), ("zhihu.com",)
 
 
 def clamp(c: Column, low: int, high: int) -> Column:
@@ -20,54 +25,86 @@ def points_of(c: Column, points: dict[str, int]) -> Column:
     return reduce(lambda acc, kv: acc.when(c == kv[0], kv[1]), rest, F.when(c == first[0], first[1])).otherwise(0)
 
 
-def prefilter_terms() -> list[tuple[str, Column]]:
-    """(name, points) of the prefilter over article columns; the score is their sum."""
+def prefilter_terms(preferences: dict | None = None) -> list[tuple[str, Column]]:
+    """(name, points) of the prefilter over article columns; the score is their sum.
+
+    ``preferences`` of the feedback: strict_source_review, prefer_founder_angle, prefer_depth, prefer_freshness (flags)
+    and preferred_types (lane names in lower case).
+    """
+    from .classify import lane_of_title
+
+    likes = preferences or {}
+    title = F.lower(F.coalesce(F.col("title"), F.lit("")))
+    text = F.lower(F.concat_ws(" ", *[F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)) for c in ("title", "snippet", "url", "source_domain")]))
+    kind, tier, host, bucket = F.lower(F.coalesce(F.col("source_kind"), F.lit("unknown"))), F.lower(F.coalesce(F.col("source_tier"), F.lit("unknown"))), F.lower(F.coalesce(F.col("source_domain"), F.lit(""))), F.lower(F.coalesce(F.col("freshness_bucket"), F.lit("unknown")))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    significant = flag("github_significant")
     priority = F.when(F.col("source_priority") >= 90, 4).when(F.col("source_priority") >= 82, 3).when(F.col("source_priority") >= 74, 2).when(F.col("source_priority") >= 60, 1).otherwise(0)
-    capped = F.when(F.col("source_kind").isin("github", "community"), F.least(priority, F.lit(1))).otherwise(priority)
+    repository = F.when(significant, 2).otherwise(1)
+    capped = F.when(kind == "github", F.least(priority, repository)).when(kind == "community", F.least(priority, F.lit(1))).otherwise(priority)
     strength = F.least(F.lit(4), F.coalesce(F.col("community_signal_strength"), F.lit(0)))
     quality = falsy(F.col("source_history_quality_score"), 50)
     known = F.coalesce(F.col("source_history_runs"), F.lit(0)) >= 3
-    past = lambda name, most: F.least(F.lit(most), F.coalesce(F.col(name), F.lit(0)))
+    past = lambda name, most: F.greatest(F.lit(0), F.least(F.lit(most), F.coalesce(F.col(name), F.lit(0))))
+    strategic, off, noise = keyword_hits(text, K.STRATEGIC_SIGNALS), keyword_hits(title, K.OFF_SCOPE_WORDS), keyword_hits(text, K.NOISE_WORDS)
+    near = keyword_hits(title, K.TOPIC_SIGNALS)
+    wanted = [w for w in likes.get("preferred_types", ()) if w]
+    lane = F.lower(lane_of_title(F.col("title")))
+    forms = (lane, F.replace(lane, F.lit(" & culture"), F.lit("")), F.replace(lane, F.lit(" "), F.lit("_")), F.replace(lane, F.lit(" & "), F.lit("_")))
+    on = lambda name, test, points: [(name, F.when(test, points).otherwise(0))] if likes.get(name.removeprefix("feedback:")) else []
     return [
-        ("tier", points_of(F.col("source_tier"), TIER_POINTS)),
+        ("tier", points_of(tier, TIER_POINTS)),
         ("source_priority", capped),
         ("source_history_bonus", F.when(known, past("source_history_bonus", 2)).otherwise(0)),
         ("source_history_penalty", F.when(known, -past("source_history_penalty", 6)).otherwise(0)),
-        ("source_history_noise", F.when(known & (quality <= 35) & F.col("source_kind").isin("community", "search"), -4).otherwise(0)),
+        ("source_history_noise", F.when(known & (quality <= 35) & kind.isin("community", "search"), -4).otherwise(0)),
         ("source_noise_rate", F.when(known & (F.coalesce(F.col("source_history_noise_rate"), F.lit(0.0)) >= 0.35), -2).otherwise(0)),
-        ("watchlist_hit", F.when(F.coalesce(F.col("watchlist_hit"), F.lit(False)), 2).otherwise(0)),
-        ("community_signal", F.when(F.col("source_kind") == "github", F.least(strength, F.lit(1))).otherwise(strength)),
-        ("github_generic", F.when(F.col("source_kind") == "github", -3).otherwise(0)),
-        ("freshness", points_of(F.col("freshness_bucket"), FRESHNESS_POINTS)),
-        ("content", F.when(F.coalesce(F.col("content_available"), F.lit(False)), 4).otherwise(-3)),
+        ("watchlist_hit", F.when(flag("watchlist_hit"), 2).otherwise(0)),
+        ("community_signal", F.when(kind == "github", F.least(strength, repository)).otherwise(strength)),
+        ("github_generic", F.when((kind == "github") & ~significant, -3).otherwise(0)),
+        ("freshness", points_of(bucket, FRESHNESS_POINTS)),
+        ("content", F.when(flag("content_available"), 4).otherwise(-3)),
         ("not_news_candidate", F.when(is_false(F.col("is_news_candidate")), -12).otherwise(0)),
-        ("verified", F.when(F.coalesce(F.col("source_verified"), F.lit(False)), 3).otherwise(0)),
-        ("not_ai_relevant", F.when(is_false(F.col("is_ai_relevant")), -14).otherwise(0)),
+        ("verified", F.when(flag("source_verified"), 3).otherwise(0)),
+        ("related_history", F.when(F.coalesce(F.size("related_past"), F.lit(0)) > 0, 1).otherwise(0)),
+        ("not_ai_relevant", F.when(is_false(F.col("is_ai_relevant")), -20).otherwise(0)),
+        ("ai_relevant", F.when(flag("is_ai_relevant"), 4).otherwise(0)),
+        ("ai_hits", F.least(F.lit(8), near * 2)),
+        ("strategic_hits", F.when(strategic > 0, F.least(F.lit(6), strategic)).otherwise(0)),
+        ("no_strategic_signal_c_source", F.when((strategic == 0) & (tier == "c"), -6).otherwise(0)),
+        ("offscope", -F.least(F.lit(10), off * 4)),
+        ("editorial_noise", F.when(noise > 0, -F.least(F.lit(18), 8 + noise * 3)).otherwise(0)),
+        ("blocked_domain", F.when(host.isin(*EDITORIAL_BLOCKED), -30).otherwise(0)),
+        ("soft_blocked_domain", F.when(host.isin(*EDITORIAL_SOFT_BLOCKED) & ~flag("is_ai_relevant"), -18).otherwise(0)),
+        ("old_news", F.when(flag("is_old_news"), -8).otherwise(0)),
+        ("stale", F.when(flag("is_stale_candidate"), -12).otherwise(0)),
+        *on("feedback:strict_source_review", tier.isin("c", "unknown"), -2),
+        *on("feedback:prefer_founder_angle", flag("watchlist_hit") | (strategic > 0), 2),
+        *on("feedback:prefer_depth", flag("content_available") & tier.isin("a", "b"), 1),
+        *on("feedback:prefer_freshness", bucket.isin("breaking", "fresh", "recent"), 1),
+        *([("feedback:preferred_types", F.when(reduce(lambda a, b: a | b, [f.isin(*wanted) for f in forms]), 1).otherwise(0))] if wanted else []),
     ]
 
 
-def with_prefilter(articles: DataFrame) -> DataFrame:
-    """prefilter_score and prefilter_reasons (``name+points`` of every term that counts). Absent columns count as null."""
-    kinds = {"source_history_runs": "int", "source_history_bonus": "int", "source_history_penalty": "int", "source_history_quality_score": "int", "source_history_noise_rate": "double", "community_signal_strength": "int", "watchlist_hit": "boolean", "is_news_candidate": "boolean", "is_ai_relevant": "boolean", "source_verified": "boolean", "content_available": "boolean"}
-    whole = articles.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in articles.columns})
-    terms = prefilter_terms()
-    reasons = F.filter(F.array(*[F.when(p != 0, F.concat(F.lit(n), F.when(p > 0, "+").otherwise(""), p.cast("string"))) for n, p in terms]), lambda x: x.isNotNull())
-    return whole.withColumn("prefilter_score", reduce(lambda a, b: a + b, [p for _, p in terms]).cast("int")).withColumn("prefilter_reasons", reasons)
-
+#: Columns that the prefilter reads; absent ones count as null.
+PREFILTER_KINDS = {
+    "title": "string", "snippet": "string", "url": "string", "source_domain": "string", "source_kind": "string", "source_tier": "string", "freshness_bucket": "string", "source_priority": "int", "content_available": "boolean", "is_old_news": "boolean", "is_stale_candidate": "boolean",
+    "source_history_runs": "int", "source_history_bonus": "int", "source_history_penalty": "int", "source_history_quality_score": "int", "source_history_noise_rate": "double", "community_signal_strength": "int", "watchlist_hit": "boolean", "is_news_candidate": "boolean", "is_ai_relevant": "boolean", "source_verified": "boolean",
+    "related_past": "array<string>", "github_significant": "boolean",
+}
 
-def held_out_score(score: Column, strong: Column) -> Column:
-    """Total of a row that was not scored in depth: capped at 52 with a strong signal, else at 36."""
-    return F.when(strong, clamp(score + 16, 0, 52)).otherwise(clamp(score + 12, 0, 36))
 
+def with_prefilter(articles: DataFrame, preferences: dict | None = None) -> DataFrame:
+    """prefilter_score and prefilter_reasons (``name+points`` of every term that counts). Absent columns count as null.
 
-def freshness_adjustment(age_hours: Column, unknown: Column, stale: Column, old: Column, content: Column) -> Column:
-    return F.when(old, -25).when(stale, -15).when(unknown, F.when(content, -10).otherwise(-12)).when((age_hours <= 48) & content, 5).otherwise(0)
-
-
-def history_adjustment(runs: Column, bonus: Column, penalty: Column, kind: Column) -> Column:
-    """From three runs on: a penalty of at most 8, else a bonus of at most 4."""
-    noisy = F.when(kind.isin("community", "search"), 2).otherwise(0)
-    return F.when(F.coalesce(runs, F.lit(0)) < 3, 0).when(penalty > 0, -F.least(F.lit(8), penalty + noisy)).when(bonus > 0, F.least(F.lit(4), bonus)).otherwise(0)
+    github_significant is taken from with_signals(), where that ran before.
+    """
+    whole = articles.withColumns({c: F.lit(None).cast(k) for c, k in PREFILTER_KINDS.items() if c not in articles.columns})
+    terms = prefilter_terms(preferences)
+    whole = whole.withColumn("_p", F.array(*[p.cast("int") for _, p in terms]))
+    points = [F.get("_p", F.lit(k)) for k in range(len(terms))]
+    reasons = F.filter(F.array(*[F.when(p != 0, F.concat(F.lit(n), F.when(p > 0, "+").otherwise(""), p.cast("string"))) for (n, _), p in zip(terms, points)]), lambda x: x.isNotNull())
+    return whole.withColumn("prefilter_score", reduce(lambda a, b: a + b, points)).withColumn("prefilter_reasons", reasons).drop("_p")
 
 
 def split_components(total: Column, caps: tuple[int, ...] = COMPONENT_CAPS) -> list[Column]:

@@ -77,3 +77,48 @@ ARTICLES_SQL = """b AS (
     FROM b
   )
 )"""
+
+#: Headlines that the rules have words for, one put before each title in turn; the documents' own texts are invented prose.
+HEADLINES = (
+    "OpenAI releases new API and SDK for enterprise agents", "Startup launches agent workflow platform with human review", "Regulation and compliance: new safety policy for foundation model licensing", "Personal reflections on what I learned",
+    "Register now for the webinar", "Rumor: a new model might leak", "Tutorial and starter kit with examples", "Hospital trial reports patient workflow and clinic scheduling gains",
+    "Datacenter infrastructure pricing and compute deployment update", "Smartphone camera roundup", "Football results and weather", "Framework adopted in production, SDK integration and deployment guide released",
+    "Startup funding and partnership announced", "How to build a playbook with local deployment", "Security breach and lawsuit investigation", "Benchmark results for inference and training on a new chip",
+    "Community education program for students", "", "Observability, reliability and incident response runbook", "Gaming headphones and album review",
+    "Hướng dẫn điện thoại mới", "Open source model release with public beta", "Robotics ecosystem competition and market lead", "Edge deployment simulator, self-hosted and cost-aware",
+)
+TAG_SETS = (("model_release", "api_platform"), ("developer_tools", "ai_agents", "open_source"), ("regulation", "safety"), (), ("funding", "partnership"), ("product_update", "enterprise_ai", "infrastructure"), ("education",), ("healthcare", "vietnam"))
+OWNERS = ("openai", "someone", "nvidia", "vercel")
+
+
+def headlined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles with headlines, tags and repository fields, so that the word lists of the rules meet whole texts."""
+    from ..operators.scoring import relevance_level
+
+    pick = lambda values, c: F.element_at(F.array(*values), (c % len(values) + 1).cast("int"))
+    tags = [F.array(*[F.lit(t) for t in s]).cast("array<string>") for s in TAG_SETS]
+    rows = articles(spark, sf_dir)
+    repository = F.col("source").isin("src6", "src7")
+    return (
+        rows.withColumn("title", F.concat(pick([F.lit(h) for h in HEADLINES], F.col("ord")), F.lit(" "), F.coalesce("title", F.lit(""))))
+        .withColumn("tags", pick(tags, F.floor(F.col("ord") / 3)))
+        .withColumn("github_signal_type", F.when(F.col("source") == "src6", "repository").when(F.col("source") == "src7", "release"))
+        .withColumn("github_full_name", F.when(repository, F.concat(pick([F.lit(o) for o in OWNERS], F.floor(F.col("ord") / 5)), F.lit("/kit"))))
+        .withColumn("github_stars", F.col("ord") * 37 % 9000)
+        .withColumn("event_source_count", F.col("ord") % 3 + 1)
+        .withColumn("relevance_level", relevance_level(F.col("total_score")))
+        .withColumn("freshness_unknown", F.col("ord") % 13 == 0)
+    )
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+#: The same rows as the CTE ``hl``, which reads ``a``.
+HEADLINED_SQL = f"""hl AS (
+  SELECT * REPLACE ({_listed(HEADLINES)}[CAST(ord % {len(HEADLINES)} AS INT) + 1] || ' ' || coalesce(title, '') AS title), [{", ".join(f"CAST({_listed(s)} AS VARCHAR[])" for s in TAG_SETS)}][CAST(ord // 3 % {len(TAG_SETS)} AS INT) + 1] AS tags,
+    CASE source WHEN 'src6' THEN 'repository' WHEN 'src7' THEN 'release' END AS github_signal_type, CASE WHEN source IN ('src6', 'src7') THEN {_listed(OWNERS)}[CAST(ord // 5 % {len(OWNERS)} AS INT) + 1] END AS github_owner,
+    ord * 37 % 9000 AS github_stars, ord % 3 + 1 AS event_source_count, CASE WHEN total_score >= 70 THEN 'High' WHEN total_score >= 40 THEN 'Medium' ELSE 'Low' END AS relevance_level, ord % 13 = 0 AS freshness_unknown
+  FROM a
+)"""

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import OFF_TOPIC_WORDS, TOPIC_HOSTS, TOPIC_WORDS
@@ -12,29 +10,17 @@ from ..functions import dates, text, urls
 from ..operators import dedup, events, history, ranking, recall, reports, routing, scoring
 from ..operators.stored import stored
 from ..streaming import windows
-from .adapters import ARTICLES_SQL, POLICY, articles, table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
+from .adapters import POLICY, articles, table
+from .registry import ORACLE_SQL, QUERIES, query
 
 def best() -> list:
     """Score order with a full tie-break."""
     return [F.col("total_score").desc(), F.col("ord")]
 
 
-def query(sql: str | None = None, over: str = "a") -> Callable[[Query], Query]:
-    """Register a query by its function's name; ``sql`` may read the CTE of articles."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            head = f"WITH {ARTICLES_SQL}" if over == "a" else ""
-            ORACLE_SQL[f.__name__] = f"{head}{', ' if head and sql.lstrip().startswith('+') else ' '}{sql.lstrip().lstrip('+')}".strip()
-        return f
-
-    return add
+def ascending() -> list:
+    """The same order as ascending expressions."""
+    return [-F.col("total_score"), F.col("ord")]
 
 
 # --- normalisation -------------------------------------------------------------------------------------------------
@@ -65,9 +51,9 @@ def page_title(spark, d):
     return table(spark, d, "pages").select("page_id", urls.page_title(F.col("html")).alias("title"))
 
 
-@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS published FROM orders", over="")
+@query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 20 YEAR AS DATE) AS published FROM orders", over="")
 def url_date_parse(spark, d):
-    path = F.concat(F.lit("https://news.example.com/"), F.date_format("o_orderdate", "yyyy/MM/dd"), F.lit("/"), F.col("o_orderkey"))
+    path = F.concat(F.lit("https://news.example.com/"), F.date_format(F.add_months(F.col("o_orderdate").cast("date"), 240), "yyyy/MM/dd"), F.lit("/"), F.col("o_orderkey"))
     return table(spark, d, "orders").select("o_orderkey", urls.date_in_path(path).alias("published"))
 
 
@@ -81,7 +67,7 @@ def timestamp_parse(spark, d):
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(event_id % 50 AS DOUBLE) WHEN 1 THEN CAST(event_id % 50 AS DOUBLE) * 24 WHEN 2 THEN 24.0 END AS hours FROM events""", over="")
 def relative_hints(spark, d):
     n, k = F.col("event_id") % 50, F.col("event_id") % 4
-    hint = F.when(k == 0, F.concat(n, F.lit(" hours ago"))).when(k == 1, F.concat(n, F.lit(" days ago"))).when(k == 2, "Yesterday at noon").otherwise("recently")
+    hint = F.when(k == 0, F.concat(n, F.lit(" hours ago"))).when(k == 1, F.concat(n, F.lit(" days ago"))).when(k == 2, " Yesterday ").otherwise("recently")
     return table(spark, d, "events").select("event_id", dates.hint_hours(hint).alias("hours"))
 
 
@@ -113,20 +99,20 @@ def relevance_decision(spark, d):
     return articles(spark, d).select("ord", scoring.ai_relevance(F.col("source_domain"), F.col("title"), F.col("content")).alias("r")).select("ord", "r.*")
 
 
-@query("SELECT ord, list_aggregate(list_sort(list_distinct(list_filter(regexp_extract_all(regexp_replace(strip_accents(lower(replace(title, 'ß', ''))), '[^\\x00-\\x7F]', '', 'g'), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this', 'its', 'are', 'was')))), 'string_agg', ' ') AS tokens FROM a WHERE lang = 'en'")
+@query("SELECT ord, list_aggregate(list_sort(list_distinct(list_filter(regexp_extract_all(regexp_replace(strip_accents(lower(replace(title, 'ß', ''))), '[^\\x00-\\x7F]', '', 'g'), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN $STOPWORDS))), 'string_agg', ' ') AS tokens FROM a WHERE lang = 'en'")
 def title_tokens_english(spark, d):
     rows = articles(spark, d).filter("lang = 'en'").select("ord", text.title_tokens(F.col("title")).alias("t"))
     return rows.select("ord", F.when(F.size("t") > 0, F.concat_ws(" ", "t")).alias("tokens"))
 
 
-@query("SELECT ord, list_aggregate(list_sort(list_distinct(list_filter(regexp_extract_all(regexp_replace(strip_accents(lower(replace(title, 'ß', ''))), '[^\\x00-\\x7F]', '', 'g'), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this', 'its', 'are', 'was')))), 'string_agg', ' ') AS tokens FROM a")
+@query("SELECT ord, list_aggregate(list_sort(list_distinct(list_filter(regexp_extract_all(regexp_replace(strip_accents(lower(replace(title, 'ß', ''))), '[^\\x00-\\x7F]', '', 'g'), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN $STOPWORDS))), 'string_agg', ' ') AS tokens FROM a")
 def title_tokens_all(spark, d):
     """Tokens of the title of every document, whatever its language, also without one."""
     rows = articles(spark, d).select("ord", text.title_tokens(F.col("title")).alias("t"))
     return rows.select("ord", F.when(F.size("t") > 0, F.concat_ws(" ", "t")).alias("tokens"))
 
 
-@query("SELECT ord, 'domain:' || source_domain AS source_key FROM a")
+@query("SELECT ord, source_domain AS source_key FROM a")
 def source_history_keys(spark, d):
     none = F.lit(None).cast("string")
     return articles(spark, d).select("ord", urls.source_history_key(F.col("source_domain"), F.col("url"), F.col("source"), none, none).alias("source_key"))
@@ -178,35 +164,6 @@ def merge_processed(spark, d):
 
 # --- scoring -------------------------------------------------------------------------------------------------------
 
-PREFILTER_SQL = """CASE source_tier WHEN 'a' THEN 10 WHEN 'b' THEN 7 WHEN 'c' THEN 3 ELSE 1 END
-  + CASE WHEN source_kind IN ('github', 'community') THEN 1 WHEN source_priority >= 90 THEN 4 WHEN source_priority >= 82 THEN 3 WHEN source_priority >= 74 THEN 2 WHEN source_priority >= 60 THEN 1 ELSE 0 END
-  + CASE WHEN watchlist_hit THEN 2 ELSE 0 END
-  + CASE WHEN source_kind = 'github' THEN least(1, community_signal_strength) - 3 ELSE least(4, community_signal_strength) END
-  + CASE freshness_bucket WHEN 'breaking' THEN 10 WHEN 'fresh' THEN 8 WHEN 'recent' THEN 5 WHEN 'aging' THEN -3 ELSE -8 END
-  + CASE WHEN content_available THEN 4 ELSE -3 END + CASE WHEN is_news_candidate = false THEN -12 ELSE 0 END
-  + CASE WHEN source_verified THEN 3 ELSE 0 END + CASE WHEN is_ai_relevant = false THEN -14 ELSE 0 END"""
-
-
-@query(f"SELECT ord, CAST({PREFILTER_SQL} AS INTEGER) AS prefilter_score FROM a")
-def prefilter_score(spark, d):
-    return scoring.with_prefilter(articles(spark, d)).select("ord", "prefilter_score")
-
-
-@query(f"""+ p AS (SELECT *, CAST({PREFILTER_SQL} AS INTEGER) AS s FROM a)
-SELECT ord, CASE WHEN strong THEN greatest(0, least(52, s + 16)) ELSE greatest(0, least(36, s + 12)) END AS total FROM (
-  SELECT ord, s, coalesce(is_ai_relevant, true) AND source_kind <> 'github' AND source_tier IN ('a', 'b') AND freshness_bucket IN ('breaking', 'fresh', 'recent') AND content_available AS strong FROM p)""")
-def held_out_fallback(spark, d):
-    strong = ~text.is_false(F.col("is_ai_relevant")) & (F.col("source_kind") != "github") & F.col("source_tier").isin("a", "b") & F.col("freshness_bucket").isin("breaking", "fresh", "recent") & F.col("content_available")
-    return scoring.with_prefilter(articles(spark, d)).select("ord", scoring.held_out_score(F.col("prefilter_score"), strong).alias("total"))
-
-
-@query("""SELECT ord, CASE WHEN is_old_news THEN -25 WHEN is_stale_candidate THEN -15 WHEN age_hours <= 48 AND content_available THEN 5 ELSE 0 END AS delta,
-  CASE WHEN total_score >= 70 THEN 'High' WHEN total_score >= 40 THEN 'Medium' ELSE 'Low' END AS level FROM a""")
-def freshness_penalty(spark, d):
-    delta = scoring.freshness_adjustment(F.col("age_hours"), F.lit(False), F.col("is_stale_candidate"), F.col("is_old_news"), F.col("content_available"))
-    return articles(spark, d).select("ord", delta.alias("delta"), scoring.relevance_level(F.col("total_score")).alias("level"))
-
-
 @query("""SELECT ord, c1 + CASE WHEN k > 0 AND o1 < k THEN 1 ELSE 0 END AS c1, c2 + CASE WHEN o2 < k THEN 1 ELSE 0 END AS c2, c3 + CASE WHEN o3 < k THEN 1 ELSE 0 END AS c3 FROM (
   SELECT *, CAST(r2 > r1 AS INT) + CAST(r3 > r1 AS INT) AS o1, CAST(r1 >= r2 AS INT) + CAST(r3 > r2 AS INT) AS o2, CAST(r1 >= r3 AS INT) + CAST(r2 >= r3 AS INT) AS o3, s - c1 - c2 - c3 AS k FROM (
     SELECT ord, s, s * 33 // 100 AS c1, s * 33 // 100 AS c2, s * 34 // 100 AS c3, s * 33 % 100 AS r1, s * 33 % 100 AS r2, s * 34 % 100 AS r3 FROM (SELECT ord, least(100, greatest(0, total_score)) AS s FROM a)))""")
@@ -266,7 +223,7 @@ def github_share_cap(spark, d):
 # --- events --------------------------------------------------------------------------------------------------------
 
 
-@query("""+ t AS (SELECT ord, list_sort(list_distinct(list_filter(regexp_extract_all(k, '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this', 'its', 'are', 'was')))) AS w, trim(regexp_replace(k, '[^a-z0-9]+', ' ', 'g')) AS s
+@query("""+ t AS (SELECT ord, list_sort(list_distinct(list_filter(regexp_extract_all(k, '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN $STOPWORDS))) AS w, trim(regexp_replace(k, '[^a-z0-9]+', ' ', 'g')) AS s
   FROM (SELECT ord, regexp_replace(strip_accents(lower(replace(title, 'ß', ''))), '[^\\x00-\\x7F]', '', 'g') AS k FROM a)
 ), g AS (SELECT *, min(ord) OVER (PARTITION BY w, s) AS c FROM t WHERE len(w) > 0), f AS (SELECT * FROM g WHERE ord = c
 ), p AS (SELECT x.ord AS a, y.ord AS b, len(list_intersect(x.w, y.w)) AS i, len(x.w) AS m, len(y.w) AS n, x.s AS u, y.s AS v FROM f x JOIN f y ON x.ord < y.ord)
@@ -278,10 +235,22 @@ def event_pair_similarity(spark, d):
     return events.event_pairs(rows).withColumn("kind", F.lit("alike")).unionByName(copies)
 
 
-@query()
+#: Greedy first-fit clusters over all rows: rows are taken in order and a list of leaders is carried along.
+CLUSTERS_SQL = """t AS (SELECT *, list_sort(list_distinct(list_filter(regexp_extract_all(k, '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN $STOPWORDS))) AS w, trim(regexp_replace(k, '[^a-z0-9]+', ' ', 'g')) AS s, row_number() OVER (ORDER BY total_score DESC, ord) AS p
+  FROM (SELECT *, regexp_replace(strip_accents(lower(replace(title, 'ß', ''))), '[^\\x00-\\x7F]', '', 'g') AS k FROM a)
+), q AS (SELECT x.p AS pe, y.p AS pl, len(list_intersect(x.w, y.w)) AS i, len(x.w) AS m, len(y.w) AS n, x.s AS u, y.s AS v FROM t x JOIN t y ON x.p < y.p WHERE len(x.w) > 0 AND len(y.w) > 0
+), h AS (SELECT pl, list(pe) AS l FROM q WHERE i >= 0.6 * (m + n - i) OR (i >= 3 AND i >= 0.4 * (m + n - i)) OR (i = least(m, n) AND i >= 3) OR (length(u) >= 18 AND length(v) >= 18 AND (CASE WHEN length(u) <= length(v) THEN contains(v, u) ELSE contains(u, v) END)) GROUP BY 1
+), nb AS MATERIALIZED (SELECT t.p, t.ord, coalesce(l, []) AS l FROM t LEFT JOIN h ON h.pl = t.p
+), rc(k, ld) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT rc.k + 1, CASE WHEN len(list_intersect(rc.ld, nb.l)) > 0 THEN rc.ld ELSE list_append(rc.ld, rc.k + 1) END FROM rc JOIN nb ON nb.p = rc.k + 1
+), fin AS (SELECT ld FROM rc ORDER BY k DESC LIMIT 1
+), ec AS (SELECT nb.ord, coalesce(list_min(list_intersect(nb.l, fin.ld)), nb.p) AS lp FROM nb, fin
+), ev AS (SELECT ec.ord, t.ord AS leader_id FROM ec JOIN t ON t.p = ec.lp)"""
+
+
+@query(f"+ {CLUSTERS_SQL} SELECT ord, leader_id FROM ev")
 def event_clusters(spark, d):
     rows = articles(spark, d)
-    return events.event_clusters(rows, events.event_pairs(rows), best())
+    return events.event_clusters(rows, events.event_pairs(rows), ascending())
 
 
 # --- history -------------------------------------------------------------------------------------------------------
@@ -298,11 +267,13 @@ HISTORY_SQL = """h AS (
 ), z AS (SELECT *, CASE status WHEN 'trusted' THEN 4 WHEN 'positive' THEN 2 ELSE 0 END AS bonus, CASE WHEN status = 'muted' THEN 14 WHEN status = 'watch' AND q <= 35 THEN 8 WHEN status = 'watch' THEN 4 ELSE 0 END AS penalty FROM s)"""
 
 
-def history_of_events(spark, d) -> DataFrame:
-    """Users as sources, events as outcomes."""
+def history_of_events(spark, d, key=None, kept=None) -> DataFrame:
+    """Events as outcomes of sources: by default each user is a source."""
     n = lambda test: F.count(F.when(test, 1))
     kind, value = F.col("event_type"), F.col("value")
-    return table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("source_key")).agg(
+    events_ = table(spark, d, "events")
+    events_ = events_ if kept is None else events_.filter(kept)
+    return events_.groupBy((F.col("user_id").cast("string") if key is None else key).alias("source_key")).agg(
         F.count_distinct(F.col("ts").cast("date")).alias("runs_seen"), F.count("*").alias("raw_articles"), n(kind != "error").alias("scored_articles"),
         n((kind == "purchase") & (value > 50)).alias("selected_main"), n((kind == "signup") & (value > 80)).alias("selected_github"), F.lit(0).alias("selected_facebook"),
         n(kind == "error").alias("skipped_old"), n((kind == "view") & (value < 10)).alias("skipped_speculation"), F.lit(0).alias("skipped_promo"), n((kind == "click") & (value < 20)).alias("skipped_weak"),
@@ -327,15 +298,6 @@ def source_history_merge(spark, d):
     return merged.select("source_key", "runs_seen", "raw_articles", "skipped_old", "last_selected_at")
 
 
-@query("""SELECT user_id, runs, CASE WHEN runs < 3 THEN 0 WHEN penalty > 0 THEN -least(8, penalty + 2 * CAST(kind = 'community' AS INT)) WHEN bonus > 0 THEN least(4, bonus) ELSE 0 END AS delta
-FROM (SELECT user_id, count(*) % 6 AS runs, count(*) % 9 AS penalty, count(*) % 7 AS bonus, CASE WHEN user_id % 2 = 0 THEN 'community' ELSE 'official' END AS kind FROM events GROUP BY user_id)""", over="")
-def history_adjustment(spark, d):
-    n = F.col("n")
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    delta = scoring.history_adjustment(n % 6, n % 7, n % 9, F.when(F.col("user_id") % 2 == 0, "community").otherwise("official"))
-    return rows.select("user_id", (n % 6).alias("runs"), delta.alias("delta"))
-
-
 @query("""SELECT event_id, user_id FROM (SELECT * FROM (SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 240) WHERE ts >= TIMESTAMP '2024-01-28 00:00:00' ORDER BY ts DESC, event_id LIMIT 80)""", over="")
 def history_window(spark, d):
     recent = history.recent_history(table(spark, d, "events"), "ts", F.lit("2024-01-28 00:00:00").cast("timestamp_ntz"), 80, "event_id")
@@ -385,7 +347,7 @@ def topic_pages(spark, d):
     return ranking.top_per_group(groups, ["primary_type"], [F.col("n").desc(), F.col("max_score").desc(), F.col("source_domain")], 12)
 
 
-@query("""SELECT w AS token, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(regexp_extract_all(regexp_replace(strip_accents(lower(replace(title, 'ß', ''))), '[^\\x00-\\x7F]', '', 'g'), '[a-z0-9]+'), lambda x: length(x) >= 4 AND x NOT IN ('with', 'from', 'that', 'this')))) AS w FROM a) GROUP BY 1 ORDER BY n DESC, token LIMIT 5""")
+@query("""SELECT w AS token, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(regexp_extract_all(regexp_replace(strip_accents(lower(replace(title, 'ß', ''))), '[^\\x00-\\x7F]', '', 'g'), '[a-z0-9]+'), lambda x: length(x) >= 4 AND x NOT IN $STOPWORDS))) AS w FROM a) GROUP BY 1 ORDER BY n DESC, token LIMIT 5""")
 def weekly_themes(spark, d):
     return reports.themes(articles(spark, d), "title")
 
@@ -428,66 +390,7 @@ def retention_plan(spark, d):
     return plan.select("o_orderkey", "place", "action")
 
 
-# --- routing and judging -------------------------------------------------------------------------------------------
-
-
-def routed(spark, d) -> DataFrame:
-    rows = articles(spark, d)
-    n = F.length("content")
-    return routing.route(
-        rows.withColumn("fresh_signal", F.col("freshness_bucket").isin("breaking", "fresh", "recent"))
-        .withColumn("project_fit", F.when(n % 3 == 0, "high").when(n % 3 == 1, "medium").otherwise("low"))
-        .withColumn("operator_strength", (n % 9).cast("int"))
-        .withColumn("novelty_strength", (n % 6).cast("int"))
-        .withColumn("github_significant", n % 2 == 0)
-        .withColumn("freshness_unknown", F.lit(False))
-        .withColumn("promo", n % 17 == 0)
-        .withColumn("speculation", n % 11 == 0)
-    )
-
-
-ROUTED_SQL = """r0 AS (SELECT *, length(content) AS n, freshness_bucket IN ('breaking', 'fresh', 'recent') AS fresh, is_stale_candidate OR is_old_news AS old FROM a
-), r1 AS (SELECT *, CAST(n % 9 AS INT) AS op, CAST(n % 6 AS INT) AS nv, n % 2 = 0 AS sig, n % 17 = 0 AS promo, n % 11 = 0 AND source_kind IN ('community', 'github') AS spec,
-  total_score + CASE WHEN fresh THEN 4 ELSE 0 END + CASE n % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE -2 END + CASE WHEN n % 9 >= 6 THEN 6 WHEN n % 9 >= 3 THEN 2 ELSE -6 END + CASE WHEN n % 6 >= 4 THEN 4 WHEN n % 6 >= 2 THEN 1 ELSE 0 END - CASE WHEN content_available THEN 0 ELSE 4 END AS base FROM r0
-), r2 AS (SELECT *, CASE WHEN source_kind IN ('official', 'watchlist') THEN base + 6 WHEN source_kind = 'strong_media' THEN base + 4 WHEN source_kind = 'regional_media' THEN base - 2 WHEN source_kind = 'github' AND sig THEN least(base + 2, 76) WHEN source_kind = 'github' THEN least(base, 44)
-  WHEN source_kind = 'community' THEN least(base, CASE WHEN op >= 4 AND nv >= 3 THEN 56 ELSE 44 END) ELSE base END AS raw FROM r1
-), r3 AS (SELECT *, (is_ai_relevant IS NOT NULL AND NOT is_ai_relevant) AS na, CASE source_kind WHEN 'github' THEN 74 WHEN 'official' THEN 50 WHEN 'watchlist' THEN 52 WHEN 'strong_media' THEN 56 WHEN 'regional_media' THEN 68 WHEN 'search' THEN 64 ELSE 62 END AS t1,
-  CASE source_kind WHEN 'github' THEN 68 WHEN 'official' THEN 42 WHEN 'watchlist' THEN 44 WHEN 'strong_media' THEN 48 WHEN 'regional_media' THEN 62 WHEN 'search' THEN 56 ELSE 54 END AS t2,
-  CASE source_kind WHEN 'github' THEN 6 WHEN 'official' THEN 4 WHEN 'watchlist' THEN 4 WHEN 'strong_media' THEN 4 WHEN 'regional_media' THEN 6 ELSE 5 END AS t3 FROM r2
-), r4 AS (SELECT *, CASE WHEN na OR old OR promo OR spec THEN 'archive_only' WHEN source_kind = 'github' AND NOT (sig AND op >= 5 AND nv >= 3 AND fresh AND raw >= 64) THEN 'github' WHEN source_kind = 'community' AND NOT (op >= 4 AND nv >= 3 AND fresh AND total_score >= 52) THEN 'archive_only' ELSE 'main' END AS lane FROM r3
-), r AS (SELECT *, CASE WHEN na OR old OR promo OR spec THEN 'ineligible' WHEN lane = 'github' THEN CASE WHEN total_score >= 40 THEN 'review' ELSE 'ineligible' END WHEN lane = 'archive_only' THEN CASE WHEN total_score >= 44 THEN 'review' ELSE 'ineligible' END WHEN raw >= t1 AND op >= t3 THEN 'eligible' WHEN raw >= t2 THEN 'review' ELSE 'ineligible' END AS elig,
-  CASE WHEN na THEN 'not_ai' WHEN old THEN 'stale' WHEN promo THEN 'promo' WHEN spec THEN 'speculation' WHEN lane = 'github' THEN CASE WHEN total_score >= 40 THEN 'github_topic_only' ELSE 'weak_signal' END WHEN lane = 'archive_only' THEN CASE WHEN total_score >= 44 THEN 'low_operator_value' ELSE 'weak_signal' END WHEN raw >= t1 AND op >= t3 THEN '' WHEN op < t3 THEN 'low_operator_value' ELSE 'weak_signal' END AS reason, greatest(0, least(100, raw)) AS mb FROM r4)"""
-
-
-@query(f"+ {ROUTED_SQL} SELECT ord, lane AS delivery_lane_candidate, elig AS main_brief_eligibility, CAST(mb AS INTEGER) AS main_brief_score, reason AS main_brief_skip_reason FROM r")
-def routing_policy(spark, d):
-    return routed(spark, d).select("ord", "delivery_lane_candidate", "main_brief_eligibility", "main_brief_score", "main_brief_skip_reason")
-
-
-def judged(spark, d) -> DataFrame:
-    """Judged articles; the routed ones are written first, which cuts the nested rules into two plans."""
-    rows = stored(routed(spark, d).drop("content", "title", "url"), "routed")
-    sure = routing.confidence(F.col("total_score"), F.col("content_available"), F.col("source_tier"))
-    return routing.judge(rows.withColumn("confidence_label", sure).withColumn("event_cluster_size", (F.col("ord") % 3 + 1).cast("int")).withColumn("event_is_primary", F.col("ord") % 7 != 0))
-
-
-JUDGED_SQL = """j0 AS (SELECT *, CASE WHEN total_score >= 70 AND content_available AND source_tier IN ('a', 'b') THEN 4 WHEN total_score >= 45 AND content_available THEN 3 ELSE 2 END AS g, CASE WHEN mb >= 65 THEN 4 WHEN mb >= 48 THEN 3 WHEN mb >= 36 THEN 2 ELSE 1 END AS l, ord % 3 + 1 >= 2 AS tog, ord % 7 = 0 AS twin, old OR freshness_bucket IN ('aging', 'stale') AS st FROM r
-), j1 AS (SELECT *, CASE WHEN (source_kind IN ('official', 'watchlist') AND mb >= 46) OR (source_kind = 'strong_media' AND mb >= 50) THEN greatest(l, 4) WHEN source_kind = 'github' THEN least(l, 3) ELSE l END AS v FROM j0
-), j2 AS (SELECT *, CASE WHEN NOT na AND tog THEN least(5, g + 1) ELSE g END AS gs, CASE WHEN NOT na AND NOT twin AND st THEN 0 WHEN is_stale_candidate THEN 0 ELSE 4 END AS fs, CASE WHEN na THEN 0 WHEN tog THEN least(5, v + 1) ELSE v END AS os FROM j1
-), j AS (SELECT *, gs + fs + os AS ds, CASE WHEN na OR twin OR st THEN 'skip' WHEN elig = 'eligible' AND gs + fs + os >= 9 THEN 'include' WHEN elig = 'ineligible' THEN 'skip' ELSE 'review' END AS dec, CASE WHEN na THEN 'not_ai' WHEN twin THEN 'duplicate_event' WHEN st THEN 'stale' WHEN elig <> 'eligible' THEN reason ELSE '' END AS why FROM j2)"""
-
-
-@query(f"+ {ROUTED_SQL}, {JUDGED_SQL} SELECT ord, gs AS groundedness_score, fs AS freshness_score, os AS operator_value_score, ds AS delivery_score, dec AS delivery_decision, why AS delivery_skip_reason FROM j")
-def judge_scores(spark, d):
-    return judged(spark, d).select("ord", "groundedness_score", "freshness_score", "operator_value_score", "delivery_score", "delivery_decision", "delivery_skip_reason")
-
-
-@query(f"""+ {ROUTED_SQL}, {JUDGED_SQL}, c AS (SELECT count(*) AS scored_count, count(DISTINCT source_domain) AS source_diversity, count(*) FILTER (WHERE source_kind = 'github') AS github_count, count(*) FILTER (WHERE source_tier IN ('a', 'b')) AS strong_count, count(*) FILTER (WHERE freshness_bucket IN ('aging', 'stale')) AS stale_count,
-  count(*) FILTER (WHERE dec = 'include') AS main_candidates, count(*) FILTER (WHERE dec = 'include' AND source_tier IN ('a', 'b')) AS strong_main, count(*) FILTER (WHERE dec = 'include' AND source_kind = 'official') AS official_main FROM j
-), s AS (SELECT *, CASE WHEN scored_count = 0 OR main_candidates = 0 OR strong_main = 0 THEN 'red' WHEN main_candidates = 1 OR source_diversity <= 2 OR github_count >= 0.75 * scored_count OR strong_count < least(3, greatest(1, scored_count // 3)) OR stale_count >= greatest(3, scored_count // 4) OR official_main = 0 THEN 'yellow' ELSE 'green' END AS status FROM c)
-SELECT *, status = 'green' OR (status = 'yellow' AND strong_main >= 1) AS publish_ready FROM s""")
-def run_health_metrics(spark, d):
-    return reports.run_health(judged(spark, d))
+# --- memo ------------------------------------------------------------------------------------------------------------
 
 
 @query("""SELECT section, place, ord, title, total_score FROM (
@@ -511,10 +414,10 @@ def recall_topk(spark, d):
     return recall.recall(items.filter("id % 50 = 0"), items, 5).select("query_id", "place", "id", "distance")
 
 
-@query(f"WITH {DISTANCE_SQL} SELECT query_id, place, id, distance FROM k WHERE place <= 3 AND distance < 0.7", over="")
+@query(f"WITH {DISTANCE_SQL} SELECT query_id, place, id, distance FROM k WHERE place <= 3 AND distance < 0.3", over="")
 def related_past(spark, d):
     items = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return recall.recall(items.filter("id % 50 = 0"), items, 3, 0.7).select("query_id", "place", "id", "distance")
+    return recall.recall(items.filter("id % 50 = 0"), items, 3, 0.3).select("query_id", "place", "id", "distance")
 
 
 # --- time windows (extensions) -------------------------------------------------------------------------------------
@@ -534,7 +437,9 @@ def sessionised(spark, d):
 # --- messages ------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("""SELECT doc_id, CAST(len(p) AS INTEGER) AS n, CAST(list_max(list_transform(p, lambda x: length(x))) AS INTEGER) AS longest FROM (
+  SELECT doc_id, CASE WHEN len(x) = 0 THEN [] ELSE list_reduce(list_transform(x, lambda y: [y]), lambda a, b: CASE WHEN length(a[-1]) + length(b[1]) + 2 <= 4000 THEN list_append(list_slice(a, 1, len(a) - 1), a[-1] || chr(10) || chr(10) || b[1]) ELSE list_append(a, b[1]) END) END AS p FROM (
+    SELECT doc_id, list_filter(string_split_regex(replace(coalesce(text, ''), chr(10), chr(10) || chr(10)), '\\n\\n+'), lambda y: y <> '') AS x FROM documents))""", over="")
 def message_pieces(spark, d):
     """Long texts cut at blank lines into messages: per document, how many and the longest."""
     pieces = text.message_chunks(F.replace("text", F.lit("\n"), F.lit("\n\n")), 4000)
@@ -542,7 +447,7 @@ def message_pieces(spark, d):
     return rows.select("doc_id", F.size("p").alias("n"), F.array_max(F.transform("p", F.length)).alias("longest"))
 
 
-@query("SELECT name, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' THEN 'stale' WHEN event_type = 'click' THEN 'promo' WHEN event_type = 'view' THEN '' WHEN event_type = 'signup' THEN 'duplicate_event' ELSE 'weak_signal' END AS name FROM events) GROUP BY 1", over="")
+@query("SELECT name, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' THEN 'stale' WHEN event_type = 'click' THEN 'weak_signal' WHEN event_type = 'view' THEN '' WHEN event_type = 'signup' THEN 'duplicate_event' ELSE 'weak_signal' END AS name FROM events) GROUP BY 1", over="")
 def skip_reasons(spark, d):
     raw = F.when(F.col("event_type") == "error", "Old").when(F.col("event_type") == "click", " marketing ").when(F.col("event_type") == "view", "").when(F.col("event_type") == "signup", "duplicate").otherwise("strange")
     return table(spark, d, "events").groupBy(text.skip_reason(raw).alias("name")).agg(F.count("*").alias("n"))
@@ -551,19 +456,6 @@ def skip_reasons(spark, d):
 # --- selection and model output ------------------------------------------------------------------------------------
 
 
-@query(f"""+ {ROUTED_SQL}, {JUDGED_SQL}, k AS (SELECT * FROM j WHERE dec = 'include'), z AS (SELECT count(*) AS nk, count(*) FILTER (WHERE source_kind = 'official') AS o FROM k
-), g AS (SELECT k.*, mb >= CASE WHEN source_kind IN ('official', 'watchlist') THEN 50 WHEN source_kind = 'strong_media' THEN 54 WHEN source_kind = 'github' THEN 68 ELSE 60 END + CASE WHEN nk < 6 OR o = 0 THEN 4 ELSE 0 END AND ds >= 9 AS good, CASE WHEN nk >= 12 THEN 6 WHEN nk >= 6 THEN 5 ELSE 4 END AS most FROM k, z
-), p AS (SELECT * FROM g WHERE good OR NOT (SELECT coalesce(bool_or(good), false) FROM g)
-), s AS (SELECT ord FROM p WHERE source_kind = 'official' ORDER BY mb DESC, ord LIMIT 1
-), c AS (SELECT ord, row_number() OVER (ORDER BY CASE WHEN ord IN (SELECT ord FROM s) THEN 0 ELSE 1 END, mb DESC, ord) AS i, most FROM p)
-SELECT ord, mb::INTEGER AS main_brief_score, ord IN (SELECT ord FROM c WHERE i <= most) AS selected FROM k""")
-def main_brief_selection(spark, d):
-    from ..operators import selection
-
-    rows = judged(spark, d).filter("delivery_decision = 'include'").select("ord", "source_kind", "main_brief_score", "delivery_score")
-    return selection.select_main_brief(rows, [F.col("main_brief_score").desc(), F.col("ord")]).select("ord", "main_brief_score", "selected")
-
-
 @query("""SELECT event_id, CAST(40 + least(18, CAST(floor(log10(greatest(1, user_id * 37)) * 6) AS INTEGER)) + least(20, 3 * (event_id % 9)) + CASE WHEN event_type = 'purchase' THEN 10 ELSE 0 END + CASE WHEN event_id % 60 <= 3 THEN 14 WHEN event_id % 60 <= 14 THEN 8 WHEN event_id % 60 <= 45 THEN 3 ELSE 0 END AS BIGINT) AS rank FROM events""", over="")
 def repository_rank(spark, d):
     from ..operators import selection
@@ -604,11 +496,21 @@ def merge_observability(spark, d):
     return selection.merge_counters(rows, "user_id", ["calls"], ["failed"], ["last_status"], "ts")
 
 
-@query()
+@query(f"""+ {CLUSTERS_SQL}, e AS (SELECT a.*, ev.leader_id FROM a JOIN ev USING (ord)
+), f AS (SELECT *, row_number() OVER (PARTITION BY primary_type, leader_id ORDER BY total_score DESC, ord) AS k FROM e WHERE age_hours <= 168
+), g AS (SELECT *, CAST(row_number() OVER (PARTITION BY primary_type ORDER BY total_score DESC, ord) AS INTEGER) AS place FROM f WHERE k = 1
+), w AS (SELECT primary_type, CASE WHEN place <= 3 THEN 'top' ELSE 'overflow' END AS part, place, ord, total_score, leader_id FROM g WHERE place <= 3 OR (place <= 5 AND total_score >= 90)
+), x AS (SELECT *, row_number() OVER (PARTITION BY primary_type, leader_id ORDER BY total_score DESC, ord) AS k FROM e WHERE age_hours > 168 AND leader_id NOT IN (SELECT leader_id FROM w)
+), y AS (SELECT *, row_number() OVER (PARTITION BY primary_type ORDER BY total_score DESC, ord) AS n FROM x WHERE k = 1
+), z AS (SELECT y.*, CAST(coalesce(c, 0) + n AS INTEGER) AS place FROM y LEFT JOIN (SELECT primary_type, count(*) AS c FROM w GROUP BY 1) USING (primary_type))
+SELECT primary_type, part, place, ord, total_score FROM w UNION ALL SELECT primary_type, 'archive', place, ord, total_score FROM z WHERE place <= 3""")
 def section_selection(spark, d):
     """Per lane the best stories of fresh rows, filled from older ones."""
     from ..operators import selection
 
     rows = articles(spark, d).select("ord", "title", "total_score", "primary_type", "age_hours")
-    clustered = rows.join(events.event_clusters(rows, events.event_pairs(rows), best()), "ord")
+    clustered = rows.join(events.event_clusters(rows, events.event_pairs(rows), ascending()), "ord")
     return selection.select_sections(clustered.filter("age_hours <= 168"), clustered.filter("age_hours > 168"), "primary_type", best()).select("primary_type", "part", "place", "ord", "total_score")
+
+
+from . import editorial, intake  # noqa: E402, F401  register their queries

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +11,18 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.history import COUNTS, insert_new, merge_history
 
 
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where there is none yet."""
+    try:
+        table = spark.read.parquet(path)
+        table.schema  # noqa: B018
+        return table
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
+            raise
+        return None
+
+
 def _table(spark: SparkSession, path: str, schema) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
@@ -31,13 +45,31 @@ def sync_feedback(stream: DataFrame, table_path: str, checkpoint: str, key: str
 def keep_source_history(stream: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
     """Add each batch's counts (source_key, counts, last_selected_at) to the history.
 
-    Versions of the table are kept by batch number: batch n reads version n - 1 and writes version n, so running a
-    batch again does not count it twice.
+    Each batch writes a whole version of the table, from the newest one before; the version's path tells which batch of which
+    checkpoint made it. A batch that runs again finds its own version and writes it anew from the one before, so
+    nothing is counted twice; a new checkpoint, or a gap in batch numbers, goes on from the newest version.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        old = _table(batch.sparkSession, f"{table_path}/version={number - 1}", batch.schema)
+        spark = batch.sparkSession
+        mark = hashlib.md5(f"{checkpoint}#{number}".encode()).hexdigest()
+        known = _existing(spark, table_path)
+        # One row a version, from the paths alone.
+        versions = sorted((r["version"], r["made_by"]) for r in known.select("version", "made_by").distinct().collect()) if known is not None else []
+        own = [v for v, m in versions if m == mark]
+        target = own[-1] if own else versions[-1][0] + 1 if versions else 0
+        before = [v for v, _ in versions if v < target]
         run = batch.groupBy("source_key").agg(*[F.sum(c).alias(c) for c in COUNTS], F.max("last_selected_at").alias("last_selected_at"))
-        merge_history(old, run).write.mode("overwrite").parquet(f"{table_path}/version={number}")
+        merged = merge_history(known.filter(F.col("version") == before[-1]), run) if before else run
+        merged.write.mode("overwrite").parquet(f"{table_path}/version={target}/made_by={mark}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest_source_history(spark: SparkSession, table_path: str) -> DataFrame | None:
+    """The newest version that keep_source_history() wrote, or None."""
+    known = _existing(spark, table_path)
+    if known is None:
+        return None
+    newest = known.agg(F.max("version")).first()[0]
+    return known.filter(F.col("version") == newest).drop("version", "made_by")

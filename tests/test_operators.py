@@ -7,6 +7,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from briefwell.config import TITLE_STOPWORDS
 from briefwell.functions import dates, text, urls
 from briefwell.operators import dedup, events, history, ranking, reports, routing, scoring
 from briefwell.plans.adapters import POLICY
@@ -44,12 +45,15 @@ def test_source_kind_order(spark):
 
 
 def test_dates(spark):
-    assert str(one(spark, urls.date_in_path(F.lit("https://a.b/2024/1/5/x")))) == "2024-01-05"
-    assert one(spark, urls.date_in_path(F.lit("https://a.b/2024/13/5/x"))) is None
+    for url, day in (("https://a.b/2024/01/05/x", "2024-01-05"), ("https://a.b/2024/13/05/x", None), ("https://a.b/2023/02/30/x", None), ("https://a.b/n-20240105.html", "2024-01-05"), ("https://a.b/x240105y", "2024-01-05"), ("https://a.b/199912", None), ("https://a.b/id-99240105", "2024-01-05"), (None, None)):
+        assert str(one(spark, urls.date_in_path(F.lit(url).cast("string")))) == str(day), url
+    for given, moment in (("2024-01-05T10:00:00+07:00", "2024-01-05 03:00:00"), ("2024-01-05T10:00:00.250Z", "2024-01-05 10:00:00.250000"), ("2024-01-05 10:00:00-0530", "2024-01-05 15:30:00"), ("Fri, 05 Jan 2024 10:00:00 GMT", "2024-01-05 10:00:00"), ("5 Jan 2024 10:00:00 +0700", "2024-01-05 03:00:00"), ("Fri, 05 Jan 2024 10:00:00 EST", "2024-01-05 15:00:00"), ("2024-01-05", "2024-01-05 00:00:00"), ("05/01/2024 07:30", "2024-01-05 07:30:00"), ("05/01/2024", "2024-01-05 00:00:00"), (" 2024-01-05T10:00 ", "2024-01-05 10:00:00"), ("2024-13-05", None), ("", None), (None, None)):
+        assert str(one(spark, dates.parse_timestamp(F.lit(given).cast("string")))) == str(moment), given
     assert str(one(spark, dates.parse_timestamp(F.lit("2024-01-05T10:00:00Z")))) == "2024-01-05 10:00:00"
     assert one(spark, dates.parse_timestamp(F.lit("soon"))) is None
     assert one(spark, dates.hint_hours(F.lit("2 days ago"))) == 48.0
     assert one(spark, dates.hint_hours(F.lit("1 năm"))) == 8760.0
+    assert [one(spark, dates.hint_hours(F.lit(h).cast("string"))) for h in ("hôm qua", "vừa xong", "Yesterday at noon", "about 3 days", "3 daylight", "30 mins", None)] == [24.0, 0.0, None, None, None, 0.5, None]
 
 
 def test_component_split_sums_up(spark):
@@ -98,7 +102,7 @@ def test_routing_cases(spark):
         assert (r.delivery_lane_candidate, r.main_brief_eligibility, r.main_brief_skip_reason) == (lane, state, why)
 
 
-STOP = {"the", "and", "for", "with", "from", "that", "this", "its", "are", "was"}
+STOP = set(TITLE_STOPWORDS)
 
 
 def tokens_and_slug(title):
@@ -122,7 +126,7 @@ def test_event_clusters_are_greedy(spark):
     names = "openai mistral launch model agent chip cloud fund raises million bench score tool code open".split()
     rows = [(i, " ".join(rng.sample(names, rng.randint(1, 6))), rng.randrange(20)) for i in range(150)] + [(150, "", 5), (151, None, 5), (152, rng.choice(names) * 4, 3)]
     frame = spark.createDataFrame(rows, "ord int, title string, total_score int")
-    order = [F.col("total_score").desc(), F.col("ord")]
+    order = [-F.col("total_score"), F.col("ord")]
     got = {r.ord: r.leader_id for r in events.event_clusters(frame, events.event_pairs(frame), order).collect()}
     leaders, expected = [], {}
     for ord_, title, _ in sorted(rows, key=lambda r: (-r[2], r[0])):

@@ -65,6 +65,21 @@ def test_feedback_stream_is_idempotent(spark, tmp_path):
     assert sorted(r.update_id for r in spark.read.parquet(table).collect()) == [1, 2]
 
 
+def test_source_history_stream_goes_on_under_a_new_checkpoint(spark, tmp_path):
+    from briefwell.operators.history import COUNTS
+
+    counts = ", ".join(f"{c} int" for c in COUNTS)
+    rows = spark.createDataFrame([("s", *[k + 1 for k in range(len(COUNTS))], "2024-01-01"), ("t", *[1] * len(COUNTS), "")], f"source_key string, {counts}, last_selected_at string")
+    source, table = tmp_path / "in", str(tmp_path / "table")
+    rows.coalesce(1).write.json(str(source))
+    run = lambda name: state.keep_source_history(spark.readStream.schema(rows.schema).json(str(source)), table, str(tmp_path / name)).awaitTermination()
+    for name, times in (("c1", 1), ("c1", 1), ("c2", 2)):  # the second run of c1 has no new files
+        run(name)
+        got = {r.source_key: r for r in state.newest_source_history(spark, table).collect()}
+        assert got["s"].skipped_weak == 10 * times and got["t"].runs_seen == times and got["s"].last_selected_at == "2024-01-01"
+    assert state.newest_source_history(spark, str(tmp_path / "none")) is None
+
+
 def test_windows_stream_equals_batch(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet").withColumn("at", F.col("ts").cast("timestamp")).select("at", "event_type")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
