@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -170,3 +172,44 @@ def replay(preview: DataFrame, approved: DataFrame, key: str = "url") -> DataFra
     first = approved.groupBy(F.col(key).alias("_key")).agg(F.min("place").alias("place"))
     once = preview.dropDuplicates([key])
     return once.join(first, F.col(key) == F.col("_key")).drop("_key")
+
+
+# Tags that make an article fit the workspace, and headings at which an analysis is cut for a note.
+FIT_TAGS = ("api_platform", "model_release", "funding", "research", "vietnam")
+NOTE_ENDS = ("\n## Action For Us", "\n## Recommendation")
+
+
+def workspace_fit(decision: Column, score: Column, tier: Column, tags: Column) -> Column:
+    """High for what is included, scores 75 or more or carries a fitting tag; Medium for deep rows and from 55 points; else Low."""
+    n = F.coalesce(score, F.lit(0))
+    lowered = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))
+    high = (F.lower(F.trim(F.coalesce(decision, F.lit("")))) == "include") | (n >= 75) | F.arrays_overlap(lowered, F.array(*[F.lit(t) for t in FIT_TAGS]))
+    return F.when(F.coalesce(high, F.lit(False)), "High").when((F.lower(F.trim(F.coalesce(tier, F.lit("")))) == "deep") | (n >= 55), "Medium").otherwise("Low")
+
+
+def workspace_status(decision: Column, primary: Column, score: Column) -> Column:
+    said = F.lower(F.trim(F.coalesce(decision, F.lit(""))))
+    return F.when(said == "include", "Brief").when(said == "review", "Review").when(is_false(primary), "Cluster").when(F.coalesce(score, F.lit(0)) >= 55, "Watch").otherwise("Hold")
+
+
+def note_excerpt(page: Column, analysis: Column, summary: Column) -> Column:
+    """The first text there is, cut before its advice."""
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    text = bare(F.coalesce(*[F.nullif(c, F.lit("")) for c in (page, analysis, summary)], F.lit("")))
+    return reduce(lambda acc, end: bare(F.split_part(acc, F.lit(end), F.lit(1))), NOTE_ENDS, text)
+
+
+def topic_hits(articles: DataFrame, topics: DataFrame, text: Column, id_col: str = "ord") -> DataFrame:
+    """(topic, id): articles that hold a topic as a whole, or two of its words of three characters or more (one, if it has but one).
+
+    Topics are a watchlist: they are counted and checked to be few (10,000 at most), then put into the plan as one array, so texts are not
+    shuffled.
+    """
+    clean = topics.select(F.lower(F.trim(F.col("topic"))).alias("t"), "topic").filter("t <> ''").distinct()
+    if clean.count() > 10_000:
+        raise ValueError("a watchlist has at most 10,000 topics; match larger lists in parts")
+    listed = [{"topic": r["topic"], "t": r["t"], "words": [w for w in re.findall("[a-z0-9]+", r["t"]) if len(w) >= 3]} for r in clean.orderBy("topic").collect()]
+    known = F.from_json(F.lit(json.dumps(listed)), "array<struct<topic:string,t:string,words:array<string>>>")
+    low_text = articles.select(F.col(id_col).alias("_id"), F.lower(F.coalesce(text, F.lit(""))).alias("_text"))
+    met = lambda x: F.col("_text").contains(x["t"]) | ((F.size(x["words"]) > 0) & (F.size(F.filter(x["words"], lambda w: F.col("_text").contains(w))) >= F.least(F.lit(2), F.size(x["words"]))))
+    return low_text.select(F.explode(F.filter(known, met)).alias("x"), "_id").select(F.col("x.topic").alias("topic"), F.col("_id").alias(id_col))

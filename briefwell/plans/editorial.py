@@ -146,9 +146,12 @@ def history_adjustment(spark, d):
 WHOLE = "lower(title || ' ' || coalesce(content, ''))"
 
 
-@query(f"""+ {HEADLINED_SQL} SELECT ord, CASE WHEN NOT content_available AND total_score <= 15 AND {any_of(classify.LANDING_WORDS, TITLE)} THEN 'Practical'
+RIGHT_SQL = f"""CASE WHEN NOT content_available AND total_score <= 15 AND {any_of(classify.LANDING_WORDS, TITLE)} THEN 'Practical'
   WHEN {any_of(("ecosystem", "hệ sinh thái", "he sinh thai"), TITLE)} AND NOT {any_of(("startup", "partnership", "partners with"), TITLE)} THEN 'Society & Culture' WHEN {any_of(K.POLICY_WORDS, TITLE)} THEN 'Society & Culture'
-  WHEN {any_of(K.SOCIETY_WORDS, TITLE)} AND primary_type <> 'Product' AND NOT {any_of(("startup", "partnership", "partners with"), TITLE)} THEN 'Society & Culture' ELSE primary_type END AS primary_type FROM hl""")
+  WHEN {any_of(K.SOCIETY_WORDS, TITLE)} AND primary_type <> 'Product' AND NOT {any_of(("startup", "partnership", "partners with"), TITLE)} THEN 'Society & Culture' ELSE primary_type END"""
+
+
+@query(f"+ {HEADLINED_SQL} SELECT ord, {RIGHT_SQL} AS primary_type FROM hl")
 def lane_put_right(spark, d):
     rows = signals.with_absent(headlined(spark, d), classify.KINDS)
     return rows.select("ord", classify.normalised_lane(rows).alias("primary_type"))
@@ -192,6 +195,10 @@ ROUTED_SQL = f"""{SIGNALS_SQL}, r0 AS (SELECT *, total_score + {" + ".join(f"CAS
   CAST(greatest(0, least(100, raw)) AS INT) AS mb, list_filter(['source_kind:' || source_kind, {", ".join(CODES_SQL)}], lambda z: z IS NOT NULL)[1:12] AS codes FROM r3)"""
 
 
+#: The same over lanes put right.
+FINAL_SQL = ROUTED_SQL.replace("FROM hl\n), s1", f"FROM (SELECT * REPLACE ({RIGHT_SQL} AS primary_type) FROM hl)\n), s1")
+
+
 def routed(spark, d) -> DataFrame:
     """Routed articles; signals are written first, which cuts the nested rules into two plans."""
     return routing.route(stored(signals.with_signals(headlined(spark, d)).drop("content"), "signals"))

@@ -10,7 +10,7 @@ from ..config import TOPIC_WORDS
 from ..functions import repair, urls
 from ..operators import classify, delivery, gates, history, routing
 from .adapters import HEADLINED_SQL, HEADLINES, headlined, table
-from .editorial import LANE_SQL, TITLE, any_of
+from .editorial import FINAL_SQL, LANE_SQL, PREFILTER_SQL, SIGNALS_SQL, TITLE, any_of, prefiltered
 from .queries import HISTORY_SQL, history_of_events
 from .registry import query
 
@@ -326,3 +326,90 @@ def iso_days(spark, d):
     k = F.col("event_id") % 3
     text = F.when(k == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, "soon")
     return table(spark, d, "events").select("event_id", date_start(text).alias("day"))
+
+
+# --- whole runs ----------------------------------------------------------------------------------------------------
+
+
+def raw_articles(spark, d) -> DataFrame:
+    """Headlined documents as landed articles: only what a source gives."""
+    rows = headlined(spark, d)
+    day = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-31").cast("timestamp")) - F.col("age_hours").cast("long") * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return rows.select("ord", "title", "content", "url", "source", "github_signal_type", "github_full_name", "github_stars", "tags", F.when(F.col("ord") % 13 != 0, day).alias("published"))
+
+
+@query(f"""+ {HEADLINED_SQL}, n AS (SELECT *, length(trim(coalesce(content, ''))) >= 200 AS ca, CASE WHEN ord % 13 <> 0 THEN CAST(floor(age_hours) AS DOUBLE) END AS ah FROM hl)
+SELECT ord, source_domain, CASE WHEN ah IS NULL THEN 'unknown' ELSE 'source_metadata' END AS published_at_source, ah AS age_hours, CASE WHEN ah IS NULL THEN 'unknown' WHEN ah <= 24 THEN 'breaking' WHEN ah <= 72 THEN 'fresh' WHEN ah <= 168 THEN 'recent' WHEN ah <= 720 THEN 'aging' ELSE 'stale' END AS freshness_bucket, coalesce(ah > 168, false) AS is_old_news, coalesce(ah > 336, false) AS is_stale_candidate,
+  CASE WHEN source IN ('src6', 'src7') THEN 'github' WHEN source IN ('src0', 'src1') THEN 'official' WHEN source IN ('src2', 'src3', 'src4') THEN 'strong_media' WHEN source = 'src5' THEN 'regional_media' ELSE 'unknown' END AS source_kind, source_tier, CASE WHEN source IN ('src6', 'src7') THEN 2 ELSE 0 END AS community_signal_strength, ca AS content_available FROM n""")
+def normalised_articles(spark, d):
+    from ..operators.normalise import normalised
+    from .adapters import POLICY
+
+    rows = normalised(raw_articles(spark, d), "2024-01-31 00:00:00", POLICY)
+    return rows.select("ord", "source_domain", "published_at_source", "age_hours", "freshness_bucket", "is_old_news", "is_stale_candidate", "source_kind", "source_tier", "community_signal_strength", "content_available")
+
+
+@query(f"""+ {SIGNALS_SQL}, {PREFILTER_SQL}, g AS (SELECT *, CASE WHEN ord % 4 = 0 THEN ord % 8 = 0 END AS keep, CASE WHEN ord % 4 = 0 THEN CASE WHEN ord % 12 = 0 THEN 0 ELSE least(100, ord % 150) END END AS pri FROM pf)
+SELECT ord, pri AS priority, CAST(row_number() OVER (ORDER BY CASE WHEN keep THEN 1 ELSE 0 END DESC, CASE WHEN coalesce(pri, 0) = 0 THEN -1 ELSE pri END DESC, prefilter_score DESC, CASE freshness_bucket WHEN 'breaking' THEN 5 WHEN 'fresh' THEN 4 WHEN 'recent' THEN 3 WHEN 'unknown' THEN 2 WHEN 'aging' THEN 1 ELSE 0 END DESC, CASE source_tier WHEN 'a' THEN 3 WHEN 'b' THEN 2 WHEN 'c' THEN 1 ELSE 0 END DESC, CASE WHEN content_available THEN 1 ELSE 0 END DESC, ord) AS INT) AS place FROM g QUALIFY place <= 50""")
+def reranked_prefilter(spark, d):
+    """The fifty best candidates after a model's landed rerank of a part of them."""
+    from pyspark.sql import Window
+
+    from ..operators.normalise import prefilter_order, with_rerank
+
+    rows = prefiltered(spark, d)
+    n = F.col("ord")
+    decisions = rows.filter(n % 4 == 0).select("ord", (n % 8 == 0).alias("keep"), F.when(n % 12 == 0, "high").otherwise((n % 150).cast("string")).alias("priority"), F.lit("why").alias("rationale"))
+    best = with_rerank(rows, decisions).orderBy(*prefilter_order()).limit(50)
+    return best.select("ord", F.col("prefilter_priority").cast("long").alias("priority"), F.row_number().over(Window.orderBy(*prefilter_order())).alias("place"))
+
+
+@query()
+def brief_run(spark, d):
+    """A whole run over all documents, without model answers: each reviewed article, and whether the brief shows it."""
+    from .adapters import POLICY
+    from .brief import run_brief
+
+    from ..config import RunConfig
+
+    none = lambda schema: spark.createDataFrame([], schema)
+    run = run_brief(raw_articles(spark, d), none("url_hash string"), past_of_sources(spark, d), none("ord long, answer string"), none("ord long, keep boolean, priority int, rationale string"), none("title string, url string, source_url string"), RunConfig(policy=POLICY))
+    shown = run.selected.select(F.col("ord").alias("_o"), F.lit(True).alias("selected"))
+    return run.reviewed.join(shown, F.col("ord") == F.col("_o"), "left").select("ord", "total_score", "delivery_lane_candidate", "delivery_decision", "delivery_skip_reason", F.coalesce("selected", F.lit(False)).alias("selected"))
+
+
+TOPICS = ("open source model", "workflow", "chip", "of the", "AI")
+
+
+@query(f"""+ {HEADLINED_SQL}, t AS (SELECT * FROM (VALUES ('open source model', ['open', 'source', 'model']), ('workflow', ['workflow']), ('chip', ['chip']), ('of the', ['the']), ('AI', [])) AS v(topic, ws)), x AS (SELECT ord, lower(title || ' ' || coalesce(content, '')) AS w FROM hl)
+SELECT topic, ord FROM x, t WHERE contains(w, lower(topic)) OR (len(ws) > 0 AND len(list_filter(ws, lambda z: contains(w, z))) >= least(2, len(ws)))""")
+def topic_articles(spark, d):
+    from ..operators.records import topic_hits
+
+    topics = spark.createDataFrame([(t,) for t in TOPICS], "topic string")
+    return topic_hits(headlined(spark, d), topics, F.concat_ws(" ", "title", F.coalesce("content", F.lit(""))))
+
+
+@query(f"""+ {HEADLINED_SQL}, e AS (SELECT *, CASE ord % 5 WHEN 0 THEN 'Include' WHEN 1 THEN 'review' ELSE 'skip' END AS dc, CASE WHEN total_score >= 66 THEN 'deep' ELSE 'basic' END AS tr FROM hl)
+SELECT ord, CASE WHEN ord % 5 = 0 OR total_score >= 75 OR len(list_intersect(tags, ['api_platform', 'model_release', 'funding', 'research', 'vietnam'])) > 0 THEN 'High' WHEN tr = 'deep' OR total_score >= 55 THEN 'Medium' ELSE 'Low' END AS fit, CASE ord % 5 WHEN 0 THEN 'Brief' WHEN 1 THEN 'Review' ELSE CASE WHEN ord % 7 = 0 THEN 'Cluster' WHEN total_score >= 55 THEN 'Watch' ELSE 'Hold' END END AS status FROM e""")
+def workspace_fields(spark, d):
+    from ..operators.records import workspace_fit, workspace_status
+
+    n = F.col("ord")
+    decision, tier = F.when(n % 5 == 0, "Include").when(n % 5 == 1, "review").otherwise("skip"), F.when(F.col("total_score") >= 66, "deep").otherwise("basic")
+    return headlined(spark, d).select("ord", workspace_fit(decision, F.col("total_score"), tier, F.col("tags")).alias("fit"), workspace_status(decision, n % 7 != 0, F.col("total_score")).alias("status"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Page ' || c_custkey ELSE 'Deep' END AS note FROM customer", over="")
+def note_excerpts(spark, d):
+    from ..operators.records import note_excerpt
+
+    n = F.col("c_custkey")
+    page = F.when(n % 2 == 0, F.concat(F.lit(" Page "), n, F.lit("\n\n## Recommendation\nbuy\n## Action For Us\nx")))
+    return table(spark, d, "customer").select("c_custkey", note_excerpt(page, F.lit("Deep\n## Action For Us now"), F.lit("summary")).alias("note"))
+
+
+@query(f"""+ {FINAL_SQL} SELECT ord, total_score AS score, primary_type, lane AS delivery_lane_candidate, elig AS main_brief_eligibility, mb AS main_brief_score, CASE WHEN reason <> '' THEN 'main_brief:' || reason ELSE '' END AS why_skipped FROM r""")
+def finalised_articles(spark, d):
+    rows = classify.finalise(headlined(spark, d))
+    return rows.select("ord", "score", "primary_type", "delivery_lane_candidate", "main_brief_eligibility", "main_brief_score", F.concat_ws(",", "why_skipped").alias("why_skipped"))

@@ -10,7 +10,7 @@ from ..functions import dates, text, urls
 from ..operators import dedup, events, history, ranking, recall, reports, routing, scoring
 from ..operators.stored import stored
 from ..streaming import windows
-from .adapters import POLICY, articles, table
+from .adapters import HEADLINED_SQL, POLICY, articles, headlined, table
 from .registry import ORACLE_SQL, QUERIES, query
 
 def best() -> list:
@@ -83,20 +83,24 @@ def news_candidate_flags(spark, d):
     return pages.select("page_id", F.concat_ws(",", flags).alias("flags"))
 
 
-@query("SELECT ord, CAST(len(regexp_extract_all(substr(content, 1, 1500), '(?:\\bthe\\b|\\band\\b)')) AS INTEGER) AS ai_hits, CAST(len(regexp_extract_all(substr(content, 1, 1500), '\\bof\\b')) AS INTEGER) AS off_hits FROM a")
+#: Whole titles and contents with letters outside ASCII as _, for the \\b of SQL knows ASCII only.
+PLAIN_SQL = """(SELECT ord, source_domain, regexp_replace(regexp_replace(replace(lower(title || ' ' || coalesce(content, '')), 'trí tuệ nhân tạo', 'tri tue nhan tao'), '[^\\x00-\\x7F\\p{L}\\p{N}\\p{M}]', ' ', 'g'), '[^\\x00-\\x7F]', '_', 'g') AS w FROM hl)"""
+
+
+@query(f"+ {HEADLINED_SQL} SELECT ord, CAST(len(regexp_extract_all(w, '(?i){TOPIC_WORDS}')) AS INTEGER) AS ai_hits, CAST(len(regexp_extract_all(w, '(?i){OFF_TOPIC_WORDS}')) AS INTEGER) AS off_hits FROM {PLAIN_SQL}")
 def relevance_hits(spark, d):
-    body = F.substring("content", 1, 1500)
-    return articles(spark, d).select("ord", text.hit_count(body, "(?:\\bthe\\b|\\band\\b)").alias("ai_hits"), text.hit_count(body, "\\bof\\b").alias("off_hits"))
+    """Hits of the topic's and of other topics' words in whole titles and contents."""
+    whole = F.concat_ws(" ", "title", F.coalesce("content", F.lit("")))
+    return headlined(spark, d).select("ord", text.hit_count(whole, text.unicode_pattern(TOPIC_WORDS)).alias("ai_hits"), text.hit_count(whole, text.unicode_pattern(OFF_TOPIC_WORDS)).alias("off_hits"))
 
 
-@query(f"""+ h AS (SELECT ord, len(regexp_extract_all(w, '(?i){TOPIC_WORDS}')) AS x, len(regexp_extract_all(w, '(?i){OFF_TOPIC_WORDS}')) AS y, source_domain IN {TOPIC_HOSTS} AS k FROM (
-  SELECT ord, source_domain, regexp_replace(regexp_replace(replace(lower(title || ' ' || content), 'trí tuệ nhân tạo', 'tri tue nhan tao'), '[^\\x00-\\x7F\\p{{L}}\\p{{N}}\\p{{M}}]', ' ', 'g'), '[^\\x00-\\x7F]', '_', 'g') AS w FROM a))
+@query(f"""+ {HEADLINED_SQL}, h AS (SELECT ord, len(regexp_extract_all(w, '(?i){TOPIC_WORDS}')) AS x, len(regexp_extract_all(w, '(?i){OFF_TOPIC_WORDS}')) AS y, source_domain IN {TOPIC_HOSTS} AS k FROM {PLAIN_SQL})
 SELECT ord, CAST(x AS INTEGER) AS ai_hits, CAST(y AS INTEGER) AS off_hits, CASE WHEN k OR x >= 2 THEN NOT (y >= 2 AND x < 4) ELSE x = 1 AND y = 0 END AS relevant,
   concat_ws(',', CASE WHEN k THEN 'ai_domain' END, CASE WHEN x > 0 THEN 'ai_hits:' || x END, CASE WHEN y > 0 THEN 'off_topic_hits:' || y END,
   CASE WHEN (k OR x >= 2) AND y >= 2 AND x < 4 THEN 'blocked:offtopic_dominant' WHEN k OR x >= 2 THEN NULL WHEN x = 1 AND y = 0 THEN 'borderline_ai_signal' ELSE 'blocked:weak_ai_signal' END) AS signals FROM h""")
 def relevance_decision(spark, d):
-    """Relevance of every document by its whole text. The SQL writes letters outside ASCII as _, for its \\b knows ASCII only."""
-    return articles(spark, d).select("ord", scoring.ai_relevance(F.col("source_domain"), F.col("title"), F.col("content")).alias("r")).select("ord", "r.*")
+    """Relevance of every document by its whole text."""
+    return headlined(spark, d).select("ord", scoring.ai_relevance(F.col("source_domain"), F.col("title"), F.col("content")).alias("r")).select("ord", "r.*")
 
 
 @query("SELECT ord, list_aggregate(list_sort(list_distinct(list_filter(regexp_extract_all(regexp_replace(strip_accents(lower(replace(title, 'ß', ''))), '[^\\x00-\\x7F]', '', 'g'), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN $STOPWORDS))), 'string_agg', ' ') AS tokens FROM a WHERE lang = 'en'")
