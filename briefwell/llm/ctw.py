@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_fold, materialize
+from .common import bounded_batches, crc_fold, discard, materialize
 
 #: Preceding bytes that a context reaches back, at most 6.
 DEPTH = 5
@@ -263,6 +263,7 @@ def run_probabilities(model: DataFrame, depth: int = DEPTH) -> DataFrame:
     added = lambda rows: np.array([tuple(r) for r in rows.groupBy("context", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("product")).collect()], np.float64).reshape(-1, 5)
     # Nodes at depth 2 of split pairs (255 for each of them), then 256 context bytes by 255 decisions at most.
     middle, rows = added(sums.filter("of_part")), added(sums.filter("not of_part"))
+    discard(sums)
     pairs, middle_tables, above = middle_table(middle)
     upper = upper_tables(_added(np.concatenate([rows, above])))
 
@@ -434,6 +435,7 @@ def score_texts(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, depth:
     model, split = merged_runs(lists.select("last", hashed.alias("part"), "runs", "counts"), n_segments, depth)
     model = materialize(model, "lm-model")
     chances = materialize(run_probabilities(model, depth), "lm-chances")
+    discard(model)
     answers = looked_up(split_lists(lists.select("segment", "last", "runs"), split), chances)
     nothing = lambda t: F.lit(None).cast(t)
     back = words.select("segment", "word").join(totals, "word").select("segment", "word", "c", nothing("binary").alias("runs"), nothing("binary").alias("chances"))

@@ -428,6 +428,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, mis
     edges = materialize(apart.unionByName(bucket_edges(members, classes, labels, threshold, miss)).distinct(), "region-edges")
     more = region_links(labels, edges, classes, text_of, width, threshold, miss)
     final = components(labels.filter("node != comp").select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more))
+    for done in (members, survivors, links, labels, edges):  # ``final`` is written, so no plan reads these again
+        discard(done)
     reached = grouped.select("key", "node").join(final, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
     placed = sk.select("id", "n", "key").join(reached, "key", "left")
     component = F.coalesce("comp", "id")
