@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import KIND_PRIORITY, SourcePolicy
 from ..keywords import ARTICLE_URL_PARTS
+from .text import let
 
 # Hosts of vendors whose pages are news only under some paths; words of financial news on one host.
 VENDOR_HOSTS, MACRO_WORDS = ("aws.amazon.com", "cloud.google.com"), ("iran", "oil", "hormuz", "saudi", "wall street", "stocks", "ukraine", "troops")
@@ -31,8 +32,9 @@ def url_hash(url: Column) -> Column:
 
 
 def in_domain(host: Column, names) -> Column:
-    """Whether the host is one of the names or below one."""
-    return reduce(lambda a, b: a | b, [(host == n) | host.endswith("." + n) for n in names], F.lit(False))
+    """Whether the host is one of the names or below one; the host is worked out once, whatever it takes."""
+    below = lambda h: F.exists(F.array(*[F.lit(n) for n in names]), lambda n: (h == n) | h.endswith(F.concat(F.lit("."), n)))
+    return let(F.coalesce(host, F.lit("")), below) if names else F.lit(False)
 
 
 def date_in_path(url: Column) -> Column:

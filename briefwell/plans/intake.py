@@ -9,9 +9,10 @@ from .. import keywords as K
 from ..config import TOPIC_WORDS
 from ..functions import repair, urls
 from ..operators import classify, delivery, gates, history, routing
+from ..operators.stored import stored
 from .adapters import HEADLINED_SQL, HEADLINES, headlined, table
-from .editorial import FINAL_SQL, LANE_SQL, PREFILTER_SQL, SIGNALS_SQL, TITLE, any_of, prefiltered
-from .queries import HISTORY_SQL, history_of_events
+from .editorial import FINAL_SQL, JUDGED_SQL, LANE_SQL, PREFILTER_SQL, ROUTED_SQL, SIGNALS_SQL, TIERED, TITLE, any_of, judged, prefiltered, tiered
+from .queries import CLUSTERS_SQL, HISTORY_SQL, history_of_events
 from .registry import query
 
 
@@ -413,3 +414,70 @@ def note_excerpts(spark, d):
 def finalised_articles(spark, d):
     rows = classify.finalise(headlined(spark, d))
     return rows.select("ord", "score", "primary_type", "delivery_lane_candidate", "main_brief_eligibility", "main_brief_score", F.concat_ws(",", "why_skipped").alias("why_skipped"))
+
+
+# --- reports and small records -------------------------------------------------------------------------------------
+
+
+@query(f"+ {HEADLINED_SQL} SELECT ord, CASE WHEN github_owner IS NOT NULL THEN github_owner || '/kit' WHEN ord % 5 = 0 THEN 'Page ' || ord WHEN ord % 7 = 0 THEN '@h' || ord ELSE source END AS label FROM hl")
+def source_labels(spark, d):
+    n = F.col("ord")
+    page, handle = F.when(n % 5 == 0, F.concat(F.lit("Page "), n)), F.when(n % 7 == 0, F.concat(F.lit("@h"), n))
+    return headlined(spark, d).select("ord", history.source_label(F.col("github_full_name"), page, handle, F.col("source"), F.col("source_domain")).alias("label"))
+
+
+@query(f"""+ {ROUTED_SQL}, {JUDGED_SQL} SELECT 'funnel' AS section, 'raw' AS name, count(*) AS n FROM j UNION ALL SELECT 'funnel', 'new', count(*) FROM j WHERE ord % 2 = 0 UNION ALL SELECT 'funnel', 'scored', count(*) FROM j WHERE total_score >= 20 UNION ALL SELECT 'source_kind', source_kind, count(*) FROM j WHERE total_score >= 20 GROUP BY 2
+UNION ALL SELECT 'decision', dec, count(*) FROM j GROUP BY 2 UNION ALL SELECT 'skip_reason', why, count(*) FROM j WHERE dec <> 'include' GROUP BY 2""")
+def run_report(spark, d):
+    from ..operators.records import run_summary
+
+    rows = stored(judged(spark, d), "judged")
+    return run_summary(rows, rows.filter("ord % 2 = 0"), rows.filter("total_score >= 20"), rows)
+
+
+@query(f"""+ {HEADLINED_SQL}, e AS (SELECT ord, total_score, {TIERED} AS tier FROM hl), c AS (SELECT list_sort(list(total_score))[CAST(floor(count(*) * 0.7::DOUBLE) AS INT) + 1] AS cut FROM e) SELECT ord, total_score FROM e, c WHERE total_score >= cut OR tier = 'deep' ORDER BY total_score DESC, ord LIMIT 10""")
+def top_articles(spark, d):
+    return classify.top_articles(tiered(spark, d), [F.col("total_score").desc(), F.col("ord")]).select("ord", "total_score")
+
+
+@query(f"""+ {CLUSTERS_SQL}, e AS (SELECT a.*, ev.leader_id FROM a JOIN ev USING (ord)), s AS (SELECT leader_id, count(*) AS size_, count(DISTINCT source_domain) AS hosts FROM e GROUP BY 1
+), r AS (SELECT e.ord, size_, hosts, CAST(row_number() OVER (PARTITION BY leader_id ORDER BY total_score DESC, CASE source_tier WHEN 'a' THEN 3 WHEN 'b' THEN 2 WHEN 'c' THEN 1 ELSE 0 END DESC, content_available DESC, ord) AS INTEGER) AS k FROM e JOIN s USING (leader_id))
+SELECT ord, size_ AS event_cluster_size, hosts AS event_source_count, k AS event_rank, k = 1 AS event_is_primary, hosts >= 2 AS event_consensus, CAST(CASE WHEN k = 1 THEN least(6, greatest(0, (hosts - 1) * 3)) ELSE 0 END AS INTEGER) AS event_bonus FROM r""")
+def event_annotations(spark, d):
+    from ..operators import events
+    from .adapters import articles
+
+    rows = articles(spark, d).withColumn("freshness_unknown", F.lit(False))
+    clusters = events.event_clusters(rows, events.event_pairs(rows), [-F.col("total_score"), F.col("ord")])
+    return events.annotate_events(rows, clusters, events.event_order()).select("ord", "event_cluster_size", "event_source_count", "event_rank", "event_is_primary", "event_consensus", "event_bonus")
+
+
+@query("""SELECT 'https://p/' || c_custkey AS url, 'The first line of post ' || c_custkey AS title, CASE WHEN c_custkey % 5 = 0 THEN 'Facebook Auto | Group 5' ELSE 'Facebook Auto | Group 5 | Author ' || c_custkey END AS source, 'The first line of post ' || c_custkey || chr(10) || 'and more of what it has to say in full' AS content FROM customer WHERE c_custkey % 3 <> 0""", over="")
+def post_articles(spark, d):
+    """Landed posts: an author, buttons and content; one in three is still loading."""
+    from ..operators.social import post_articles as build
+
+    n = F.col("c_custkey")
+    author = F.when(n % 5 == 0, F.lit("group 5")).otherwise(F.concat(F.lit("Author "), n))
+    text = F.when(n % 3 == 0, F.concat(author, F.lit("\nLoading\n"), F.repeat(F.lit("dots "), F.lit(30)))).otherwise(F.concat(author, F.lit("\nLike\n\nThe first line of post "), n, F.lit("\nand more of what it has to say in full\n… Xem thêm\nShare")))
+    rows = table(spark, d, "customer").select(text.alias("text"), F.concat(F.lit("https://p/"), n).alias("url"), F.lit("Group 5").alias("label"), F.lit("2 giờ").alias("published_hint"))
+    return build(rows).select("url", "title", "source", "content")
+
+
+@query("SELECT o_orderkey, o_orderkey % 4 <> 0 AS scout FROM orders", over="")
+def scout_wanted(spark, d):
+    """Whether a batch of given counts calls for scouting."""
+    n = F.col("o_orderkey") % 4
+    wanted = gates.scout_wanted(F.when(n == 1, 5).otherwise(9), F.when(n == 2, 0).otherwise(3), F.when(n == 3, 5).otherwise(20))
+    return table(spark, d, "orders").select("o_orderkey", wanted.alias("scout"))
+
+
+@query("""SELECT page_id, place FROM (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) AS INTEGER) AS place FROM pages WHERE page_id % 5 <> 0) WHERE place <= 4""", over="")
+def search_results(spark, d):
+    """Landed search results: of each query the first four that are not blocked."""
+    from ..sources.files import search_results as read
+
+    n = F.col("page_id")
+    url = F.when(n % 10 == 0, "https://www.youtube.com/watch").when(n % 5 == 0, "https://a.example.com/search?q=x").otherwise(F.col("url"))
+    rows = table(spark, d, "pages").filter(~F.col("url").contains("utm_source=chatgpt.com")).select(F.concat(F.lit("q"), n % 7).alias("query"), n.alias("place"), F.when(n % 2 == 0, url).alias("href"), F.when(n % 2 == 1, url).alias("link"), F.lit("t").alias("title"), n.cast("string").alias("body"), F.lit(None).cast("string").alias("date"))
+    return read(rows).select(F.col("snippet").cast("long").alias("page_id"), F.col("rank").alias("place"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clip, contains_any
 from ..functions.urls import domain, kind_priority
+from ..operators.gates import blocked_url
 
 # Prefixes of a watchlist line.
 WATCHLIST_KINDS = ("url", "repo", "org", "query", "topic", "company", "product", "tool", "policy", "person")
@@ -108,6 +109,14 @@ def feed_items(items: DataFrame, now: str, per_feed: int = 12, hours: int = 72,
     return top.filter((F.col("published").isNull() | (F.col("published") >= since)) & ~off)
 
 
+def search_results(rows: DataFrame, per_query: int = 4) -> DataFrame:
+    """Landed search results (query, place, href or link, title, body, date): of each query the first ``per_query`` with a URL that is not blocked, with rank."""
+    url = F.coalesce(F.nullif(F.col("href"), F.lit("")), F.nullif(F.col("link"), F.lit("")))
+    open_ = rows.withColumn("_url", url).filter(F.col("_url").isNotNull() & ~blocked_url(F.col("_url")))
+    ranked = open_.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("place"))).filter(F.col("rank") <= per_query)
+    return ranked.select("query", "rank", F.col("_url").alias("url"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("body", F.lit("")).alias("snippet"), F.coalesce("date", F.lit("")).alias("published"), F.concat(F.lit("DuckDuckGo: "), "query").alias("source"))
+
+
 def feedback_updates(updates: DataFrame, after: int) -> DataFrame:
     """Chat updates (JSON rows) past an offset that are feedback: tagged, prefixed or replies to the bot."""
     words = F.trim(F.coalesce(F.col("message.text"), F.col("message.caption"), F.lit("")))
