@@ -142,7 +142,7 @@ def archive_candidates(spark, d):
 @query("""WITH m AS (SELECT page_id AS id, coalesce(html, '') AS t FROM pages
 ), n AS (SELECT *, regexp_extract_all(t, '(?i)<a\\s+href="([^"]+)"[^>]*>', 1) AS hs, (length(t) - length(replace(t, '<b>', ''))) / 3 AS b1, (length(t) - length(replace(t, '</b>', ''))) / 4 AS b2, (length(t) - length(replace(t, '<a href=', ''))) / 8 AS a1, (length(t) - length(replace(t, '</a>', ''))) / 4 AS a2, lower(t) AS l, regexp_replace(t, '(?is)<a\\s+href="[^"]+"[^>]*>.*?</a>', '', 'g') AS bare FROM m)
 SELECT id, concat_ws(',', CASE WHEN NOT starts_with(trim(t), '<b>') OR NOT (contains(t, '31/01') OR regexp_matches(t, '\\|\\s*\\d{2}/\\d{2}(?:/\\d{4})?\\b')) THEN 'missing_or_wrong_header' END, CASE WHEN regexp_matches(t, '\\[[^\\]]+\\]\\(([^)]+)\\)') THEN 'markdown_links_present' END, CASE WHEN contains(l, '<br') THEN 'br_tag_present' END, CASE WHEN length(t) > 4096 THEN 'message_too_long' END,
-  CASE WHEN contains(t, chr(10) || '---') OR starts_with(trim(t), '---') THEN 'separator_style_present' END, CASE WHEN contains(t, '<b>') AND NOT contains(t, 'AI Daily Brief |') AND NOT (contains(t, 'Product') OR contains(t, 'Society & Culture') OR contains(t, 'Society &amp; Culture') OR contains(t, 'Practical')) THEN 'missing_type_label' END, CASE WHEN b1 <> b2 THEN 'unbalanced_bold_tags' END, CASE WHEN a1 <> a2 THEN 'unbalanced_anchor_tags' END,
+  CASE WHEN contains(t, chr(10) || '---') OR starts_with(trim(t), '---') THEN 'separator_style_present' END, CASE WHEN contains(t, '<b>') AND NOT (contains(t, 'Product') OR contains(t, 'Society & Culture') OR contains(t, 'Society &amp; Culture') OR contains(t, 'Practical')) THEN 'missing_type_label' END, CASE WHEN b1 <> b2 THEN 'unbalanced_bold_tags' END, CASE WHEN a1 <> a2 THEN 'unbalanced_anchor_tags' END,
   CASE WHEN b1 > 1 AND len(hs) = 0 THEN 'missing_notion_links' END, CASE WHEN len(list_filter(hs, lambda h: trim(h) <> '' AND NOT (h = '/And'))) > 0 THEN 'unknown_links_present' END, CASE WHEN regexp_matches(bare, 'https?://\\S+') THEN 'raw_urls_present' END, CASE WHEN regexp_matches(t, '(?i)(chắc chắn|hoàn toàn|cam kết)') THEN 'overclaim_language_with_weak_sources' END) AS warnings FROM n""", over="")
 def message_checks(spark, d):
     """Pages as messages; the only link they may hold is /And."""
