@@ -54,12 +54,6 @@ def hint_hours(text: Column) -> Column:
     return F.when(low.isin("yesterday", "hôm qua", "hom qua"), F.lit(24.0)).when(low.isin("just now", "vừa xong"), F.lit(0.0)).when(n != "", n.cast("double") * hours)
 
 
-def published_at(metadata: Column, url_date: Column, hint: Column, now: str) -> Column:
-    """Metadata, else the date in the URL, else now less the hint; never the time of fetching."""
-    hinted = F.when(hint.isNotNull(), (F.unix_timestamp(F.lit(now).cast("timestamp")) - hint * 3600).cast("timestamp"))
-    return F.coalesce(metadata, url_date.cast("timestamp"), hinted)
-
-
 def freshness_bucket(age_hours: Column) -> Column:
     """breaking, fresh, recent, aging or stale by age; dates ahead of now are breaking, null is unknown."""
     ladder = reduce(lambda acc, x: acc.when(age_hours <= x[1], x[0]), FRESHNESS, F.when(age_hours.isNull(), "unknown"))
