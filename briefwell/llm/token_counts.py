@@ -10,6 +10,7 @@ two alone), so the last token after each position is unique.
 A long text is cut into chunks. A chunk's state map sends any entry state to an exit state and a count; white space
 brings every state back to the start, so a map is fully given by the text before its first white space, the tokens
 counted between, and the text after the last. Maps compose associatively and are combined pairwise, level by level.
+Chunks of very long texts go to tasks of their own, and their maps are composed by a tree of shuffles, FAN at a time.
 """
 
 from __future__ import annotations
@@ -18,14 +19,17 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, materialize
 
 CHUNK_CHARS = 1 << 16
+#: Texts of more characters are cut into parts of so many, which are mapped and composed by tasks of their own.
+LONG_CHARS, PART_CHARS, FAN = 1 << 21, 1 << 19, 64
 MAX_STATES = 250_000
 MAX_WORDS = 600_000
 #: Pieces longer than this are run through the transducer each time, not kept.
@@ -210,6 +214,24 @@ class CountingTransducer:
         whole = self.compose(self.compose((" "[:0], 0, ""), maps[0]), ("", 0, ""))
         return whole[1] + (self.piece(whole[0]) if whole[0] else 0)
 
+    def part_map(self, part: str) -> tuple[str, int | None, str]:
+        """(head, count, tail) of a part of a text as it stands, or (part, None, '') without white space; heads and tails are not normalised yet."""
+        spaces = list(_SPACE.finditer(part))
+        if not spaces:
+            return part, None, ""
+        return part[: spaces[0].start()], self.count(part[spaces[0].end() : spaces[-1].start()]) if len(spaces) > 1 else 0, part[spaces[-1].end() :]
+
+    def joined(self, left: tuple, right: tuple) -> tuple[str, int | None, str]:
+        """The map of two parts in a row; a word over their border is counted once both its sides are known."""
+        if left[1] is None:
+            return (left[0] + right[0], None, "") if right[1] is None else (left[0] + right[0], right[1], right[2])
+        if right[1] is None:
+            return left[0], left[1], left[2] + right[0]
+        return left[0], left[1] + self.count(left[2] + right[0]) + right[1], right[2]
+
+    def finished(self, whole: tuple) -> int:
+        return self.count(whole[0]) + (whole[1] or 0) + self.count(whole[2])
+
     def count(self, text: str) -> int:
         """Tokens of a whole text; an added special string inside it counts as one token, as the library has it by default."""
         if "<|" not in text or not self.special.search(text):
@@ -264,21 +286,65 @@ def transducer(path: str) -> CountingTransducer:
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048) -> DataFrame:
     """Per row: the id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > max_tokens).
 
-    Whole texts in one pass without a shuffle. A null text counts as empty: 0 bytes, 0 tokens. Repeated rows give
-    repeated results; an empty table gives an empty one; other columns are not read.
+    Whole texts in one pass without a shuffle, those of more than LONG_CHARS characters in parts. A null text counts as
+    empty: 0 bytes, 0 tokens. Repeated rows give repeated results; an empty table gives an empty one; other columns are
+    not read. A run of characters without white space is counted by one task.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    is_long = F.coalesce(F.char_length("text") > LONG_CHARS, F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counting = transducer(tokenizer_path)
         for batch in batches:
-            texts = batch.column(1)
             n_bytes, n_tokens = [], []
-            for value in texts:
+            for value in batch.column(1):
                 text = value.as_py() or ""
                 n_bytes.append(len(text) if text.isascii() else len(text.encode("utf-8")))
                 n_tokens.append(counting.count(text))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > max_tokens for n in n_tokens], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], ["id", "n_bytes", "n_tokens"])
+
+    counted = own.filter(~is_long).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
+    n_long = own.agg(F.max(F.char_length("text"))).first()[0] or 0
+    if n_long > LONG_CHARS:
+        counted = counted.unionByName(_long_counts(own.filter(is_long), tokenizer_path, -(-n_long // PART_CHARS)))
+    return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > max_tokens).alias("over_limit"))
+
+
+def _long_counts(texts: DataFrame, tokenizer_path: str, most_parts: int) -> DataFrame:
+    """(id, n_bytes, n_tokens) of (id, text) rows by parts: mapped where they land, composed FAN at a time in their order."""
+    rows = materialize(texts.withColumn("row", F.monotonically_increasing_id()), "long-texts")
+    n = F.ceil(F.char_length("text") / F.lit(PART_CHARS)).cast("int")
+    parts = rows.select("row", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"), "text").select("row", "part", F.expr(f"substring(text, part * {PART_CHARS} + 1, {PART_CHARS})").alias("text"))
+    schema = "row long, part int, head string, count long, tail string"
+    fields = ["row", "part", "head", "count", "tail"]
+
+    def table(found: list[tuple]) -> pa.Table:
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string()]
+        return pa.table({name: pa.array([f[i] for f in found], kind) for i, (name, kind) in enumerate(zip(fields, kinds))})
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counting = transducer(tokenizer_path)
+        for batch in batches:
+            found = [(row, part, *counting.part_map(text)) for row, part, text in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+            yield from table(found).to_batches()
+
+    def composed(group: pa.Table) -> pa.Table:
+        counting = transducer(tokenizer_path)
+        ordered = sorted(zip(*(group.column(f).to_pylist() for f in fields)), key=lambda m: m[1])
+        return table([(ordered[0][0], ordered[0][1] // FAN, *reduce(counting.joined, (m[2:] for m in ordered)))])
+
+    maps = parts.repartition("row", "part").mapInArrow(mapped, schema)
+    while most_parts > 1:
+        maps = maps.groupBy("row", F.floor(F.col("part") / FAN)).applyInArrow(composed, schema)
+        most_parts = -(-most_parts // FAN)
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counting = transducer(tokenizer_path)
+        for batch in batches:
+            whole = zip(*(batch.column(f).to_pylist() for f in ("head", "count", "tail")))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([counting.finished(m) for m in whole], pa.int64())], ["row", "n_tokens"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    done = maps.mapInArrow(finished, "row long, n_tokens long")
+    return rows.select("row", "id", F.octet_length("text").cast("long").alias("n_bytes")).join(done, "row").select("id", "n_bytes", "n_tokens")

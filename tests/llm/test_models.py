@@ -212,3 +212,17 @@ def test_other_tokenizers_are_refused_and_long_words_not_kept(tmp_path):
     long = "中文abc" * 40_000
     library = pytest.importorskip("tokenizers").Tokenizer.from_file(path)
     assert own.count(long) == len(library.encode(long, add_special_tokens=False).ids) and max(map(len, own.words), default=0) <= token_counts.LONGEST_KEPT
+
+
+@pytest.mark.parametrize("long, part, fan", [(10, 7, 2), (30, 1, 3), (10, 1000, 2)])
+def test_long_texts_are_counted_by_parts(spark, monkeypatch, long, part, fan):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(path)
+    for name, value in (("LONG_CHARS", long), ("PART_CHARS", part), ("FAN", fan)):
+        monkeypatch.setattr(token_counts, name, value)
+    rng = random.Random(part)
+    texts = ["".join(rng.choice("aàbé'ssStre  0123\t\n\x1c\u3000中文A!?.<|endoftext|>🙂Σ") for _ in range(rng.randint(0, 90))) for _ in range(60)] + [None, "", "x" * 80, "<|endoftext|>" * 6, "a <|endoftext|> b" * 4, "e\u0301" * 30, " " * 50]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(docs, path).collect())
+    assert got == Counter((i // 2, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts))
