@@ -170,3 +170,13 @@ def vectors_of_zero():
 def test_answers_in_any_shape(spark, raw, ids):
     found = repair.answers_in(F.lit(raw).cast("string"))
     assert one(spark, F.transform(found, lambda x: F.get_json_object(x, "$.item_id"))) == ids
+
+
+def test_a_whole_run(spark, sf):
+    from briefwell.plans.queries import QUERIES
+
+    rows = QUERIES["brief_run"](spark, sf).collect()
+    assert len({r.ord for r in rows}) == len(rows) >= 8
+    shown = [r for r in rows if r.selected]
+    assert len(shown) <= 6 and all(r.delivery_decision == "include" and r.delivery_lane_candidate == "main" for r in shown)
+    assert all((r.delivery_skip_reason != "") == (r.delivery_decision == "skip") for r in rows)
