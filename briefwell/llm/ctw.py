@@ -299,7 +299,8 @@ def looked_up(lists: DataFrame, chances: DataFrame) -> DataFrame:
     """
     asked = lists.groupBy("last").agg(F.sum(F.octet_length("runs")).alias("asked"))
     sized = chances.select("last", (F.octet_length("runs") * 2).cast("long").alias("own")).join(asked, "last")
-    shares = sized.select("last", F.ceil(F.col("asked") / F.greatest(F.lit(ASK_BYTES), 4 * F.col("own"))).cast("int").alias("n"))
+    # One row a key: at most 65,536 pairs, and 256 keys for each pair that was split. Sent, so that no list is shuffled for it.
+    shares = F.broadcast(materialize(sized.select("last", F.ceil(F.col("asked") / F.greatest(F.lit(ASK_BYTES), 4 * F.col("own"))).cast("int").alias("n")), "lm-shares"))
     known = chances.join(shares, "last").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("last", "share", F.lit(None).cast("long").alias("segment"), "runs", "chances")
     asks = lists.join(shares, "last").select("last", F.pmod(F.xxhash64("segment"), F.col("n")).cast("int").alias("share"), "segment", "runs", F.lit(None).cast("binary").alias("chances"))
 
