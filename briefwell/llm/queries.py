@@ -93,6 +93,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -110,6 +122,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "op12_whitening": op12_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
 
@@ -176,4 +190,22 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest,
   CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN first IS DISTINCT FROM p.page_id THEN first END AS refers_to
 FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest""",
+    "op13_prefix_trie": """
+WITH o AS (
+  SELECT conv_id AS c, md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS k, strlen(coalesce(text, '')) AS b, turn, coalesce(role, '') AS role FROM conversations WHERE conv_id IS NOT NULL
+), q AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, k) AS p FROM o
+), h AS (
+  SELECT c, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda r, x: list_reduce(list_prepend(xor(r, x), list_transform(range(8), lambda i: i)), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295) % 9 AS h FROM (SELECT DISTINCT c FROM o)
+), m AS (SELECT h.c, h, base, (SELECT count(*) FROM q WHERE q.c = h.base AND p <= h) AS n FROM h
+), r AS (
+  SELECT m.c, p AS d, k, b FROM m JOIN q ON q.c = m.base AND p <= h UNION ALL SELECT m.c, p - h + n, k, b FROM m JOIN q ON q.c = m.c AND p > h
+), w AS (SELECT c, 0 AS d, []::VARCHAR[] AS k, 0 AS b FROM m UNION ALL SELECT c, d, list(k) OVER (PARTITION BY c ORDER BY d), b FROM r
+), z AS (SELECT c, max(d) AS l FROM w GROUP BY c
+), t AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n, min(b) AS b, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = l), '') AS e FROM w JOIN z USING (c) GROUP BY k, d
+), s AS (SELECT k, d, conv_id, n, b, e, (SELECT count(*) FROM t x WHERE x.d = t.d + 1 AND x.k[1:t.d] = t.k) AS ch FROM t
+), a AS (SELECT k[1:u] AS k, sum(CASE WHEN ch = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n - 1) * b) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM s) GROUP BY ALL)
+SELECT s.conv_id, CAST(s.d AS BIGINT) AS depth, x.conv_id AS parent_conv_id, s.n AS n_convs, s.ch AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(s.e) AS ends_sha256
+FROM s JOIN a ON a.k = s.k LEFT JOIN s x ON s.d > 0 AND x.d = s.d - 1 AND x.k = s.k[1:s.d - 1]""",
 }
