@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, discard, materialize
@@ -324,12 +324,9 @@ def region_links(comps: DataFrame, edges: DataFrame, classes: DataFrame, text_of
     return _dealt(dealt, run, f"a {kind}, b {kind}")
 
 
-def sifted(rows: DataFrame, key: str, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """Those of ``rows`` whose key may be among the ``wanted`` keys, by a bitmap of key hashes, its size bounded.
-
-    It keeps the texts that a later join would drop anyway from being shuffled; what passes is still joined exactly.
-    """
-    spark = rows.sparkSession
+def sieve(key: str, wanted: DataFrame, n_wanted: int) -> Column:
+    """Whether a key may be among the ``wanted`` keys (always, if it is), by a bitmap of key hashes, its size bounded."""
+    spark = wanted.sparkSession
     size = min(MOST_SIEVE_BITS, max(SIEVE_BITS, 1 << (16 * n_wanted).bit_length()))
     place = F.pmod(F.xxhash64(key), F.lit(size))
     marks = wanted.select((place + 1).alias("n")).groupBy(F.bitmap_bucket_number("n").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("m"))
@@ -343,7 +340,15 @@ def sifted(rows: DataFrame, key: str, wanted: DataFrame, n_wanted: int) -> DataF
         x = np.asarray(hashes)
         return pa.array((sent.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
 
-    return rows.filter(may(place))
+    return may(place)
+
+
+def sifted(rows: DataFrame, key: str, wanted: DataFrame, n_wanted: int) -> DataFrame:
+    """Those of ``rows`` whose key may be among the ``wanted`` keys.
+
+    It keeps the texts that a later join would drop anyway from being shuffled; what passes is still joined exactly.
+    """
+    return rows.filter(sieve(key, wanted, n_wanted))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:

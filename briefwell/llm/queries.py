@@ -93,6 +93,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .whitening import whiten
 
@@ -122,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_whitening": op12_whitening,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
