@@ -1,10 +1,10 @@
 """Removal of repeated byte strings by suffix arrays over shards.
 
-1. Anchors: of the short grams inside every string of the set length, the one of smallest hash. Equal strings have equal
-   anchors, and neighbours mostly share theirs, so a text becomes runs of strings with one anchor. A bitmap, built by hash
-   ranges from compressed lists, tells which anchors may occur in two documents.
-2. Runs with such anchors are cut out of the texts; runs of one text are alike in few bytes, so each is a row. Equal runs
-   of a batch send their bytes once.
+1. Anchors: of the grams inside every string of the set length, the one of smallest hash. Equal strings have equal anchors,
+   and neighbours mostly share theirs. A bitmap, built by hash ranges from compressed lists, tells which anchors of long
+   grams may occur in two documents.
+2. Strings with such anchors are cut out of the texts, in runs that share an anchor of short grams (which makes runs
+   longer and so fewer bytes common to two of them). Equal runs of a batch send their bytes once.
 3. Runs are sharded by anchor, so that equal strings always meet. Each shard of whole anchors, a few MB, gets its suffix
    array by induced sorting and its permuted common prefixes; neighbours that share the set length are one string, and
    the smallest document of each is known. An anchor with too many different runs for one shard is cut into its strings,
@@ -27,8 +27,8 @@ from .common import bounded_batches, discard, materialize
 from .near_dup import sieve
 from .suffix_array import permuted_prefixes, suffix_array
 
-#: Bytes of an anchor's gram, at most.
-GRAM = 24
+#: Bytes of the grams that tell repeated strings, and of those that shard them; at most.
+TOLD_BY, DEALT_BY = 24, 12
 #: Strings of one run, at most; runs of periodic texts would be longer.
 RUN = 64
 #: Bits of the anchors' bitmap (64 MB) and the hash ranges it is built by.
@@ -59,21 +59,40 @@ def gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
     return out
 
 
-def runs(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors and first positions of the runs of a text's strings; a run ends where the next one (or the last string) does."""
-    gram = min(GRAM, length)
+def anchors(text: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """The anchor of the string from each position."""
+    gram = min(gram, length)
     least, size, width = gram_hashes(text, gram), 1, length - gram + 1
     while size < width:
         step = min(size, width - size)
         least = np.minimum(least[: len(least) - step], least[step:])
         size += step
-    cuts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    ends = np.append(cuts[1:], len(least))
-    if (ends - cuts).max() > RUN:
-        pieces = -(-(ends - cuts) // RUN)
+    return least
+
+
+def slots(told: np.ndarray) -> np.ndarray:
+    """Places of anchors in the bitmap; least hashes are small numbers, so they are mixed again."""
+    return (_mixed(told * _B) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def runs(dealt: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last positions (exclusive) of runs of wanted strings with one anchor, of RUN strings at most."""
+    edge = np.ones(len(dealt), bool)
+    edge[1:] = (dealt[1:] != dealt[:-1]) | (wanted[1:] != wanted[:-1])
+    starts = np.flatnonzero(edge)
+    ends = np.append(starts[1:], len(dealt))
+    keep = wanted[starts]
+    starts, ends = starts[keep], ends[keep]
+    if len(starts) and (ends - starts).max() > RUN:
+        pieces = -(-(ends - starts) // RUN)
         within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        cuts = np.repeat(cuts, pieces) + within * RUN
-    return least[cuts], cuts
+        starts, ends = np.repeat(starts, pieces) + within * RUN, np.repeat(ends, pieces)
+        ends = np.minimum(ends, starts + RUN)
+    return starts, ends
+
+
+def hashed(pieces: list[bytes]) -> pa.Array:
+    return pa.array(np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces)).view(np.int64))
 
 
 def _texts(column: pa.Array) -> Iterator[np.ndarray]:
@@ -89,15 +108,19 @@ def repeated_anchors(docs: DataFrame, length: int) -> np.ndarray:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
         for batch in batches:
-            found = [np.unique(runs(t, length)[0] >> np.uint64(64 - BITS)) for t in _texts(batch.column(0)) if len(t) >= length]
+            found = []
+            for text in _texts(batch.column(0)):
+                if len(text) >= length:
+                    told = anchors(text, length, TOLD_BY)
+                    found.append(np.unique(slots(told[np.append(True, told[1:] != told[:-1])])))
             if not found:
                 continue
-            slots = np.sort(np.concatenate(found)).astype(np.int64)
-            third = np.zeros(len(slots), bool)
-            third[2:] = slots[2:] == slots[:-2]
-            slots = slots[~third]
-            cuts = np.searchsorted(slots, np.arange(RANGES + 1) * share)
-            pieces = [(r, np.diff(slots[a:b], prepend=r * share).astype("<u4").tobytes()) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            places = np.sort(np.concatenate(found))
+            third = np.zeros(len(places), bool)
+            third[2:] = places[2:] == places[:-2]
+            places = places[~third]
+            cuts = np.searchsorted(places, np.arange(RANGES + 1) * share)
+            pieces = [(r, np.diff(places[a:b], prepend=r * share).astype("<u4").tobytes()) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in pieces], pa.int32()), pa.array([len(x) for _, x in pieces], pa.int64()), pa.array([codec.compress(x, asbytes=True) for _, x in pieces])], ["range", "size", "steps"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,10 +135,10 @@ def repeated_anchors(docs: DataFrame, length: int) -> np.ndarray:
                     if at is not None:
                         yield done()
                     at, once, twice = r, np.zeros(share, bool), np.zeros(share, bool)
-                slots = np.cumsum(np.frombuffer(codec.decompress(steps, size, asbytes=True), "<u4").astype(np.int64))
-                twice[slots[once[slots]]] = True
-                twice[slots[1:][slots[1:] == slots[:-1]]] = True
-                once[slots] = True
+                places = np.cumsum(np.frombuffer(codec.decompress(steps, size, asbytes=True), "<u4").astype(np.int64))
+                twice[places[once[places]]] = True
+                twice[places[1:][places[1:] == places[:-1]]] = True
+                once[places] = True
         if at is not None:
             yield done()
 
@@ -134,23 +157,23 @@ def cut_runs(docs: DataFrame, length: int, bits: np.ndarray, kind: str) -> DataF
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchors, starts, owner, pieces = [], [], [], []
+            shards, firsts, owner, pieces = [], [], [], []
             for k, value in enumerate(batch.column(2).cast(pa.binary())):
                 text = value.as_py() or b""
                 if len(text) < length:
                     continue
-                anchor, at = runs(np.frombuffer(text, np.uint8), length)
-                ends = np.append(at[1:], len(text) - length + 1) + length - 1
-                slot = (anchor >> np.uint64(64 - BITS)).astype(np.int64)
-                may = np.flatnonzero(sent.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
-                anchors.append(anchor[may].view(np.int64))
-                starts.append(at[may])
-                owner.append(np.full(len(may), k))
-                pieces += [text[a:b] for a, b in zip(at[may].tolist(), ends[may].tolist())]
+                data = np.frombuffer(text, np.uint8)
+                place = slots(anchors(data, length, TOLD_BY))
+                dealt = anchors(data, length, DEALT_BY)
+                starts, ends = runs(dealt, sent.value[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1)
+                shards.append(dealt[starts].view(np.int64))
+                firsts.append(starts)
+                owner.append(np.full(len(starts), k))
+                pieces += [text[a:b] for a, b in zip(starts.tolist(), (ends + (length - 1)).tolist())]
             if not pieces:
                 continue
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces)).view(np.int64)
-            anchor, owner = np.concatenate(anchors), np.concatenate(owner)
+            hashes = np.asarray(hashed(pieces))
+            anchor, owner = np.concatenate(shards), np.concatenate(owner)
             ids = batch.column(0)
             place = np.empty(batch.num_rows, np.int64)
             place[np.asarray(pa.compute.sort_indices(ids))] = np.arange(batch.num_rows)  # orders documents as their ids
@@ -164,7 +187,7 @@ def cut_runs(docs: DataFrame, length: int, bits: np.ndarray, kind: str) -> DataF
             none = pa.array(to, mask=to < 0)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(anchor), pa.array(hashes), ids.take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(np.concatenate(starts), pa.int32()),
+                    pa.array(anchor), pa.array(hashes), ids.take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(np.concatenate(firsts), pa.int32()),
                     pa.array([pieces[i] for i in heads]).take(none), ids.take(pa.array(owner[heads])).take(none), ids.take(pa.array(owner[order[last]])).take(none), pa.array(last - begins + 1).take(none),
                 ],
                 names,
@@ -231,14 +254,15 @@ def run_owners(cut: DataFrame, length: int, kind: str) -> DataFrame:
         rows = pa.array(use)
         top = np.asarray(shard.column("last").to_numpy(zero_copy_only=False), dtype=ids.dtype)[use]
         wanted = pa.array(np.flatnonzero(ids[np.minimum.reduceat(least, starts)] < top))
-        full = [shard.column(c).combine_chunks().take(rows) for c in ("anchor", "h", "n")] + lists
+        full = [shard.column("anchor").combine_chunks().take(rows), hashed(pieces), shard.column("n").combine_chunks().take(rows), *lists]
         m = len(wanted)
         return pa.RecordBatch.from_arrays([x.take(wanted) for x in full] + nulls(m, pa.binary(), pa.int32(), firsts.type, firsts.type), schema=result)
 
     def in_strings(group: pa.Table) -> pa.RecordBatch:
         pieces = group.column("bytes").to_pylist()
         rows = np.repeat(np.arange(len(pieces)), [len(p) - length + 1 for p in pieces])
-        take = [group.column(c).combine_chunks().take(pa.array(rows)) for c in ("anchor", "h", "n", "first", "last")]
+        given = {"h": hashed(pieces)} | {c: group.column(c).combine_chunks() for c in ("anchor", "n", "first", "last")}
+        take = [given[c].take(pa.array(rows)) for c in ("anchor", "h", "n", "first", "last")]
         strings = pa.array([p[k : k + length] for p in pieces for k in range(len(p) - length + 1)])
         k = pa.array([k for p in pieces for k in range(len(p) - length + 1)], pa.int32())
         m = len(rows)
@@ -290,9 +314,9 @@ def run_owners(cut: DataFrame, length: int, kind: str) -> DataFrame:
     id_type = ids.type if ids is not None else {"int": pa.int32(), "string": pa.string()}[kind]
     result = pa.schema([("anchor", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("ends", pa.list_(pa.int32())), ("firsts", pa.list_(id_type)), ("string", pa.binary()), ("k", pa.int32()), ("first", id_type), ("last", id_type)])
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = cut.filter(F.col("bytes").isNotNull()).select("anchor", "h", "bytes", "first", "last", "n").repartition(partitions, "anchor")
-    distinct = texts.groupBy("anchor", "h", "bytes").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
-    stored = materialize(distinct.sortWithinPartitions("anchor").select("anchor", "h", "bytes", "first", "last", "n").mapInArrow(shards, schema).select(*names), "run-owners")
+    texts = cut.filter(F.col("bytes").isNotNull()).select("anchor", "bytes", "first", "last", "n").repartition(partitions, "anchor")
+    distinct = texts.groupBy("anchor", "bytes").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    stored = materialize(distinct.sortWithinPartitions("anchor").select("anchor", "bytes", "first", "last", "n").mapInArrow(shards, schema).select(*names), "run-owners")
     owners = stored.filter(F.col("string").isNull()).select("anchor", "h", "n", "ends", "firsts")
     cut_up = stored.filter(F.col("string").isNotNull())
     least = cut_up.groupBy("string").agg(F.min("first").alias("f"))
