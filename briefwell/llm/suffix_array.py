@@ -5,8 +5,8 @@ ends at the next; these are sorted by one induction, named, and their sequence s
 one left-to-right sweep places the L suffixes and one right-to-left sweep the S suffixes.
 
 Small alphabets are swept bucket by bucket in arrays: what a bucket induces goes to later buckets, or in waves to itself.
-Names below have large alphabets; each is spelt as two or three digits of a small one, so that the same sweeps serve. Texts
-that do not shrink this way (and short ones) are swept entry by entry.
+Names have large alphabets; each is spelt as two or three digits of a small one, so that the same sweeps serve one level
+down. There the recursion ends: names of names are ranked by pairs, pairs of pairs and so on.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import numpy as np
 
 #: Alphabets up to this size are swept in arrays.
 SMALL = 1024
-#: Names are spelt as digits at so many levels and in texts of at least so many names.
-DIGIT_LEVELS, DIGIT_NAMES = 8, 2000
+#: Levels of names that are spelt as digits, and the least number of names that is.
+DIGIT_LEVELS, DIGIT_NAMES = 1, 500
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -40,7 +40,7 @@ def _swept(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.n
     order = np.argsort(heads, kind="stable")
     lms, cuts = lms[order], np.searchsorted(heads[order], np.arange(size + 1)).tolist()
     starts = (ends - counts).tolist()
-    held = np.empty(n, np.int64)  # L suffixes from the starts of buckets on, then S suffixes, from right to left
+    held = np.empty(n, np.int32)  # L suffixes from the starts of buckets on, then S suffixes, from right to left
 
     def deal(j: np.ndarray, at: np.ndarray) -> None:
         """Append positions, in order, to the buckets of their characters."""
@@ -70,8 +70,8 @@ def _swept(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.n
         j = j[(t[j] > c) & ~small[j]]
         if len(j):
             deal(j, at)
-    at, out, end = ends - counts, np.empty(n, np.int64), n
-    deal(np.array([n - 1]), at)
+    at, out, end = ends - counts, np.empty(n, np.int32), n
+    deal(np.array([n - 1], np.int32), at)
     for c in range(size - 1, -1, -1):
         bucket = with_waves(held[starts[c] : at[c]].copy(), c, True)
         sources = np.concatenate([bucket, left[c][::-1]])  # right to left
@@ -84,42 +84,34 @@ def _swept(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.n
     return out
 
 
-def _stepped(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
-    """As ``_swept``, entry by entry."""
-    n = len(t)
-    counts = np.bincount(t, minlength=size)
-    ends = np.cumsum(counts)
-    sa = np.full(n, -1, np.int64)
-    heads = t[lms]
-    order = np.argsort(heads, kind="stable")
-    placed, c = lms[order], heads[order]
-    last = np.searchsorted(c, c, side="right")
-    sa[ends[c] - (last - np.arange(len(c)))] = placed
-    array, text, kind = sa.tolist(), t.tolist(), small.tolist()
-    head = (ends - counts).tolist()
-    for i in range(n):
-        j = array[i] - 1
-        if j >= 0 and not kind[j]:
-            c = text[j]
-            array[head[c]] = j
-            head[c] += 1
-    tail = ends.tolist()
-    tail[text[n - 1]] -= 1
-    array[tail[text[n - 1]]] = n - 1
-    for i in range(n - 1, -1, -1):
-        j = array[i] - 1
-        if j >= 0 and kind[j]:
-            c = text[j]
-            tail[c] -= 1
-            array[tail[c]] = j
-    return np.array(array, np.int64)
+def _ranked(names: np.ndarray) -> np.ndarray:
+    """The suffix array of a text of names: ranks of single names, then of pairs, of pairs of pairs, until all differ."""
+    m = len(names)
+    open_ = np.argsort(names, kind="stable")
+    order, rank, place = open_.copy(), np.zeros(m, np.int64), np.arange(m)
+    key, span = names[open_].astype(np.int64), 0
+    while True:
+        first = np.append(True, key[1:] != key[:-1])
+        begins = np.flatnonzero(first)
+        size = np.diff(np.append(begins, len(key)))
+        rank[open_] = np.repeat(place[begins], size)
+        more = np.repeat(size > 1, size)
+        open_, place = open_[more], place[more]
+        if not len(open_):
+            return order
+        span = 2 * span or 1
+        after = open_ + span
+        key = rank[open_] * (m + 1) + np.where(after < m, rank[np.minimum(after, m - 1)] + 1, 0)
+        sort = np.argsort(key, kind="stable")
+        open_, key = open_[sort], key[sort]
+        order[place] = open_
 
 
 def _of_names(names: np.ndarray, most: int, level: int) -> np.ndarray:
     """The suffix array of a text of names below ``most``, of which the last is the only 0."""
     m = len(names)
-    if level >= DIGIT_LEVELS or m < DIGIT_NAMES or most <= SMALL:
-        return suffix_array(names, most, level + 1)
+    if level >= DIGIT_LEVELS or m < DIGIT_NAMES:
+        return _ranked(names)
     digits = 2 if most <= (SMALL - 2) ** 2 else 3
     base = int(np.ceil(most ** (1 / digits))) + 1
     spelt = np.zeros(digits * m + 1, np.int16)
@@ -133,16 +125,17 @@ def suffix_array(t: np.ndarray, size: int, level: int = 0) -> np.ndarray:
     """Starts of the suffixes of ``t`` in order; entries lie in [0, size), and the last is the only 0."""
     n = len(t)
     if n < 3:
-        return np.arange(n, dtype=np.int64)[::-1].copy()
-    induce = _swept if size <= SMALL else _stepped
+        return np.arange(n, dtype=np.int32)[::-1].copy()
+    if size > SMALL:
+        return _ranked(t)
     small = classify(t)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if len(lms) > 1:
-        sa = induce(t, small, lms, size)
+        sa = _swept(t, small, lms, size)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         ordered = sa[is_lms[sa]]
-        length = np.zeros(n, np.int64)
+        length = np.zeros(n, np.int32)
         length[lms] = np.diff(np.append(lms, n - 1)) + 1
         a, b = ordered[:-1], ordered[1:]
         same = length[a] == length[b]
@@ -155,17 +148,17 @@ def suffix_array(t: np.ndarray, size: int, level: int = 0) -> np.ndarray:
             step += 1
             open_ = open_[~differ]
             open_ = open_[length[a[open_]] > step]
-        names = np.zeros(n, np.int64)
+        names = np.zeros(n, np.int32)
         names[ordered] = np.concatenate([[0], np.cumsum(~same)])
         reduced = names[lms]
         most = int(reduced.max()) + 1
         if most == len(lms):
-            by_rank = np.empty(most, np.int64)
+            by_rank = np.empty(most, np.int32)
             by_rank[reduced] = np.arange(most)
         else:
             by_rank = _of_names(reduced, most, level)
         lms = lms[by_rank]
-    return induce(t, small, lms, size)
+    return _swept(t, small, lms, size)
 
 
 def permuted_prefixes(t: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:

@@ -29,10 +29,12 @@ from .suffix_array import permuted_prefixes, suffix_array
 
 #: Bytes of the grams that tell repeated strings, and of those that shard them; at most.
 TOLD_BY, DEALT_BY = 24, 12
+#: Strings of one piece of a text.
+PART = 2 << 20
 #: Strings of one run, at most; runs of periodic texts would be longer.
 RUN = 64
-#: Bits of the anchors' bitmap (64 MB) and the hash ranges it is built by.
-BITS, RANGES = 29, 64
+#: Bits of the anchors' bitmap (64 MB), the hash ranges it is built by, and the finer bits that tell whether an anchor was seen before.
+BITS, RANGES, FINE = 29, 4096, 37
 #: Bytes of a shard, and of the runs of one anchor that are sorted in one shard.
 SHARD_BYTES, ANCHOR_BYTES = 2 << 20, 4 << 20
 #: Runs that at least one in so many occurrences shows are joined by broadcast, which bounds their number.
@@ -70,9 +72,9 @@ def anchors(text: np.ndarray, length: int, gram: int) -> np.ndarray:
     return least
 
 
-def slots(told: np.ndarray) -> np.ndarray:
-    """Places of anchors in the bitmap; least hashes are small numbers, so they are mixed again."""
-    return (_mixed(told * _B) >> np.uint64(64 - BITS)).astype(np.int64)
+def slots(told: np.ndarray, bits: int) -> np.ndarray:
+    """Places of anchors among 2^bits; least hashes are small numbers, so they are mixed again."""
+    return (_mixed(told * _B) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def runs(dealt: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,32 +97,38 @@ def hashed(pieces: list[bytes]) -> pa.Array:
     return pa.array(np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces)).view(np.int64))
 
 
-def _texts(column: pa.Array) -> Iterator[np.ndarray]:
-    for value in column.cast(pa.binary()):
-        yield np.frombuffer(value.as_py() or b"", np.uint8)
+def parts(text: bytes, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A text in pieces that bound memory, each with its start: every string of the set length lies in one of them."""
+    for start in range(0, len(text) - length + 1, PART):
+        yield start, np.frombuffer(text, np.uint8)[start : start + PART + length - 1]
 
 
 def repeated_anchors(docs: DataFrame, length: int) -> np.ndarray:
-    """Bitmap of the anchor hashes that may occur in two rows of ``docs`` (text): never misses one, and is 64 MB whatever the input."""
+    """Bitmap of the anchor hashes that may occur in two rows of ``docs`` (text): never misses one, and is 64 MB whatever the input.
+
+    Only anchors seen twice by 37 bits of their hash are marked, so that anchors of one document seldom pass.
+    """
     spark = docs.sparkSession
-    share = (1 << BITS) // RANGES
+    share, fine = (1 << BITS) // RANGES, (1 << FINE) // RANGES
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
         for batch in batches:
             found = []
-            for text in _texts(batch.column(0)):
-                if len(text) >= length:
-                    told = anchors(text, length, TOLD_BY)
-                    found.append(np.unique(slots(told[np.append(True, told[1:] != told[:-1])])))
+            for value in batch.column(0).cast(pa.binary()):
+                own = []
+                for _, part in parts(value.as_py() or b"", length):
+                    told = anchors(part, length, TOLD_BY)
+                    own.append(np.unique(slots(told[np.append(True, told[1:] != told[:-1])], FINE)))
+                found += own if len(own) < 2 else [np.unique(np.concatenate(own))]
             if not found:
                 continue
             places = np.sort(np.concatenate(found))
             third = np.zeros(len(places), bool)
             third[2:] = places[2:] == places[:-2]
             places = places[~third]
-            cuts = np.searchsorted(places, np.arange(RANGES + 1) * share)
-            pieces = [(r, np.diff(places[a:b], prepend=r * share).astype("<u4").tobytes()) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            cuts = np.searchsorted(places, np.arange(RANGES + 1) * fine)
+            pieces = [(r, np.diff(places[a:b], prepend=r * fine).astype("<u4").tobytes()) for r, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in pieces], pa.int32()), pa.array([len(x) for _, x in pieces], pa.int64()), pa.array([codec.compress(x, asbytes=True) for _, x in pieces])], ["range", "size", "steps"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,18 +142,19 @@ def repeated_anchors(docs: DataFrame, length: int) -> np.ndarray:
                 if r != at:
                     if at is not None:
                         yield done()
-                    at, once, twice = r, np.zeros(share, bool), np.zeros(share, bool)
+                    at, once, twice = r, np.zeros(fine, bool), np.zeros(share, bool)
                 places = np.cumsum(np.frombuffer(codec.decompress(steps, size, asbytes=True), "<u4").astype(np.int64))
-                twice[places[once[places]]] = True
-                twice[places[1:][places[1:] == places[:-1]]] = True
+                again = np.concatenate([places[once[places]], places[1:][places[1:] == places[:-1]]])
+                twice[again >> (FINE - BITS)] = True
                 once[places] = True
         if at is not None:
             yield done()
 
     lists = docs.select("text").mapInArrow(listed, "range int, size long, steps binary")
-    ranged = lists.repartition(RANGES, "range").sortWithinPartitions("range").mapInArrow(merged, "range int, bits binary")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = lists.repartition(partitions, "range").sortWithinPartitions("range").mapInArrow(merged, "range int, bits binary")
     bits = np.zeros(1 << (BITS - 3), np.uint8)
-    for r, found in ranged.toLocalIterator():  # RANGES rows of 1 MB at most
+    for r, found in ranged.toLocalIterator():  # RANGES rows of 16 KB
         bits[r * (share // 8) : (r + 1) * (share // 8)] = np.frombuffer(found, np.uint8)
     return bits
 
@@ -160,16 +169,14 @@ def cut_runs(docs: DataFrame, length: int, bits: np.ndarray, kind: str) -> DataF
             shards, firsts, owner, pieces = [], [], [], []
             for k, value in enumerate(batch.column(2).cast(pa.binary())):
                 text = value.as_py() or b""
-                if len(text) < length:
-                    continue
-                data = np.frombuffer(text, np.uint8)
-                place = slots(anchors(data, length, TOLD_BY))
-                dealt = anchors(data, length, DEALT_BY)
-                starts, ends = runs(dealt, sent.value[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1)
-                shards.append(dealt[starts].view(np.int64))
-                firsts.append(starts)
-                owner.append(np.full(len(starts), k))
-                pieces += [text[a:b] for a, b in zip(starts.tolist(), (ends + (length - 1)).tolist())]
+                for start, part in parts(text, length):
+                    place = slots(anchors(part, length, TOLD_BY), BITS)
+                    dealt = anchors(part, length, DEALT_BY)
+                    begin, end = runs(dealt, sent.value[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1)
+                    shards.append(dealt[begin].view(np.int64))
+                    firsts.append(begin + start)
+                    owner.append(np.full(len(begin), k))
+                    pieces += [text[a:b] for a, b in zip((begin + start).tolist(), (end + (start + length - 1)).tolist())]
             if not pieces:
                 continue
             hashes = np.asarray(hashed(pieces))
