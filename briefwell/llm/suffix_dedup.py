@@ -34,9 +34,9 @@ PART = 2 << 20
 #: Strings of one run, at most; runs of periodic texts would be longer.
 RUN = 64
 #: Bits of the anchors' bitmap (64 MB), the hash ranges it is built by, and the finer bits that tell whether an anchor was seen before.
-BITS, RANGES, FINE = 29, 4096, 37
+BITS, RANGES, FINE = 29, 4096, 35
 #: Bytes of a shard, and of the runs of one anchor that are sorted in one shard.
-SHARD_BYTES, ANCHOR_BYTES = 2 << 20, 4 << 20
+SHARD_BYTES, ANCHOR_BYTES = 3 << 20, 4 << 20
 #: Runs that at least one in so many occurrences shows are joined by broadcast, which bounds their number.
 COMMON, LEAST_COMMON = 4096, 1024
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
@@ -47,24 +47,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of the ``gram`` bytes from each position."""
-    n = len(text) - gram + 1
-    words, size = text.astype(np.uint64), 1
-    while size < min(8, gram):
-        grow = min(size, gram - size)
-        words = words[: len(words) - grow] | words[grow:] << np.uint64(8 * grow) if grow == size else words[: len(words) - grow] | text[size : size + len(words) - grow].astype(np.uint64) << np.uint64(8 * size)
-        size += grow
+def words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as one number; bytes past the end are 0."""
+    x = np.zeros(len(text) + 7, np.uint64)
+    x[: len(text)] = text
+    for size in (1, 2, 4):
+        x = x[:-size] | x[size:] << np.uint64(8 * size)
+    return x
+
+
+def gram_hashes(eight: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` bytes from each position, from the words there."""
+    n = len(eight) - gram + 1
     out = np.full(n, np.uint64(gram))
-    for at in [*range(0, gram - size + 1, size), *([gram - size] if gram % size else [])]:
-        out = _mixed((out + words[at : at + n]) * _B)
+    for at in [*range(0, gram - 7, 8), *([gram - 8] if gram % 8 and gram > 8 else [])] or [0]:
+        out ^= eight[at : at + n] if gram >= 8 else eight[:n] & np.uint64((1 << 8 * gram) - 1)
+        out *= _B
+        out ^= out >> np.uint64(32)
     return out
 
 
-def anchors(text: np.ndarray, length: int, gram: int) -> np.ndarray:
+def anchors(eight: np.ndarray, length: int, gram: int) -> np.ndarray:
     """The anchor of the string from each position."""
     gram = min(gram, length)
-    least, size, width = gram_hashes(text, gram), 1, length - gram + 1
+    least, size, width = gram_hashes(eight, gram), 1, length - gram + 1
     while size < width:
         step = min(size, width - size)
         least = np.minimum(least[: len(least) - step], least[step:])
@@ -106,7 +112,7 @@ def parts(text: bytes, length: int) -> Iterator[tuple[int, np.ndarray]]:
 def repeated_anchors(docs: DataFrame, length: int) -> np.ndarray:
     """Bitmap of the anchor hashes that may occur in two rows of ``docs`` (text): never misses one, and is 64 MB whatever the input.
 
-    Only anchors seen twice by 37 bits of their hash are marked, so that anchors of one document seldom pass.
+    Only anchors seen twice by 35 bits of their hash are marked, so that anchors of one document seldom pass.
     """
     spark = docs.sparkSession
     share, fine = (1 << BITS) // RANGES, (1 << FINE) // RANGES
@@ -118,7 +124,7 @@ def repeated_anchors(docs: DataFrame, length: int) -> np.ndarray:
             for value in batch.column(0).cast(pa.binary()):
                 own = []
                 for _, part in parts(value.as_py() or b"", length):
-                    told = anchors(part, length, TOLD_BY)
+                    told = anchors(words(part), length, TOLD_BY)
                     own.append(np.unique(slots(told[np.append(True, told[1:] != told[:-1])], FINE)))
                 found += own if len(own) < 2 else [np.unique(np.concatenate(own))]
             if not found:
@@ -154,7 +160,7 @@ def repeated_anchors(docs: DataFrame, length: int) -> np.ndarray:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = lists.repartition(partitions, "range").sortWithinPartitions("range").mapInArrow(merged, "range int, bits binary")
     bits = np.zeros(1 << (BITS - 3), np.uint8)
-    for r, found in ranged.toLocalIterator():  # RANGES rows of 16 KB
+    for r, found in ranged.collect():  # RANGES rows of 16 KB
         bits[r * (share // 8) : (r + 1) * (share // 8)] = np.frombuffer(found, np.uint8)
     return bits
 
@@ -170,9 +176,12 @@ def cut_runs(docs: DataFrame, length: int, bits: np.ndarray, kind: str) -> DataF
             for k, value in enumerate(batch.column(2).cast(pa.binary())):
                 text = value.as_py() or b""
                 for start, part in parts(text, length):
-                    place = slots(anchors(part, length, TOLD_BY), BITS)
-                    dealt = anchors(part, length, DEALT_BY)
-                    begin, end = runs(dealt, sent.value[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1)
+                    eight = words(part)
+                    told, dealt = anchors(eight, length, TOLD_BY), anchors(eight, length, DEALT_BY)
+                    cuts = np.flatnonzero(np.append(True, told[1:] != told[:-1]))
+                    place = slots(told[cuts], BITS)
+                    may = sent.value[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+                    begin, end = runs(dealt, np.repeat(may, np.diff(np.append(cuts, len(told)))))
                     shards.append(dealt[begin].view(np.int64))
                     firsts.append(begin + start)
                     owner.append(np.full(len(begin), k))
