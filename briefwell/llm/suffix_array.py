@@ -143,7 +143,7 @@ def suffix_array(t: np.ndarray, size: int, level: int = 0) -> np.ndarray:
         step = 0
         while len(open_):  # first characters, then second ones, of the pairs still alike
             x, y = a[open_] + step, b[open_] + step
-            differ = (t[x] != t[y]) | (small[x] != small[y])
+            differ = t[x] != t[y]  # of equal lengths, so characters tell the types
             same[open_[differ]] = False
             step += 1
             open_ = open_[~differ]
@@ -168,15 +168,20 @@ def permuted_prefixes(t: np.ndarray, starts: np.ndarray, most: int) -> np.ndarra
     """
     if not len(starts):
         return np.zeros(0, np.int64)
-    before = np.full(len(t), -1, np.int64)
+    limit = len(t)
+    before = np.full(limit, -1, np.int32)
     before[starts[1:]] = starts[:-1]
     at = np.sort(starts)
     at = at[before[at] >= 0]
-    common = np.zeros(len(t), np.int64)
-    limit = len(t)
-    padded = np.zeros(limit + 4, np.uint64)
+    common = np.zeros(limit, np.int32)
+    bits = 8 if t.dtype == np.uint8 else 16
+    width = 64 // bits
+    padded = np.zeros(limit + width - 1, np.uint64)
     padded[:limit] = t
-    words = padded[:-3] | padded[1:-2] << np.uint64(16) | padded[2:-1] << np.uint64(32) | padded[3:] << np.uint64(48)
+    words, size = padded, 1
+    while size < width:
+        words = words[:-size] | words[size:] << np.uint64(bits * size)
+        size *= 2
 
     def grown(open_: np.ndarray, size: int, by: int, of: np.ndarray) -> np.ndarray:
         """Those of the starts that have ``by`` further characters in common after ``size``."""
@@ -186,11 +191,11 @@ def permuted_prefixes(t: np.ndarray, starts: np.ndarray, most: int) -> np.ndarra
         return open_[of[open_ + size] == of[other + size]]
 
     open_, size = at, 0
-    while len(open_) and size + 4 <= most:  # four characters at a time, then what is left one by one
-        open_ = grown(open_, size, 4, words)
-        size += 4
+    while len(open_) and size + width <= most:  # a word of characters at a time, then what is left one by one
+        open_ = grown(open_, size, width, words)
+        size += width
         common[open_] = size
-    for _ in range(3):
+    for _ in range(width - 1):
         at = at[common[at] < most]
         other = before[at]
         more = np.maximum(at, other) + common[at] < limit

@@ -36,7 +36,7 @@ RUN = 64
 #: Bits of the anchors' bitmap (64 MB), the hash ranges it is built by, and the finer bits that tell whether an anchor was seen before.
 BITS, RANGES, FINE = 29, 4096, 35
 #: Bytes of a shard, and of the runs of one anchor that are sorted in one shard.
-SHARD_BYTES, ANCHOR_BYTES = 3 << 20, 4 << 20
+SHARD_BYTES, ANCHOR_BYTES = 3 << 19, 4 << 20
 #: Runs that at least one in so many occurrences shows are joined by broadcast, which bounds their number.
 COMMON, LEAST_COMMON = 4096, 1024
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
@@ -214,19 +214,22 @@ def cut_runs(docs: DataFrame, length: int, bits: np.ndarray, kind: str) -> DataF
 
 def smallest_documents(pieces: list[bytes], first: np.ndarray, length: int) -> np.ndarray:
     """For each string of each piece, in order, the least of ``first`` over the pieces that hold it: one shard's suffix array."""
-    sizes = np.array([len(p) for p in pieces])
-    owner = np.repeat(np.arange(len(pieces)), sizes)
-    text = np.ones(sizes.sum() + len(pieces) + 1, np.int16)  # 1 parts the pieces, 0 ends the text
-    text[np.arange(len(owner)) + owner] = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int16) + 2
+    sizes = np.array([len(p) for p in pieces], np.int32)
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+    inside = np.arange(len(owner), dtype=np.int32) + owner
+    flat = np.zeros(len(owner) + len(pieces) + 1, np.uint8)
+    flat[inside] = np.frombuffer(b"".join(pieces), np.uint8)
+    text = np.ones(len(flat), np.int16)  # 1 parts the pieces, 0 ends the text
+    text[inside] = flat[inside].astype(np.int16) + 2
     text[-1] = 0
     strings = sizes - length + 1
-    of = np.repeat(np.arange(len(pieces)), strings)
+    of = np.repeat(np.arange(len(pieces), dtype=np.int32), strings)
     at = np.repeat(np.cumsum(sizes + 1) - sizes - 1, strings) + np.arange(len(of)) - np.repeat(np.cumsum(strings) - strings, strings)
-    number = np.full(len(text), -1)
-    number[at] = np.arange(len(at))
+    number = np.full(len(text), -1, np.int32)
+    number[at] = np.arange(len(at), dtype=np.int32)
     order = suffix_array(text, 258)
     order = order[number[order] >= 0]
-    begins = np.flatnonzero(permuted_prefixes(text, order, length) < length)
+    begins = np.flatnonzero(permuted_prefixes(flat, order, length) < length)  # no string holds a parting mark
     rows = number[order]
     least = np.minimum.reduceat(first[of[rows]], begins)
     out = np.empty(len(at), first.dtype)
