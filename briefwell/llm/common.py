@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,12 @@ def discard(df: DataFrame | None) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have shuffle files of finished steps deleted now: Spark's cleaner does so once the driver's JVM has collected their plans, by itself at long intervals."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def crc_fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

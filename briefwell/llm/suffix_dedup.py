@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialize
+from .common import bounded_batches, discard, materialize, release
 from .near_dup import sieve
 from .suffix_array import permuted_prefixes, suffix_array
 
@@ -371,10 +371,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("doc"), text.alias("text"), F.xxhash64(text).alias("own"))
     named = rows.filter(F.col("doc").isNotNull() & (F.octet_length("text") >= length))
     cut = materialize(cut_runs(named, length, repeated_anchors(named, length), kind), "runs")
+    release(spark)
     owners = run_owners(cut, length, kind)
+    release(spark)
     marks = materialize(covered(cut, owners, length), "marks")
     discard(cut)
     discard(owners)
+    release(spark)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
