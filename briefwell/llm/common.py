@@ -55,8 +55,12 @@ def discard(df: DataFrame | None) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Have shuffle files of finished steps deleted now: Spark's cleaner does so once the driver's JVM has collected their plans, by itself at long intervals."""
+    """Have shuffle files of finished steps deleted now: Spark's cleaner does so once the driver's JVM has collected their plans, by itself at long intervals.
+
+    A small job first, since Spark holds on to the plan of the last one.
+    """
     gc.collect()
+    spark.range(1).count()
     spark._jvm.System.gc()
 
 
