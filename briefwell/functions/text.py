@@ -34,9 +34,9 @@ def contains_any(c: Column, parts) -> Column:
 
     Many parts are one array in the plan, not an expression each.
     """
-    low = F.lower(c)
     if len(parts) > 8:
-        return F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: low.contains(p))
+        return let(F.lower(c), lambda low: F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: low.contains(p)))
+    low = F.lower(c)
     return reduce(lambda a, b: a | b, [low.contains(p) for p in parts], F.lit(False))
 
 

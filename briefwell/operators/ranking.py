@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column], k: int, place: str = "place") -> DataFrame:
     """The k first rows of each group; k <= 0: all."""
@@ -50,10 +52,33 @@ def score_cutoff(rows: DataFrame, score: str, default: int = 55, share: float =
     return found.select(F.col("n").cast("long").alias("n"), F.when(F.col("n") > 5, F.col("c")).otherwise(F.lit(default)).cast("long").alias("cutoff"))
 
 
+def first_rows(rows: DataFrame, order: list[Column], n: int, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all, if not given) of the ``n`` first rows by ``order``, for an ``n`` that grows with the table.
+
+    Range partitions are sorted each on its own; their sizes tell in which one the n-th row lies, and a filter on partition
+    and place keeps what comes before. ``order`` should tell rows apart; of rows that tie over the cut some stay.
+    """
+    spark = rows.sparkSession
+    columns = keep or rows.columns
+    if n <= 0:
+        return rows.select(*columns).limit(0)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*columns, F.monotonically_increasing_id().alias("_n"))
+    placed = stored(placed.withColumn("_part", F.shiftright("_n", 33)).withColumn("_n", F.col("_n").bitwiseAND((1 << 33) - 1)), "ranked")
+    left, cut = n, None
+    for part, size in sorted(tuple(r) for r in placed.groupBy("_part").count().collect()):  # a row a partition
+        if size >= left:
+            cut = part
+            break
+        left -= size
+    kept = placed if cut is None else placed.filter((F.col("_part") < cut) | (F.col("_part") == cut) & (F.col("_n") < left))
+    return kept.select(*columns)
+
+
 def cap_share(rows: DataFrame, is_side: Column, order: list[Column], share: float = 0.3, alone: int = 3) -> DataFrame:
     """Side rows cut to ``share`` of the result: int(n * share / (1 - share)) of them for n others, ``alone`` if there are no others."""
     marked = rows.withColumn("_side", is_side)
     n = marked.filter(~F.col("_side")).count()
     most = int(n * share / (1 - share)) if n else alone
-    side = marked.filter("_side").orderBy(*order).limit(most)
+    side = first_rows(marked.filter("_side"), order, most)
     return marked.filter(~F.col("_side")).unionByName(side).drop("_side")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import re
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import keywords as K
+from ..functions.automaton import words_found
 from ..functions.dates import parse_timestamp
 from ..functions.text import contains_any, is_false
 from ..functions.urls import domain, in_domain, kind_priority, source_kind
@@ -202,14 +203,15 @@ def note_excerpt(page: Column, analysis: Column, summary: Column) -> Column:
 def topic_hits(articles: DataFrame, topics: DataFrame, text: Column, id_col: str = "ord") -> DataFrame:
     """(topic, id): articles that hold a topic as a whole, or two of its words of three characters or more (one, if it has but one).
 
-    Topics are a watchlist: they are counted and checked to be few (10,000 at most), then put into the plan as one array, so texts are not
-    shuffled.
+    Topics are a watchlist, any number of them: one pass of an automaton over each text finds all their words (long lists are
+    dealt to several), and the words found are joined to topics, so texts are not shuffled. Blank topics match nothing;
+    repeated ones count once; a word that a topic repeats counts as often.
     """
-    clean = topics.select(F.lower(F.trim(F.col("topic"))).alias("t"), "topic").filter("t <> ''").distinct()
-    if clean.count() > 10_000:
-        raise ValueError("a watchlist has at most 10,000 topics; match larger lists in parts")
-    listed = [{"topic": r["topic"], "t": r["t"], "words": [w for w in re.findall("[a-z0-9]+", r["t"]) if len(w) >= 3]} for r in clean.orderBy("topic").collect()]
-    known = F.from_json(F.lit(json.dumps(listed)), "array<struct<topic:string,t:string,words:array<string>>>")
-    low_text = articles.select(F.col(id_col).alias("_id"), F.lower(F.coalesce(text, F.lit(""))).alias("_text"))
-    met = lambda x: F.col("_text").contains(x["t"]) | ((F.size(x["words"]) > 0) & (F.size(F.filter(x["words"], lambda w: F.col("_text").contains(w))) >= F.least(F.lit(2), F.size(x["words"]))))
-    return low_text.select(F.explode(F.filter(known, met)).alias("x"), "_id").select(F.col("x.topic").alias("topic"), F.col("_id").alias(id_col))
+    listed = [(r["topic"], r["t"], Counter(w for w in re.findall("[a-z0-9]+", r["t"]) if len(w) >= 3)) for r in topics.select(F.lower(F.trim("topic")).alias("t"), "topic").filter("t <> ''").distinct().orderBy("topic").collect()]
+    words = tuple(dict.fromkeys(w for _, t, own in listed for w in (t, *own)))
+    place = {w: k for k, w in enumerate(words)}
+    uses = [(place[t], topic, True, 0, 0) for topic, t, _ in listed] + [(place[w], topic, False, n, min(2, own.total())) for topic, _, own in listed for w, n in own.items()]
+    table = articles.sparkSession.createDataFrame(uses, "w int, topic string, whole boolean, n int, need int")
+    met = articles.select(F.col(id_col), F.explode(words_found(F.lower(F.coalesce(text, F.lit(""))), words)).alias("w")).join(table, "w")
+    told = met.groupBy("topic", id_col).agg(F.max("whole").alias("whole"), F.sum("n").alias("n"), F.max("need").alias("need"))
+    return told.filter(F.col("whole") | (F.col("need") > 0) & (F.col("n") >= F.col("need"))).select("topic", id_col)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import FEEDBACK_PHRASES
 from ..functions.text import contains_any, title_tokens
 from .ranking import top_per_group
+from .records import topic_hits
 from .signals import with_absent
 
 
@@ -27,22 +28,17 @@ def themes(rows: DataFrame, title: str, k: int = 5) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "token").limit(k)
 
 
-def watchlist_matches(rows: DataFrame, terms: DataFrame, text: Column, order: list[Column], k: int = 5) -> DataFrame:
-    """For each (kind, term): how many rows hold the term, their best score and the k first by ``order``.
+def watchlist_matches(rows: DataFrame, terms: DataFrame, text: Column, order: list[Column], k: int = 5, id_col: str = "ord") -> DataFrame:
+    """For each (kind, term): how many rows match the term, their best score and the k first by ``order``.
 
-    A term is a substring, not a word, so its first three characters (all of a shorter one) are looked up among the
-    character runs of each text; a row meets only terms that begin with one of its runs, and each is then tested whole.
-    Terms are joined, never collected; Spark sends them to the tasks where their size allows.
+    A row matches as topic_hits() tells: it holds the whole term, or two of its words. All terms are found in one pass over
+    each text, and only ids of rows that match are joined back.
     """
-    head = 3
-    listed = terms.select("kind", "term").filter(F.coalesce("term", F.lit("")) != "").distinct().withColumn("_low", F.lower("term"))
-    listed = listed.withColumn("_gram", F.substring("_low", 1, head))
-    low = rows.withColumn("_text", F.lower(F.coalesce(text, F.lit(""))))
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - n + 1, F.lit(1))), lambda i: F.substr("_text", i, F.lit(n)))
-    keyed = low.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.array(*[grams(n) for n in range(1, head + 1)])))))
-    met = keyed.join(listed, "_gram").filter(F.col("_text").contains(F.col("_low"))).drop("_gram", "_text", "_low")
-    totals = met.groupBy("kind", "term").agg(F.count("*").alias("n_signals"), F.max("total_score").alias("max_score"))
-    return top_per_group(met, ["kind", "term"], order, k).join(totals, ["kind", "term"])
+    met = topic_hits(rows, terms.select(F.col("term").alias("topic")), text, id_col).withColumnRenamed("topic", "term")
+    kinds = terms.select("kind", "term").distinct()
+    totals_of = met.join(kinds, "term").join(rows.select(F.col(id_col), *[c for c in rows.columns if c not in (id_col, "kind", "term")]), id_col)
+    totals = totals_of.groupBy("kind", "term").agg(F.count("*").alias("n_signals"), F.max("total_score").alias("max_score"))
+    return top_per_group(totals_of, ["kind", "term"], order, k).join(totals, ["kind", "term"])
 
 
 def stage_timings(rows: DataFrame, stage: str, duration: str) -> DataFrame:

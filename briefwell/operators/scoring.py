@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from .. import keywords as K
 from ..config import COMPONENT_CAPS, FRESHNESS_POINTS, OFF_TOPIC_WORDS, TIER_POINTS, TOPIC_HOSTS, TOPIC_WORDS
+from ..functions.automaton import count_of, words_found
 from ..functions.text import falsy, hit_count, is_false, plain_text, unicode_pattern
-from .signals import keyword_hits
 
 # Hosts that editors never take, and hosts that they take only for relevant items.
 EDITORIAL_BLOCKED, EDITORIAL_SOFT_BLOCKED = ("jingyan.baidu.com",), ("zhihu.com",)
 
 
+#: Words that the prefilter counts in titles and in surfaces.
+TITLE_LISTS = tuple(dict.fromkeys(K.TOPIC_SIGNALS + K.OFF_SCOPE_WORDS))
+TEXT_LISTS = tuple(dict.fromkeys(K.STRATEGIC_SIGNALS + K.NOISE_WORDS))
+
+
 def clamp(c: Column, low: int, high: int) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
@@ -28,14 +33,13 @@ def points_of(c: Column, points: dict[str, int]) -> Column:
 def prefilter_terms(preferences: dict | None = None) -> list[tuple[str, Column]]:
     """(name, points) of the prefilter over article columns; the score is their sum.
 
+    The columns _title_words and _text_words hold the words found in title and surface (see with_prefilter).
     ``preferences`` of the feedback: strict_source_review, prefer_founder_angle, prefer_depth, prefer_freshness (flags)
     and preferred_types (lane names in lower case).
     """
     from .classify import lane_of_title
 
     likes = preferences or {}
-    title = F.lower(F.coalesce(F.col("title"), F.lit("")))
-    text = F.lower(F.concat_ws(" ", *[F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)) for c in ("title", "snippet", "url", "source_domain")]))
     kind, tier, host, bucket = F.lower(F.coalesce(F.col("source_kind"), F.lit("unknown"))), F.lower(F.coalesce(F.col("source_tier"), F.lit("unknown"))), F.lower(F.coalesce(F.col("source_domain"), F.lit(""))), F.lower(F.coalesce(F.col("freshness_bucket"), F.lit("unknown")))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     significant = flag("github_significant")
@@ -46,8 +50,8 @@ def prefilter_terms(preferences: dict | None = None) -> list[tuple[str, Column]]
     quality = falsy(F.col("source_history_quality_score"), 50)
     known = F.coalesce(F.col("source_history_runs"), F.lit(0)) >= 3
     past = lambda name, most: F.greatest(F.lit(0), F.least(F.lit(most), F.coalesce(F.col(name), F.lit(0))))
-    strategic, off, noise = keyword_hits(text, K.STRATEGIC_SIGNALS), keyword_hits(title, K.OFF_SCOPE_WORDS), keyword_hits(text, K.NOISE_WORDS)
-    near = keyword_hits(title, K.TOPIC_SIGNALS)
+    strategic, noise = (count_of(F.col("_text_words"), TEXT_LISTS, words) for words in (K.STRATEGIC_SIGNALS, K.NOISE_WORDS))
+    near, off = (count_of(F.col("_title_words"), TITLE_LISTS, words) for words in (K.TOPIC_SIGNALS, K.OFF_SCOPE_WORDS))
     wanted = [w for w in likes.get("preferred_types", ()) if w]
     lane = F.lower(lane_of_title(F.col("title")))
     forms = (lane, F.replace(lane, F.lit(" & culture"), F.lit("")), F.replace(lane, F.lit(" "), F.lit("_")), F.replace(lane, F.lit(" & "), F.lit("_")))
@@ -101,10 +105,13 @@ def with_prefilter(articles: DataFrame, preferences: dict | None = None) -> Data
     """
     whole = articles.withColumns({c: F.lit(None).cast(k) for c, k in PREFILTER_KINDS.items() if c not in articles.columns})
     terms = prefilter_terms(preferences)
+    title = F.lower(F.coalesce(F.col("title"), F.lit("")))
+    surface = F.lower(F.concat_ws(" ", *[F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)) for c in ("title", "snippet", "url", "source_domain")]))
+    whole = whole.withColumn("_title_words", words_found(title, TITLE_LISTS)).withColumn("_text_words", words_found(surface, TEXT_LISTS))
     whole = whole.withColumn("_p", F.array(*[p.cast("int") for _, p in terms]))
     points = [F.get("_p", F.lit(k)) for k in range(len(terms))]
     reasons = F.filter(F.array(*[F.when(p != 0, F.concat(F.lit(n), F.when(p > 0, "+").otherwise(""), p.cast("string"))) for (n, _), p in zip(terms, points)]), lambda x: x.isNotNull())
-    return whole.withColumn("prefilter_score", reduce(lambda a, b: a + b, points)).withColumn("prefilter_reasons", reasons).drop("_p")
+    return whole.withColumn("prefilter_score", reduce(lambda a, b: a + b, points)).withColumn("prefilter_reasons", reasons).drop("_p", "_title_words", "_text_words")
 
 
 def split_components(total: Column, caps: tuple[int, ...] = COMPONENT_CAPS) -> list[Column]:

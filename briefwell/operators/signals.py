@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import keywords as K
+from ..functions.automaton import count_of, words_found
 from ..functions.text import contains_any
 
 # Rank of each kind of source when candidates tie.
@@ -110,7 +111,10 @@ def with_signals(articles: DataFrame) -> DataFrame:
     text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "summary_vi", "editorial_angle", "snippet", "content", "source", "source_domain")]))
     rows = rows.withColumn("_text", text).withColumn("_tags", tag_set()).withColumn("_fit", project_fit())
     t, tags, fit = F.col("_text"), F.col("_tags"), F.col("_fit")
-    hits = {name: keyword_hits(t, words) for name, words in (("novelty", K.NOVELTY_HINTS), ("operator", K.OPERATOR_HINTS), ("adoption", K.ADOPTION_HINTS), ("noise", K.GITHUB_NOISE_HINTS), ("ecosystem", K.SOCIETY_ECOSYSTEM_HINTS), ("consequence", K.CONSEQUENCE_HINTS), ("filler", K.SOCIETY_FILLER_HINTS), ("promo", K.PROMO_HINTS), ("speculation", K.SPECULATION_HINTS))}
+    lists = dict((("novelty", K.NOVELTY_HINTS), ("operator", K.OPERATOR_HINTS), ("adoption", K.ADOPTION_HINTS), ("noise", K.GITHUB_NOISE_HINTS), ("ecosystem", K.SOCIETY_ECOSYSTEM_HINTS), ("consequence", K.CONSEQUENCE_HINTS), ("filler", K.SOCIETY_FILLER_HINTS), ("promo", K.PROMO_HINTS), ("speculation", K.SPECULATION_HINTS)))
+    words = tuple(dict.fromkeys(w for listed in lists.values() for w in listed))
+    rows = rows.withColumn("_found", words_found(t, words))
+    hits = {name: count_of(F.col("_found"), words, listed) for name, listed in lists.items()}
     shared = {name: tag_hits(tags, wanted) for name, wanted in (("actionable", K.ACTIONABLE_TAGS), ("github", K.GITHUB_TAGS), ("ecosystem", K.ECOSYSTEM_TAGS), ("consequence", K.CONSEQUENCE_TAGS), ("proxy", K.PROXY_TAGS))}
     # Arrays, not structs: the optimiser would take a struct apart and count a list again for each use.
     rows = rows.withColumn("_h", F.array(*hits.values())).withColumn("_s", F.array(*shared.values()))

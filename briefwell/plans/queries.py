@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..config import OFF_TOPIC_WORDS, TOPIC_HOSTS, TOPIC_WORDS
 from ..functions import dates, text, urls
-from ..operators import dedup, events, history, ranking, recall, reports, scoring
+from ..operators import dedup, events, history, ranking, recall, reports, scoring, tags
 from ..streaming import windows
+from ..taxonomy import DEFAULT_TAG_SCORE, TAG_DEFAULTS, TAG_SIGNALS
 from .adapters import HEADLINED_SQL, POLICY, articles, headlined, table
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401  the driver reads the registry here
 
@@ -102,12 +103,6 @@ def relevance_decision(spark, d):
     return headlined(spark, d).select("ord", scoring.ai_relevance(F.col("source_domain"), F.col("title"), F.col("content")).alias("r")).select("ord", "r.*")
 
 
-@query("SELECT ord, list_aggregate(list_sort(list_distinct(list_filter(regexp_extract_all(regexp_replace(strip_accents(lower(replace(title, 'ß', ''))), '[^\\x00-\\x7F]', '', 'g'), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN $STOPWORDS))), 'string_agg', ' ') AS tokens FROM a WHERE lang = 'en'")
-def title_tokens_english(spark, d):
-    rows = articles(spark, d).filter("lang = 'en'").select("ord", text.title_tokens(F.col("title")).alias("t"))
-    return rows.select("ord", F.when(F.size("t") > 0, F.concat_ws(" ", "t")).alias("tokens"))
-
-
 @query("SELECT ord, list_aggregate(list_sort(list_distinct(list_filter(regexp_extract_all(regexp_replace(strip_accents(lower(replace(title, 'ß', ''))), '[^\\x00-\\x7F]', '', 'g'), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN $STOPWORDS))), 'string_agg', ' ') AS tokens FROM a")
 def title_tokens_all(spark, d):
     """Tokens of the title of every document, whatever its language, also without one."""
@@ -331,16 +326,21 @@ def feedback_profile(spark, d):
     return reports.feedback_profile(rows, "labels")
 
 
-TERMS = [("topic", "tion"), ("topic", "would"), ("company", "ing"), ("person", "está")]
+TERMS = [("companies", "OpenAI"), ("companies", "Nvidia"), ("products", "album review"), ("tools", "self-hosted deployment guide"), ("policy", "export controls"), ("topics", "enterprise agents"), ("topics", "clinic scheduling"), ("topics", "OpenAI"), ("topics", " ")]
 
 
-@query("""+ t AS (SELECT * FROM (VALUES ('topic', 'tion'), ('topic', 'would'), ('company', 'ing'), ('person', 'está')) AS v(kind, term)
-), m AS (SELECT t.kind, t.term, a.ord, a.total_score, CAST(row_number() OVER (PARTITION BY t.kind, t.term ORDER BY a.total_score DESC, a.ord) AS INTEGER) AS place, count(*) OVER (PARTITION BY t.kind, t.term) AS n_signals, max(a.total_score) OVER (PARTITION BY t.kind, t.term) AS max_score FROM a JOIN t ON contains(lower(a.title), t.term))
-SELECT kind, term, ord, place, n_signals, max_score FROM m WHERE place <= 5""")
+@query(f"""+ {HEADLINED_SQL}, t(kind, term, ws) AS (VALUES ('companies', 'OpenAI', ['openai']), ('companies', 'Nvidia', ['nvidia']), ('products', 'album review', ['album', 'review']), ('tools', 'self-hosted deployment guide', ['self', 'hosted', 'deployment', 'guide']), ('policy', 'export controls', ['export', 'controls']), ('topics', 'enterprise agents', ['enterprise', 'agents']), ('topics', 'clinic scheduling', ['clinic', 'scheduling']), ('topics', 'OpenAI', ['openai'])
+), x AS (SELECT ord, total_score, lower(concat_ws(' ', title, content, github_owner || '/kit', source_domain)) AS w FROM hl
+), m AS (SELECT kind, term, ord, total_score FROM x JOIN t ON contains(w, lower(term)) OR len(list_filter(ws, lambda z: contains(w, z))) >= least(2, len(ws))
+), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY kind, term ORDER BY total_score DESC, ord) AS INTEGER) AS place, count(*) OVER (PARTITION BY kind, term) AS n_signals, max(total_score) OVER (PARTITION BY kind, term) AS max_score FROM m)
+SELECT kind, term, ord, place, n_signals, max_score FROM p WHERE place <= 5""")
 def watchlist_match(spark, d):
-    rows = articles(spark, d).select("ord", "title", "total_score")
+    """Watchlist terms by kind over whole texts: the five best rows of each, and how many there are."""
     terms = spark.createDataFrame(TERMS, "kind string, term string")
-    return reports.watchlist_matches(rows, terms, F.col("title"), best()).select("kind", "term", "ord", "place", "n_signals", "max_score")
+    whole = F.concat_ws(" ", "title", "content", "github_full_name", "source_domain")
+    rows = headlined(spark, d)
+    matched = reports.watchlist_matches(rows.select("ord", "total_score", "title", "content", "github_full_name", "source_domain"), terms, whole, best())
+    return matched.select("kind", "term", "ord", "place", "n_signals", "max_score")
 
 
 @query("""SELECT primary_type, source_domain, n, max_score, CAST(row_number() OVER (PARTITION BY primary_type ORDER BY n DESC, max_score DESC, source_domain) AS INTEGER) AS place
@@ -467,15 +467,34 @@ def repository_rank(spark, d):
     return table(spark, d, "events").select("event_id", rank.cast("long").alias("rank"))
 
 
-SIGNALS = {"agents": ("the", "thand"), "funding": ("of a", "and th"), "policy": ("was",), "infrastructure": ("from", "with")}
+#: Raw tags as models give them, one added to each second row.
+EXTRA_TAGS = ("GPU", "Open-Source", "M&A", "startups", "Việt Nam", "", "red_team")
+_EXTRA_SQL = "[" + ", ".join(f"'{t}'" for t in EXTRA_TAGS) + f"][CAST(ord // 2 % {len(EXTRA_TAGS)} AS INT) + 1]"
 
 
-@query("""SELECT ord, array_to_string(CASE WHEN len(t) > 0 THEN t[1:3] ELSE ['general'] END, ',') AS tags FROM (SELECT ord, list_filter([CASE WHEN contains(k, ' the ') OR contains(k, ' thand ') THEN 'agents' END, CASE WHEN contains(k, 'of a') OR contains(k, 'and th') THEN 'funding' END, CASE WHEN contains(k, ' was ') THEN 'policy' END, CASE WHEN contains(k, ' from ') OR contains(k, ' with ') THEN 'infrastructure' END], lambda x: x IS NOT NULL) AS t
-FROM (SELECT ord, ' ' || regexp_replace(regexp_replace(strip_accents(lower(replace(title, 'ß', ''))), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', ' ', 'g') || ' ' AS k FROM a))""")
-def article_tags(spark, d):
-    from ..operators import selection
+def _tags_sql() -> str:
+    """Tags by the same fixed values: names of raw tags by a list of pairs, words by boundaries, phrases as substrings."""
+    quoted = lambda w: "'" + w.replace("'", "''") + "'"
+    names = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in tags.tag_by_name().items())
+    tests = ", ".join(f"CASE WHEN {' OR '.join(f'contains(k, {quoted(w)})' if ' ' in w else f'regexp_matches(k, {quoted(chr(92) + 'b' + w + chr(92) + 'b')})' for w in words)} THEN {quoted(t)} END" for t, words in TAG_SIGNALS.items())
+    defaults = " ".join(f"WHEN primary_type = {quoted(lane)} THEN {quoted(t)}" for lane, t in TAG_DEFAULTS.items())
+    fold = lambda x: f"regexp_replace(strip_accents(lower(replace({x}, 'ß', ''))), '[^\\x00-\\x7F]', '', 'g')"
+    one = lambda x: f"trim(regexp_replace({x}, '[ \\t\\n\\f\\r]+', ' ', 'g'))"
+    return f"""+ {HEADLINED_SQL}, names(n, t) AS (VALUES {names}
+), r AS (SELECT ord, primary_type, total_score, title, content, source, source_domain, CASE WHEN ord % 2 = 0 THEN list_append(tags, {_EXTRA_SQL}) ELSE [] END AS raw FROM hl
+), n AS (SELECT ord, list(t ORDER BY i) AS named FROM (SELECT ord, {one(f"replace({fold('unnest(raw)')}, '_', ' ')")} AS n, generate_subscripts(raw, 1) AS i FROM r) JOIN names USING (n) GROUP BY ord
+), f AS (SELECT ord, primary_type, total_score, {one(fold("concat_ws(' ', title, '', '', '', '', '', coalesce(content, ''), '', coalesce(source, ''), coalesce(source_domain, ''), array_to_string(raw, ' '))"))} AS k FROM r
+), g AS (SELECT ord, primary_type, total_score, list_concat(coalesce(named, []), list_filter([{tests}], lambda x: x IS NOT NULL)) AS t FROM f LEFT JOIN n USING (ord)
+), u AS (SELECT *, list_filter(t, lambda x, i: list_position(t, x) = i) AS u FROM g)
+SELECT ord, array_to_string(CASE WHEN len(u) > 0 THEN u[1:3] WHEN total_score >= {DEFAULT_TAG_SCORE} THEN [CASE {defaults} END] ELSE [] END, ',') AS tags FROM u"""
+
 
-    return articles(spark, d).select("ord", F.concat_ws(",", selection.signal_tags(F.col("title"), SIGNALS, F.lit("general"))).alias("tags"))
+@query(_tags_sql())
+def article_tags(spark, d):
+    """Taxonomy tags of every document with a headline, from raw tags and the whole text."""
+    extra = F.element_at(F.array(*[F.lit(t) for t in EXTRA_TAGS]), (F.floor(F.col("ord") / 2) % len(EXTRA_TAGS) + 1).cast("int"))
+    raw = F.when(F.col("ord") % 2 == 0, F.concat("tags", F.array(extra))).otherwise(F.array().cast("array<string>"))
+    return tags.with_taxonomy_tags(headlined(spark, d).withColumn("tags", raw)).select("ord", F.concat_ws(",", "tags").alias("tags"))
 
 
 @query("""SELECT event_id, 'valid_json' AS status, json_extract_string(props, '$.k') AS ref FROM events WHERE event_id % 3 = 0
