@@ -117,10 +117,26 @@ def search_results(rows: DataFrame, per_query: int = 4) -> DataFrame:
     return ranked.select("query", "rank", F.col("_url").alias("url"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("body", F.lit("")).alias("snippet"), F.coalesce("date", F.lit("")).alias("published"), F.concat(F.lit("DuckDuckGo: "), "query").alias("source"))
 
 
-def feedback_updates(updates: DataFrame, after: int) -> DataFrame:
-    """Chat updates (JSON rows) past an offset that are feedback: tagged, prefixed or replies to the bot."""
-    words = F.trim(F.coalesce(F.col("message.text"), F.col("message.caption"), F.lit("")))
-    mine = F.lower(words).contains("#feedback") | F.lower(words).rlike("^(feedback|phan hoi|phản hồi)") | F.coalesce(F.col("message.reply_to_message.from.is_bot"), F.lit(False))
-    name = F.coalesce(F.col("message.from.username"), F.col("message.from.first_name"))
+#: Fields of a chat message that are read.
+MESSAGE = "message_id long, date double, text string, caption string, chat struct<id: long>, from struct<username: string, first_name: string>, reply_to_message struct<from: struct<is_bot: boolean>>"
+
+
+def feedback_messages(updates: DataFrame, bot: str = "") -> DataFrame:
+    """Every chat update (JSON rows) as a message, with is_feedback: tagged, prefixed, a reply to a bot, or one that names the bot.
+
+    Updates without a message or text are no feedback. An edited message stands for one where there is none.
+    """
+    landed = F.coalesce(*[F.to_json(c) for c in ("message", "edited_message") if c in updates.columns])  # inferred types may lack fields
+    rows = updates.select("update_id", F.from_json(landed, MESSAGE).alias("m"))
+    words = F.trim(F.coalesce(F.nullif(F.col("m.text"), F.lit("")), F.col("m.caption"), F.lit("")))
+    told = F.lower(words).contains("#feedback") | F.lower(words).rlike("(?U)^(feedback|phan hoi|phản hồi)\\b") | F.coalesce(F.col("m.reply_to_message.from.is_bot"), F.lit(False))
+    if bot:
+        told |= F.lower(words).rlike(rf"(?U)@\Q{bot.lower()}\E\b")
+    name = F.coalesce(F.nullif(F.col("m.from.username"), F.lit("")), F.nullif(F.col("m.from.first_name"), F.lit("")), F.lit("unknown"))
     clean = F.trim(F.regexp_replace(F.regexp_replace(words, "(?i)#feedback\\b", ""), "(?i)^(feedback|phan hoi|phản hồi)\\s*[:-]?\\s*", ""))
-    return updates.filter((F.col("update_id") > after) & mine).select("update_id", F.col("message.chat.id").cast("string").alias("chat_id"), "message.message_id", name.alias("user_name"), clean.alias("text"), F.timestamp_seconds("message.date").alias("created_at"))
+    return rows.select("update_id", F.col("m.chat.id").cast("string").alias("chat_id"), F.col("m.message_id").alias("message_id"), name.alias("user_name"), clean.alias("text"), F.timestamp_seconds("m.date").alias("created_at"), (told & (words != "")).alias("is_feedback"))
+
+
+def feedback_updates(updates: DataFrame, after: int, bot: str = "") -> DataFrame:
+    """The messages past an offset that are feedback."""
+    return feedback_messages(updates, bot).filter((F.col("update_id") > after) & F.col("is_feedback")).drop("is_feedback")
