@@ -141,11 +141,11 @@ WITH u AS (SELECT page_id, coalesce(url, '') AS url, translate(regexp_extract(co
 ), r AS (SELECT u.*, (SELECT max_by({'rule': h || p, 'verdict': v}, length(h || p)) FROM l WHERE (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)) AS f,
   list_sort(list_distinct(list_filter(list_concat(list_transform(string_split_regex(host, '[.:]'), lambda x: 'host:' || x), list_transform(string_split_regex(lower(path), '[^\\p{L}\\p{N}]+'), lambda x: 'path:' || x), list_transform(regexp_extract_all(url, '[?&]([^=&#]+)', 1), lambda x: 'query:' || lower(x))), lambda x: NOT regexp_matches(x, ':[0-9]*$')))) AS w FROM u
 ), t AS (SELECT x, count(*) FILTER (WHERE bad) AS nb FROM (SELECT unnest(w) AS x, f.verdict = 'block' AS bad FROM r WHERE f IS NOT NULL) GROUP BY 1
-), n AS (SELECT count(*) AS n, CAST(ceil(count(*) * 5 / 1000.0) AS BIGINT) AS least FROM r WHERE f IS NOT NULL
+), n AS (SELECT count(*) AS n, CAST(ceil(count(*) * 5 / 1000.0) AS BIGINT) AS least, (SELECT count(*) FROM pages WHERE url IS NOT NULL) AS n_all FROM r WHERE f IS NOT NULL
 ), k AS (SELECT list(x) AS xs FROM t, n WHERE nb >= least
 ), s AS (SELECT page_id, f.verdict AS v, list_intersect(w, (SELECT xs FROM k)) AS w FROM r
 ), g AS (SELECT page_id, v, array_to_string(list_sort(list_filter(w, lambda x, i: (m >> (i - 1)) & 1 = 1)), ' ') AS set FROM (SELECT *, unnest(range(1, CAST(1 << len(w) AS BIGINT))) AS m FROM s)
-), q AS (SELECT set FROM g, n WHERE v IS NOT NULL GROUP BY set, least HAVING count(*) FILTER (WHERE v = 'block') >= least AND 100 * count(*) FILTER (WHERE v = 'block') >= 80 * count(*)
+), q AS (SELECT set FROM g, n GROUP BY set, n, least, n_all HAVING count(*) FILTER (WHERE v = 'block') >= least AND 100 * count(*) FILTER (WHERE v = 'block') >= 80 * count(v) AND count(v) * n_all * 100 >= count(*) * n * 80
 ), b AS (SELECT DISTINCT page_id FROM g WHERE set IN (SELECT set FROM q))
 SELECT page_id, host, path, f.rule AS rule, coalesce(f.verdict, CASE WHEN page_id IN (SELECT page_id FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM r""",
     "op4_decontaminate": """

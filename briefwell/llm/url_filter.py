@@ -63,20 +63,22 @@ def _contained(sets: DataFrame, rules: DataFrame) -> DataFrame:
     return sets.withColumn("item", F.explode("items")).join(index, "item").filter(F.size(F.array_except("needs", "items")) == 0).drop("item")
 
 
-def mine_block_rules(urls: DataFrame, labels: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """The items (token, item) and the rules (rule_id, needs, bad, support, confidence) that mark URLs as unwanted.
+def mine_block_rules(urls: DataFrame, labels: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, min_known: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """The items (token, item) and the rules (rule_id, needs, bad, support, confidence, known) that mark URLs as unwanted.
 
-    ``urls``: (id, url); ``labels``: (id, bad boolean). Tokens that occur in just the same labelled URLs are one item:
+    ``urls``: (id, url); ``labels``: (id, bad boolean). Tokens that occur in just the same URLs are one item:
     a rule asks for one token of each of its items, which is what all the rules over single tokens come to. FP-growth
     runs over the items of bad URLs only; what it finds is then counted in the others. Kept are the itemsets that
-    ``min_support`` of all labelled URLs hold and are bad by, and of whose URLs ``min_confidence`` are bad. At most
+    ``min_support`` of all labelled URLs hold and are bad by, and of whose labelled URLs ``min_confidence`` are bad. Labels
+    need not be a fair sample: where hardly any URL that a rule matches is labelled, its confidence says nothing. So a rule
+    must also be ``known``: the share of labelled URLs among all it matches is at least ``min_known`` times that share among all URLs. At most
     (tokens of a URL) / ``min_support`` tokens are that frequent, which bounds the items that tasks are sent. Null
     labels are left out; without labelled or without bad rows there are no items and no rules.
     """
     spark = urls.sparkSession
-    joined = urls.join(labels.filter(F.col("bad").isNotNull()), "id").select(F.monotonically_increasing_id().alias("basket"), url_tokens(F.col("url")).alias("tokens"), "bad")
+    joined = urls.join(labels.filter(F.col("bad").isNotNull()), "id", "left").select(F.monotonically_increasing_id().alias("basket"), url_tokens(F.col("url")).alias("tokens"), "bad")
     baskets = materialize(joined, "url-baskets")
-    n, n_bad = baskets.agg(F.count("*"), F.count(F.when(F.col("bad"), 1))).first()
+    n_all, n, n_bad = baskets.agg(F.count("*"), F.count("bad"), F.count(F.when(F.col("bad"), 1))).first()
     least = max(1, math.ceil(n * min_support - 1e-9))
     # Two sums of hash halves and the count tell the set of baskets of a token.
     half = lambda bits: F.sum(F.shiftrightunsigned(F.shiftleft(F.xxhash64("basket"), 32 - bits), 32))
@@ -84,15 +86,17 @@ def mine_block_rules(urls: DataFrame, labels: DataFrame, min_support: float = 0.
     frequent = materialize(of_token.filter(F.col("m_bad") >= least), "url-tokens")
     items = materialize(frequent.join(frequent.groupBy("m", "s", "t").agg(F.min("token").alias("item")), ["m", "s", "t"]).select("token", "item"), "url-items")
     if not n_bad or items.isEmpty():
-        return items, spark.createDataFrame([], "rule_id long, needs array<string>, bad long, support double, confidence double")
+        return items, spark.createDataFrame([], "rule_id long, needs array<string>, bad long, support double, confidence double, known double")
     found = materialize(_with_items(baskets, "basket", items).join(baskets.select("basket", "bad"), "basket"), "url-itemsets")
     bad = found.filter("bad").select("items").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     mined = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / bad.count()), minConfidence=1.0).fit(bad).freqItemsets
     sets = materialize(mined.select(F.array_sort("items").alias("needs"), F.col("freq").alias("bad")).withColumn("rule_id", F.xxhash64("needs")), "url-frequent")
-    others = found.filter("not bad").groupBy("items").agg(F.count("*").alias("w"))
-    good = _contained(others, sets).groupBy("rule_id").agg(F.sum("w").alias("good"))
-    confidence = F.col("bad") / (F.col("bad") + F.coalesce("good", F.lit(0)))
-    rules = sets.join(good, "rule_id", "left").select("rule_id", "needs", "bad", (F.col("bad") / F.lit(n)).alias("support"), confidence.alias("confidence"))
+    others = found.filter(~F.coalesce("bad", F.lit(False))).groupBy("items").agg(F.count("bad").alias("g"), F.count(F.when(F.col("bad").isNull(), 1)).alias("u"))
+    met = _contained(others, sets).groupBy("rule_id").agg(F.sum("g").alias("good"), F.sum("u").alias("unknown"))
+    rules = sets.join(met, "rule_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("good", "unknown")})
+    labelled = F.col("bad") + F.col("good")
+    is_known = labelled * n_all * 100 >= (labelled + F.col("unknown")) * n * round(min_known * 100)  # in whole numbers
+    rules = rules.filter(is_known).select("rule_id", "needs", "bad", (F.col("bad") / F.lit(n)).alias("support"), (F.col("bad") / labelled).alias("confidence"), (labelled / (labelled + F.col("unknown"))).alias("known"))
     return items, materialize(rules.filter(F.col("confidence") >= min_confidence), "url-rules")
 
 

@@ -150,7 +150,8 @@ def test_mined_verdicts_equal_plain_apriori(spark):
     for t, b in labelled:
         if b and len(t) < 12:
             kept |= {frozenset(x for k, x in enumerate(sorted(t)) if m >> k & 1) for m in range(1, 1 << len(t))}
-    kept = {s for s in kept if sum(b for t, b in labelled if s <= t) >= least and sum(b for t, b in labelled if s <= t) >= confidence * sum(s <= t for t, _ in labelled)}
+    known = lambda s: 100 * sum(s <= t for t, _ in labelled) * len(rows) >= 80 * len(labelled) * sum(s <= t for t in tokens.values())
+    kept = {s for s in kept if sum(b for t, b in labelled if s <= t) >= least and sum(b for t, b in labelled if s <= t) >= confidence * sum(s <= t for t, _ in labelled) and known(s)}
     assert kept
     found = {r.url for r in url_filter.matched_rules(urls, *url_filter.mine_block_rules(urls, labels, 0.02, confidence)).collect()}
     url = dict(rows)
@@ -159,6 +160,16 @@ def test_mined_verdicts_equal_plain_apriori(spark):
     assert all(url[i] in found for i in range(400, 430))
 
 
+def test_mined_rules_are_known_where_they_act(spark):
+    """All labels of a host are of one bad folder: its other folders, of which nothing is known, stay allowed."""
+    rows = [(i, f"https://a.net/{'bad' if i < 40 else 'other'}/{i}") for i in range(200)] + [(i, f"https://b.com/fine/{i}") for i in range(200, 300)]
+    labels = spark.createDataFrame([(i, i < 40) for i in [*range(0, 40, 2), *range(200, 300, 2)]], "id long, bad boolean")
+    out = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), labels, []).collect()
+    assert {r.page_id for r in out if r.verdict == "block"} == set(range(40))
+    loose = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), labels, [], min_known=0.0).collect()
+    assert {r.page_id for r in loose if r.verdict == "block"} == set(range(200))
+
+
 def test_listed_rules_label_pages(spark):
     pages = spark.createDataFrame([(1, "https://a.example.com/en/x"), (2, "https://b.com/"), (3, "https://b.org/"), (4, None), (5, "http://x.net/es/1")], "page_id long, url string")
     assert {(r.id, r.bad) for r in url_filter.listed_labels(pages, URL_RULES).collect()} == {(1, True), (2, False), (5, True)}
