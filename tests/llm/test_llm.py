@@ -445,7 +445,7 @@ def test_warc_of_no_pages(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels", "benchmark"):
+    for t in ("documents", "pages", "embeddings", "labels", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     rows = QUERIES[name](spark, sf)
     columns = sorted(rows.columns)
