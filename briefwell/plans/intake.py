@@ -282,12 +282,12 @@ def latest_meta(spark, d):
     return latest_values(table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.col("ts").alias("updated_at"))).select("key", "value")
 
 
-@query("""SELECT source AS id, substr(coalesce(title, '') || chr(10) || coalesce(substr(content, 1, 6000), ''), 1, 5000) AS document, total_score AS score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY total_score DESC, title, substr(content, 1, 6000), primary_type, url) AS k FROM a) WHERE k = 1""")
+@query("""SELECT source AS id, substr(coalesce(title, '') || chr(10) || coalesce(content, ''), 1, 5000) AS document, total_score AS score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY total_score DESC, title, content, primary_type, url) AS k FROM a) WHERE k = 1""")
 def memory_documents(spark, d):
     from ..operators.records import memory_rows
     from .adapters import articles
 
-    rows = articles(spark, d).select(F.col("source").alias("id"), "title", F.substring("content", 1, 6000).alias("summary"), "primary_type", F.col("total_score").alias("score"), "url")
+    rows = articles(spark, d).select(F.col("source").alias("id"), "title", F.col("content").alias("summary"), "primary_type", F.col("total_score").alias("score"), "url")
     return memory_rows(rows, "2024-01-31").select("id", "document", "score")
 
 

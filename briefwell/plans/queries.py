@@ -417,10 +417,21 @@ def recall_topk(spark, d):
     return recall.recall(items.filter("id % 50 = 0"), items, 5).select("query_id", "place", "id", "distance")
 
 
-@query(f"WITH {DISTANCE_SQL} SELECT query_id, place, id, distance FROM k WHERE place <= 3 AND distance < 0.3", over="")
+#: Past items: all items, and of each asked one a copy with some components negated, by which distances lie on both sides of the threshold.
+RELATED_SQL = """i AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), c AS (SELECT * FROM i UNION ALL SELECT vec_id + 1000000000, list_transform(v, lambda x, n: CASE WHEN n <= vec_id // 50 % 20 + 1 THEN -x ELSE x END) FROM i WHERE vec_id % 50 = 0
+), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM c
+), p AS (SELECT x.vec_id AS query_id, y.vec_id AS id, round(1 - list_dot_product(x.v, y.v), 4) AS distance FROM u x JOIN u y ON x.vec_id <> y.vec_id WHERE x.vec_id % 50 = 0 AND x.vec_id < 1000000000
+), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS place FROM p)"""
+
+
+@query(f"WITH {RELATED_SQL} SELECT query_id, place, id, distance FROM k WHERE place <= 3 AND distance < 0.3", over="")
 def related_past(spark, d):
-    items = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return recall.recall(items.filter("id % 50 = 0"), items, 3, 0.3).select("query_id", "place", "id", "distance")
+    items = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    asked = items.filter("id % 50 = 0")
+    negated = F.transform("vector", lambda x, n: F.when(n < F.floor(F.col("id") / 50) % 20 + 1, -x).otherwise(x))
+    past = items.unionByName(asked.select((F.col("id") + 1_000_000_000).alias("id"), negated.alias("vector")))
+    return recall.recall(asked, past, 3, 0.3).select("query_id", "place", "id", "distance")
 
 
 # --- time windows (extensions) -------------------------------------------------------------------------------------
@@ -510,6 +521,27 @@ def model_json_repair(spark, d):
     return rows.select("event_id", status.alias("status"), F.get_json_object("parsed", "$.k").alias("ref"))
 
 
+@query(f"""+ {HEADLINED_SQL} SELECT ord, CASE WHEN ord % 6 = 5 THEN NULL ELSE CAST(ord AS VARCHAR) END AS id, CASE WHEN ord % 6 <> 5 THEN primary_type END AS lane, CASE WHEN ord % 6 NOT IN (4, 5) THEN CAST(total_score AS VARCHAR) END AS score,
+CASE WHEN ord % 6 NOT IN (1, 5) THEN 'n' || source END AS note, CASE ord % 6 WHEN 1 THEN 'note' WHEN 4 THEN 'score' ELSE '' END AS lost FROM hl""")
+def model_json_fields(spark, d):
+    """Answers damaged in six ways, a way a row: whole in an envelope, cut within the last field, loose syntax, curly quotes, a value left out, prose."""
+    from ..functions.recovery import recovered
+
+    rows = headlined(spark, d).select("ord", "title", F.struct(F.col("ord").alias("id"), F.col("primary_type").alias("lane"), F.col("total_score").alias("score"), F.concat(F.lit("n"), "source").alias("note")).alias("o"))
+    whole, k = F.to_json("o"), F.col("ord") % 6
+    raw = (
+        F.when(k == 0, F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.concat(F.lit("```json\n"), whole, F.lit("\n```")).alias("text"))).alias("content"))).alias("output"))))
+        .when(k == 1, F.concat(F.lit("Here: "), F.regexp_replace(whole, '"}$', "")))
+        .when(k == 2, F.concat(F.regexp_replace(F.regexp_replace(whole, '"(\\w+)":', "$1: "), "}$", ",}"), F.lit(" Done.")))
+        .when(k == 3, F.regexp_replace(whole, '"([^"]*)"', "“$1”"))
+        .when(k == 4, F.regexp_replace(whole, '"score":[0-9]+', '"score": '))
+        .otherwise(F.concat(F.lit("Sorry, no "), "title"))
+    )
+    got = rows.select("ord", recovered(raw).alias("r"))
+    text = lambda name: F.get_json_object(F.concat(F.lit('{"v":'), F.col("r.fields")[name], F.lit("}")), "$.v").alias(name)
+    return got.select("ord", *[text(n) for n in ("id", "lane", "score", "note")], F.array_join("r.lost", ",").alias("lost"))
+
+
 @query("""SELECT user_id, CAST(sum(event_id % 5) AS BIGINT) AS calls, bool_or(event_type = 'error') AS failed, max_by(event_type, ts) AS last_status FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) AS k FROM events) GROUP BY user_id""", over="")
 def merge_observability(spark, d):
     from ..operators import selection
