@@ -126,6 +126,20 @@ def url_hash_antijoin(spark, d):
     return dedup.unseen(rows, seen).select("ord", urls.url_hash(F.col("url")).alias("url_hash"))
 
 
+@query("SELECT ord, sha256(url) AS url_hash FROM a WHERE ord NOT IN (SELECT doc_id FROM labels)")
+def url_filter_antijoin(spark, d):
+    """The same by a history written in two appends and its Bloom filters."""
+    from ..operators import seen
+    from ..operators.stored import shared_folder
+
+    rows = articles(spark, d)
+    labelled = rows.join(table(spark, d, "labels").select(F.col("doc_id").alias("ord")), "ord", "left_semi")
+    path = shared_folder(spark, "seen")
+    for half in (0, 1):
+        seen.append_seen(labelled.filter(F.col("ord") % 2 == half), path)
+    return seen.unseen_by_filter(rows, path).select("ord", urls.url_hash(F.col("url")).alias("url_hash"))
+
+
 @query("SELECT ord, title FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(regexp_replace(title, '[ \\t\\n\\r]+', ' ', 'g'))) ORDER BY ord) AS k FROM a) WHERE k = 1")
 def first_by_title(spark, d):
     return dedup.first_by(articles(spark, d), dedup.title_key(F.col("title")), [F.col("ord")]).select("ord", "title")
