@@ -365,20 +365,34 @@ def reranked_prefilter(spark, d):
     return best.select("ord", F.col("prefilter_priority").cast("long").alias("priority"), F.row_number().over(Window.orderBy(*prefilter_order())).alias("place"))
 
 
-@query()
-def brief_run(spark, d):
-    """A whole run over all documents, without model answers: each reviewed article, and whether the brief shows it."""
+def _whole_run(spark, d, log=None):
     from .adapters import POLICY
     from .brief import run_brief
 
     from ..config import RunConfig
 
     none = lambda schema: spark.createDataFrame([], schema)
-    run = run_brief(raw_articles(spark, d), none("url_hash string"), past_of_sources(spark, d), none("ord long, answer string"), none("ord long, keep boolean, priority int, rationale string"), none("title string, url string, source_url string"), RunConfig(policy=POLICY))
+    return run_brief(raw_articles(spark, d), none("url_hash string"), past_of_sources(spark, d), none("ord long, answer string"), none("ord long, keep boolean, priority int, rationale string"), none("title string, url string, source_url string"), RunConfig(policy=POLICY), log=log)
+
+
+@query()
+def brief_run(spark, d):
+    """A whole run over all documents, without model answers: each reviewed article, and whether the brief shows it."""
+    run = _whole_run(spark, d)
     shown = run.selected.select(F.col("ord").alias("_o"), F.lit(True).alias("selected"))
     return run.reviewed.join(shown, F.col("ord") == F.col("_o"), "left").select("ord", "total_score", "delivery_lane_candidate", "delivery_decision", "delivery_skip_reason", F.coalesce("selected", F.lit(False)).alias("selected"))
 
 
+@query()
+def brief_stages(spark, d):
+    """The stages of that run, with the rows that each read and wrote and the seconds it took."""
+    from ..operators.metered import StageLog
+
+    log = StageLog()
+    _whole_run(spark, d, log)
+    return log.frame(spark)
+
+
 TOPICS = ("open source model", "workflow", "chip", "of the", "AI")
 
 
