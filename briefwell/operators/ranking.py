@@ -75,6 +75,22 @@ def first_rows(rows: DataFrame, order: list[Column], n: int, keep: list[str] | N
     return kept.select(*columns)
 
 
+def numbered(rows: DataFrame, key: str, order: list[Column], name: str, keep: list[str]) -> DataFrame:
+    """``keep`` and ``name``: each row's place within its key by ``order``, from 1, also for keys that hold a share of all rows.
+
+    A window would sort a key in one task. Here range partitions by key and order are numbered each on its own, and a key
+    that goes on over several partitions takes up where the one before left it. Rows without a key are left out.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = rows.filter(F.col(key).isNotNull())
+    placed = known.repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order).select(*dict.fromkeys([*keep, key]), F.monotonically_increasing_id().alias("_n"))
+    placed = stored(placed.withColumn("_part", F.shiftright("_n", 33)), "numbered")
+    starts = placed.groupBy("_part", key).agg(F.min("_n").alias("_first"), F.count("*").alias("_m"))
+    earlier = F.sum("_m").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
+    offsets = starts.select("_part", key, (F.coalesce(earlier, F.lit(0)) - F.col("_first") + 1).alias("_add"))
+    return placed.join(offsets, ["_part", key]).select(*keep, (F.col("_n") + F.col("_add")).cast("int").alias(name))
+
+
 def cap_share(rows: DataFrame, is_side: Column, order: list[Column], share: float = 0.3, alone: int = 3) -> DataFrame:
     """Side rows cut to ``share`` of the result: int(n * share / (1 - share)) of them for n others, ``alone`` if there are no others."""
     marked = rows.withColumn("_side", is_side)

@@ -107,3 +107,15 @@ def test_rescue_of_a_share(spark):
     missing = 100 - sum(v is None for v in told.values())
     back = set(sorted((k for k, v in told.items() if v == "soft"), key=lambda k: (-(k % 11), k))[:missing])
     assert got == {k: (None if k in back else v, k in back) for k, v in told.items()}
+
+
+def test_places_within_hot_keys(spark):
+    values = [(k, RNG.choice(["hot"] * 8 + ["a", "b", None]), RNG.randrange(30)) for k in range(900)]
+    rows = spark.createDataFrame(values, "id int, key string, v int").repartition(5)
+    got = {r.id: (r.key, r.place) for r in ranking.numbered(rows, "key", [F.col("v").desc(), F.col("id")], "place", ["id", "key"]).collect()}
+    want = {}
+    for key in ("hot", "a", "b"):
+        own = sorted((x for x in values if x[1] == key), key=lambda x: (-x[2], x[0]))
+        want |= {i: (key, place) for place, (i, _, _) in enumerate(own, 1)}
+    assert got == want
+    assert ranking.numbered(rows.limit(0), "key", [F.col("id")], "place", ["id"]).collect() == []
