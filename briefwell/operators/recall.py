@@ -28,6 +28,15 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return good, whole[good] / norms[good, None]
 
 
+def nearer(best: list[tuple[float, int]], distance: np.ndarray, own: np.ndarray, asked: int, k: int) -> list[tuple[float, int]]:
+    """The k nearest (distance, id) of those held and a batch's, the asked item itself left out."""
+    bound = best[-1][0] if len(best) == k else np.inf
+    near = np.flatnonzero((distance <= bound) & (own != asked))
+    if len(near) > k:
+        near = near[np.lexsort((own[near], distance[near]))[:k]]
+    return sorted(best + list(zip(distance[near].tolist(), own[near].tolist())))[:k]
+
+
 def recall(queries: DataFrame, items: DataFrame, k: int, max_distance: float | None = None) -> DataFrame:
     """(query_id, place, id, distance): the k nearest items of each query but itself, then those within ``max_distance``.
 
@@ -51,17 +60,12 @@ def recall(queries: DataFrame, items: DataFrame, k: int, max_distance: float | N
                 own = batch.column(0).to_numpy(zero_copy_only=False)[rows]
                 distance = np.round(1 - there @ vectors.T, 4) + 0.0
                 for q in range(len(ids)):
-                    column = distance[:, q]
-                    bound = best[q][-1][0] if len(best[q]) == k else np.inf
-                    near = np.flatnonzero((column <= bound) & (own != ids[q]))
-                    if len(near) > k:
-                        near = near[np.lexsort((own[near], column[near]))[:k]]
-                    best[q] = sorted(best[q] + list(zip(column[near].tolist(), own[near].tolist())))[:k]
+                    best[q] = nearer(best[q], distance[:, q], own, ids[q], k)
             found = [(int(ids[q]), i, d) for q, pairs in enumerate(best) for d, i in pairs]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found]) for c in range(3)], ["query_id", "id", "distance"])
 
-        near = top_per_group(items.select(F.col("id").cast("long"), "vector").mapInArrow(run, "query_id long, id long, distance double"), ["query_id"], [F.col("distance"), F.col("id")], k)
+        near = top_per_group(items.filter("id IS NOT NULL").select(F.col("id").cast("long"), "vector").mapInArrow(run, "query_id long, id long, distance double"), ["query_id"], [F.col("distance"), F.col("id")], k)
         near = stored(near, "near")
         sent.destroy()
         parts = near if parts is None else parts.unionByName(near)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import OFF_TOPIC_WORDS, TOPIC_HOSTS, TOPIC_WORDS
 from ..functions import dates, text, urls
-from ..operators import dedup, events, history, ranking, recall, reports, scoring, tags
+from ..operators import dedup, events, history, ranking, recall, reports, scoring, tags, vector_index
+from ..operators.stored import shared_folder
 from ..streaming import windows
 from ..taxonomy import DEFAULT_TAG_SCORE, TAG_DEFAULTS, TAG_SIGNALS
 from .adapters import HEADLINED_SQL, POLICY, articles, headlined, table
@@ -425,6 +426,10 @@ DISTANCE_SQL = """u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list
 ), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS place FROM p)"""
 
 
+#: Cells of the index.
+INDEX_CELLS = 16
+
+
 @query(f"WITH {DISTANCE_SQL} SELECT query_id, place, id, distance FROM k WHERE place <= 5", over="")
 def recall_topk(spark, d):
     items = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
@@ -448,6 +453,34 @@ def related_past(spark, d):
     return recall.recall(asked, past, 3, 0.3).select("query_id", "place", "id", "distance")
 
 
+def _past_index(spark, d) -> tuple[DataFrame, str]:
+    """All items and the index of them: half is built, the other half appended, then all is re-assigned."""
+    items = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    path = shared_folder(spark, "index")
+    vector_index.build(items.filter("id % 2 = 0"), path, INDEX_CELLS)
+    vector_index.append(items.filter("id % 2 <> 0"), path, 1)
+    vector_index.reassign(spark, path, INDEX_CELLS)
+    return items, path
+
+
+@query(f"WITH {RELATED_SQL} SELECT query_id, place, id, distance FROM k WHERE place <= 3 AND distance < 0.3", over="")
+def related_past_indexed(spark, d):
+    """The rows of related_past by the index: cells that cannot hold an item within 0.3 are not read; the copies are a batch of their own."""
+    items, path = _past_index(spark, d)
+    asked = items.filter("id % 50 = 0")
+    negated = F.transform("vector", lambda x, n: F.when(n < F.floor(F.col("id") / 50) % 20 + 1, -x).otherwise(x))
+    vector_index.append(asked.select((F.col("id") + 1_000_000_000).alias("id"), negated.alias("vector")), path, 1)
+    return vector_index.search(asked, path, 3, max_distance=0.3).select("query_id", "place", "id", "distance")
+
+
+@query()
+def recall_indexed(spark, d):
+    """Of each query's five exact neighbours, how many a search finds in as many cells as other rows need."""
+    items, path = _past_index(spark, d)
+    asked = items.filter("id % 50 = 0")
+    return vector_index.measured(vector_index.search(asked, path, 5, vector_index.calibrate(spark, path, 5)), recall.recall(asked, items, 5))
+
+
 # --- time windows (extensions) -------------------------------------------------------------------------------------
 
 
