@@ -9,6 +9,7 @@ from ..config import OFF_TOPIC_WORDS, TOPIC_HOSTS, TOPIC_WORDS
 from ..functions import dates, text, urls
 from ..operators import dedup, events, history, ranking, recall, reports, scoring, tags, vector_index
 from ..operators.stored import shared_folder
+from ..sources import landed
 from ..streaming import windows
 from ..taxonomy import DEFAULT_TAG_SCORE, TAG_DEFAULTS, TAG_SIGNALS
 from .adapters import HEADLINED_SQL, POLICY, articles, headlined, table
@@ -481,6 +482,31 @@ def recall_indexed(spark, d):
     return vector_index.measured(vector_index.search(asked, path, 5, vector_index.calibrate(spark, path, 5)), recall.recall(asked, items, 5))
 
 
+# --- landed files --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+', ' ', 'g'), ' ') AS content FROM documents", over="")
+def landed_blocks(spark, d):
+    """Every document, written as a block of a social inbox and read by the data source."""
+    path = shared_folder(spark, "inbox")
+    flat = F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0B\\f\\r]+", " ")
+    block = F.concat(F.lit("platform: manual\nnote: "), "doc_id", F.lit("\ncontent: "), flat, F.lit("\n---"))
+    table(spark, d, "documents").select(block.alias("value")).write.text(path)
+    rows = landed.good(landed.read_landed(spark, path, "blocks"))
+    return rows.select(F.col("fields")["note"].cast("long").alias("doc_id"), F.col("fields")["content"].alias("content"))
+
+
+@query("SELECT doc_id % 7 = 3 AS broken, count(*) AS n, CAST(sum(CASE WHEN doc_id % 7 <> 3 THEN doc_id END) AS BIGINT) AS ids FROM documents GROUP BY 1", over="")
+def landed_errors(spark, d):
+    """Every document as a line of JSON, each seventh cut short: what is read and what is an error."""
+    path = shared_folder(spark, "lines")
+    line = F.to_json(F.struct("doc_id", "text"))
+    cut = F.when(F.col("doc_id") % 7 == 3, F.expr("substring(line, 1, length(line) - 1)")).otherwise(F.col("line"))
+    table(spark, d, "documents").select("doc_id", line.alias("line")).select(cut.alias("value")).write.text(path)
+    rows = landed.read_landed(spark, path, "json").select(F.col("error").isNotNull().alias("broken"), F.get_json_object(F.col("fields")["json"], "$.doc_id").cast("long").alias("id"))
+    return rows.groupBy("broken").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
 # --- time windows (extensions) -------------------------------------------------------------------------------------
 
 

@@ -10,22 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _name(tag: str) -> str:
+def local_name(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
+def item_fields(node: ElementTree.Element) -> dict[str, str]:
+    """Title, url, published and summary of an item or entry; '' for what it lacks."""
+    own: dict[str, str] = {}
+    for x in node:
+        value = x.get("href") if local_name(x.tag) == "link" and x.get("href") else (x.text or "").strip()
+        own.setdefault(local_name(x.tag), value)
+    return {"title": own.get("title", ""), "url": own.get("link", ""), "published": own.get("pubDate") or own.get("published") or own.get("updated") or "", "summary": own.get("description") or own.get("summary") or ""}
+
+
 def _items(text: str) -> Iterator[tuple[int, str, str, str, str]]:
     """(place, title, url, published, summary) of each item or entry."""
     try:
         root = ElementTree.fromstring(text)
     except ElementTree.ParseError:
         return
-    for place, node in enumerate(x for x in root.iter() if _name(x.tag) in ("item", "entry")):
-        own = {}
-        for x in node:
-            value = x.get("href") if _name(x.tag) == "link" and x.get("href") else (x.text or "").strip()
-            own.setdefault(_name(x.tag), value)
-        yield place, own.get("title", ""), own.get("link", ""), own.get("pubDate") or own.get("published") or own.get("updated") or "", own.get("description") or own.get("summary") or ""
+    for place, node in enumerate(x for x in root.iter() if local_name(x.tag) in ("item", "entry")):
+        yield place, *(item_fields(node)[c] for c in ("title", "url", "published", "summary"))
 
 
 def _iso(text: str) -> str:

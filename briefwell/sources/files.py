@@ -40,6 +40,17 @@ def read_social_blocks(spark: SparkSession, path: str) -> DataFrame:
     keys = ("platform", "group", "author", "title", "url", "posted_at", "note", "content", "comments")
     pick = lambda k: F.trim(F.regexp_replace(F.regexp_extract("block", f"(?ms)^{k}:[ \\t]*(.*?)(?=^[a-z_]+:|\\z)", 1), "\\s+", " "))
     rows = blocks.select(*[pick(k).alias(k) for k in keys]).withColumn("platform", F.lower("platform"))
+    return _social(rows)
+
+
+def social_rows(landed: DataFrame) -> DataFrame:
+    """The same from rows that the ``landed`` source read as blocks."""
+    keys = ("platform", "group", "author", "title", "url", "posted_at", "note", "content", "comments")
+    rows = landed.filter("error IS NULL").select(*[F.coalesce(F.col("fields")[k], F.lit("")).alias(k) for k in keys])
+    return _social(rows.withColumn("platform", F.lower("platform")))
+
+
+def _social(rows: DataFrame) -> DataFrame:
     kept = rows.filter(F.col("platform").isin(*PLATFORMS) & ((F.col("title") != "") | (F.col("content") != "")))
     title = F.when(F.col("title") != "", F.col("title")).otherwise(clip(F.col("content"), 120))
     return kept.withColumn("title", title).withColumn("source", F.concat_ws(" / ", F.initcap("platform"), F.when(F.col("group") != "", F.col("group")))).withColumn("social_signal", F.lit(True)).withColumn("source_kind", F.lit("community"))
