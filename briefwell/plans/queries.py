@@ -9,7 +9,7 @@ from ..config import OFF_TOPIC_WORDS, TOPIC_HOSTS, TOPIC_WORDS
 from ..functions import dates, text, urls
 from ..operators import dedup, events, history, ranking, recall, reports, scoring, tags, vector_index
 from ..operators.stored import shared_folder
-from ..sources import landed
+from ..sources import history_table, landed
 from ..streaming import windows
 from ..taxonomy import DEFAULT_TAG_SCORE, TAG_DEFAULTS, TAG_SIGNALS
 from .adapters import HEADLINED_SQL, POLICY, articles, headlined, table
@@ -318,6 +318,34 @@ def history_window(spark, d):
     return recent.select("event_id", "user_id")
 
 
+def history_layout(spark, d) -> DataFrame:
+    """Events as outcomes of sources, a row a source and day, in a bucketed table by day."""
+    path = shared_folder(spark, "history")
+    name = "history_" + path.rpartition("-")[2]
+    days = history_of_events(spark, d, F.struct(F.col("user_id").cast("string").alias("s"), F.col("ts").cast("date").alias("d")))
+    history_table.open_history(spark, name, path)
+    history_table.write_days(days.select(F.col("source_key.s").alias("source_key"), F.col("source_key.d").alias("day"), *[c for c in days.columns if c != "source_key"], F.lit("").alias("last_selected_at")), name)
+    return spark.table(name)
+
+
+@query("""WITH r AS (SELECT DISTINCT CAST(ts AS DATE) AS run_day FROM events WHERE dayofweek(CAST(ts AS DATE)) = 0)
+SELECT run_day, CAST(user_id AS VARCHAR) AS source_key, count(DISTINCT CAST(ts AS DATE)) AS runs_seen, count(*) AS raw_articles, count(*) FILTER (event_type = 'error') AS skipped_old
+FROM r JOIN events ON CAST(ts AS DATE) BETWEEN run_day - 2 AND run_day GROUP BY ALL""", over="")
+def history_lookback(spark, d):
+    """Each Sunday's run looks back on three days."""
+    runs = table(spark, d, "events").select(F.col("ts").cast("date").alias("run_day")).filter(F.dayofweek("run_day") == 1)
+    return history_table.lookback(history_layout(spark, d), runs, 3).select("run_day", "source_key", "runs_seen", "raw_articles", "skipped_old")
+
+
+@query("""SELECT c_custkey, n AS raw_articles, e AS skipped_old FROM customer LEFT JOIN (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS e FROM events
+WHERE CAST(ts AS DATE) >= DATE '2024-01-18' GROUP BY 1) ON user_id = c_custkey""", over="")
+def history_of_customers(spark, d):
+    """Customers with what the sources of their number did from a day on."""
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("k"))
+    joined = history_table.with_past(rows, history_layout(spark, d), "k", F.lit("2024-01-18").cast("date"))
+    return joined.select("c_custkey", "past.raw_articles", "past.skipped_old")
+
+
 @query("SELECT c_custkey AS user_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)", over="")
 def insert_if_new(spark, d):
     return history.insert_new(table(spark, d, "events").select("user_id"), table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")), "user_id")
