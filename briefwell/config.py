@@ -23,12 +23,35 @@ LANES = ("Product", "Society & Culture", "Practical")
 # Label of a feedback text and the phrases that give it.
 FEEDBACK_PHRASES = {
     "stale": ("cũ", "tin cu", "stale", "old news", "không mới", "khong moi"),
+    "weak_source": ("nguồn yếu", "nguon yeu", "source yếu", "source yeu", "không tin", "khong tin"),
     "not_relevant": ("không liên quan", "khong lien quan", "not relevant", "irrelevant"),
     "want_more_depth": ("đào sâu", "dao sau", "deeper", "chi tiết hơn", "chi tiet hon"),
     "good_pick": ("hay", "tốt", "tot", "good pick", "ổn", "on"),
     "founder_lens": ("founder", "sếp", "sep", "operator", "startup"),
+    "skip_delivery": ("không nên lên brief", "khong nen len brief", "đừng lên brief", "dung len brief"),
     "promote_delivery": ("nên lên brief", "nen len brief", "đưa lên brief", "dua len brief"),
 }
+# Whole messages that are commands, and their labels.
+FEEDBACK_COMMANDS = {
+    "cũ": "stale",
+    "tin cũ": "stale",
+    "nguồn yếu": "weak_source",
+    "không liên quan": "not_relevant",
+    "dang doc": "good_pick",
+    "đáng đọc": "good_pick",
+    "đào sâu hơn": "want_more_depth",
+    "uu tien founder": "founder_lens",
+    "ưu tiên founder": "founder_lens",
+    "không nên lên brief": "skip_delivery",
+    "khong nen len brief": "skip_delivery",
+    "nên lên brief": "promote_delivery",
+    "nen len brief": "promote_delivery",
+}
+# Words that tell of a wrong type, and the types that may be named after them, first match first.
+WRONG_TYPE = ("sai loại", "sai loai")
+EXPECTED_TYPES = ("research", "product", "business", "policy", "society", "practical")
+# Names of the watchlist's kinds on topic pages, in the order of the pages' terms.
+TOPIC_GROUPS = {"companies": "Company", "products": "Product", "tools": "Tool", "policy": "Policy", "topics": "Topic"}
 # Words left out of title tokens and themes.
 TITLE_STOPWORDS = (
     "the", "a", "an", "and", "or", "for", "with", "into", "from", "that", "this", "news", "today", "latest", "update", "updates", "report", "reports", "says", "new", "launches", "launch", "announces", "introduces", "about", "after",

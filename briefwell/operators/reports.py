@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import FEEDBACK_PHRASES
-from ..functions.text import contains_any, title_tokens
+from ..config import EXPECTED_TYPES, FEEDBACK_COMMANDS, FEEDBACK_PHRASES, TOPIC_GROUPS, WRONG_TYPE
+from ..functions.text import contains_any, let, title_tokens
 from .ranking import top_per_group
 from .records import topic_hits
 from .signals import with_absent
@@ -41,6 +41,36 @@ def watchlist_matches(rows: DataFrame, terms: DataFrame, text: Column, order: li
     return top_per_group(totals_of, ["kind", "term"], order, k).join(totals, ["kind", "term"])
 
 
+def topic_pages(rows: DataFrame, terms: DataFrame, text: Column, order: list[Column], topics: int = 12, articles: int = 5, id_col: str = "ord") -> DataFrame:
+    """The ``topics`` pages of a watchlist (kind, term, place): (page, topic_group, topic, topic_slug, signal_count, n_signals, max_score, lanes, hosts, articles).
+
+    Terms are taken by kind, then place; of the first ``2 * topics`` those that articles match have a page. A page holds
+    the ``articles`` first by ``order``: signal_count, lanes (count of each primary_type) and hosts (distinct, sorted) are of
+    these, n_signals and max_score of all that match. Pages are ranked by signal_count, best score, then the terms' order.
+    """
+    kinds = F.create_map(*[F.lit(x) for k, g in enumerate(TOPIC_GROUPS) for x in (g, k)])
+    tidy = F.trim(F.regexp_replace("term", "(?U)\\s+", " "))
+    listed = terms.select("kind", tidy.alias("term"), F.element_at(kinds, F.col("kind")).alias("_kind"), "place").filter("term <> '' AND _kind IS NOT NULL")
+    first = listed.groupBy("_kind", "kind", "term").agg(F.min("place").alias("place")).orderBy("_kind", "place", "term").limit(2 * topics)
+    lane = F.coalesce(F.nullif(F.trim("primary_type"), F.lit("")), F.lit("unknown"))
+    kept = watchlist_matches(rows, first.select("kind", "term"), text, order, articles, id_col)
+    held = kept.groupBy("kind", "term").agg(
+        F.count("*").alias("signal_count"),
+        F.first("n_signals").alias("n_signals"),
+        F.first("max_score").alias("max_score"),
+        F.array_sort(F.collect_list(lane)).alias("_lanes"),
+        F.array_sort(F.collect_set(F.nullif(F.trim("source_domain"), F.lit("")))).alias("hosts"),
+        F.array_sort(F.collect_list(F.struct("place", F.col(id_col).alias("id"), "title", "total_score"))).alias("articles"),
+    )
+    lanes = F.map_from_entries(F.transform(F.array_distinct("_lanes"), lambda x: F.struct(x, F.size(F.filter("_lanes", lambda y: y == x)))))
+    slug = F.regexp_replace(F.regexp_replace(F.lower("term"), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    ranks = [F.col("signal_count").desc(), F.col("max_score").desc(), F.col("_kind"), F.col("_place"), F.col("term")]
+    pages = held.join(first.withColumnRenamed("place", "_place"), ["kind", "term"]).orderBy(*ranks).limit(topics)
+    groups = F.create_map(*[F.lit(x) for pair in TOPIC_GROUPS.items() for x in pair])
+    page = F.row_number().over(Window.orderBy(*ranks))  # of the few kept
+    return pages.select(page.alias("page"), F.element_at(groups, F.col("kind")).alias("topic_group"), F.col("term").alias("topic"), F.when(slug == "", "untitled").otherwise(slug).alias("topic_slug"), "signal_count", "n_signals", "max_score", lanes.alias("lanes"), "hosts", "articles")
+
+
 def stage_timings(rows: DataFrame, stage: str, duration: str) -> DataFrame:
     return rows.groupBy(F.col(stage).alias("stage")).agg(F.count("*").alias("runs"), F.sum(duration).alias("total"), F.max(duration).alias("longest"), F.min(duration).alias("shortest"))
 
@@ -85,17 +115,52 @@ def run_health(rows: DataFrame, mode: str = "", warnings: int = 0, dead_feeds: i
     return counts.withColumn("status", status).withColumn("publish_ready", (F.col("status") == "green") | ((F.col("status") == "yellow") & main & ~bad & (c("strong_main") >= 1)))
 
 
-def feedback_labels(text: Column) -> Column:
-    """Labels of a feedback text, in a fixed order; ``general_feedback`` if none fits."""
-    found = F.filter(F.array(*[F.when(contains_any(F.coalesce(text, F.lit("")), phrases), label) for label, phrases in FEEDBACK_PHRASES.items()]), lambda x: x.isNotNull())
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("general_feedback")))
+def clean_feedback(text: Column, bot: str = "") -> Column:
+    """A feedback text without the bot's name, the tag and the prefix that mark it; '' for null."""
+    t = F.coalesce(text, F.lit(""))
+    bare = lambda c: F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+    if bot:
+        t = F.regexp_replace(bare(t), rf"(?iU)@\Q{bot}\E\b", "")
+    t = F.regexp_replace(bare(t), "(?iU)#feedback\\b", "")
+    t = F.regexp_replace(t, "(?iU)^(feedback|phan hoi|phản hồi)\\s*[:-]?\\s*", "")
+    return F.regexp_replace(F.regexp_replace(t, "(?U)\\s+", " "), "^[ :-]+|[ :-]+$", "")
+
+
+def feedback_labels(text: Column, bot: str = "") -> Column:
+    """Labels of a feedback text, each once: a command's, a wrong type's with the type expected, then those of phrases in a fixed order.
+
+    ``general_feedback`` if none fits.
+    """
+
+    def labels(low: Column) -> Column:
+        command = F.element_at(F.create_map(*[F.lit(x) for pair in FEEDBACK_COMMANDS.items() for x in pair]), low)
+        wrong = contains_any(low, WRONG_TYPE)
+        expected = F.coalesce(*[F.when(low.contains(t), f"expected_type:{t}") for t in EXPECTED_TYPES])
+        told = [command, F.when(wrong, "wrong_type"), F.when(wrong, expected)]
+        told += [F.when(contains_any(low, phrases), label) for label, phrases in FEEDBACK_PHRASES.items()]
+        return F.array_distinct(F.array_compact(F.array(*told)))
+
+    found = let(F.lower(clean_feedback(text, bot)), labels)
+    return let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit("general_feedback"))))
 
 
 def feedback_profile(rows: DataFrame, labels: str) -> DataFrame:
-    """One row: label counts and the preferences that follow."""
+    """One row: label counts and the preferences that follow; preferred_types are the three types expected most, ties by name."""
     n = lambda label: F.count(F.when(F.array_contains(labels, label), 1))
-    counts = rows.agg(*[n(label).alias(label) for label in FEEDBACK_PHRASES], n("general_feedback").alias("general_feedback"))
-    return counts.withColumn("prefer_freshness", F.col("stale") >= 1).withColumn("prefer_depth", F.col("want_more_depth") >= 1).withColumn("prefer_founder_angle", F.col("founder_lens") >= 1).withColumn("delivery_bias", F.when(F.col("promote_delivery") > 0, "promote").otherwise("neutral"))
+    counted = [*FEEDBACK_PHRASES, "wrong_type", "general_feedback"]
+    types = F.array(*[F.struct((-n(f"expected_type:{t}")).alias("n"), F.lit(t).alias("t")) for t in EXPECTED_TYPES])
+    counts = rows.agg(*[n(label).alias(label) for label in counted], types.alias("_types"))
+    c = F.col
+    bias = F.when(c("promote_delivery") > c("skip_delivery"), "promote").when(c("skip_delivery") > c("promote_delivery"), "suppress").otherwise("neutral")
+    return counts.select(
+        *counted,
+        (c("weak_source") >= 2).alias("strict_source_review"),
+        (c("stale") >= 1).alias("prefer_freshness"),
+        (c("want_more_depth") >= 1).alias("prefer_depth"),
+        (c("founder_lens") >= 1).alias("prefer_founder_angle"),
+        bias.alias("delivery_bias"),
+        F.transform(F.slice(F.array_sort(F.filter("_types", lambda x: x["n"] < 0)), 1, 3), lambda x: x["t"]).alias("preferred_types"),
+    )
 
 
 def message_warnings(text: Column, limit: int = 4096) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import OFF_TOPIC_WORDS, TOPIC_HOSTS, TOPIC_WORDS
+from ..config import EXPECTED_TYPES, FEEDBACK_COMMANDS, FEEDBACK_PHRASES, OFF_TOPIC_WORDS, TOPIC_HOSTS, TOPIC_WORDS, WRONG_TYPE
 from ..functions import dates, text, urls
 from ..operators import dedup, events, history, ranking, recall, reports, scoring, tags, vector_index
 from ..operators.stored import shared_folder
@@ -353,21 +353,49 @@ def insert_if_new(spark, d):
 
 # --- feedback, watchlists, reports ---------------------------------------------------------------------------------
 
-LABELS_SQL = "concat_ws(',', " + ", ".join("CASE WHEN " + " OR ".join(f"contains(t, '{p}')" for p in phrases) + f" THEN '{label}' END" for label, phrases in reports.FEEDBACK_PHRASES.items()) + ")"
+#: Marked messages, which stand for every second user message or before every fourth.
+MESSAGES = ("@bot cũ", "@bot nguồn yếu", "#feedback: không liên quan", "phản hồi: đáng đọc", "Feedback - đào sâu hơn", "@Bot ưu tiên founder", "@bot không nên lên brief", "khong nen len brief", "@bot sai loại business", "sai loai: research or product", "@bot  sai loại practical", "nguon yeu")
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN l = '' THEN 'general_feedback' ELSE l END AS labels FROM (SELECT conv_id, turn, {LABELS_SQL} AS l FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations WHERE role = 'user'))", over="")
+def _holds(words) -> str:
+    return " OR ".join(f"contains(t, '{w}')" for w in words)
+
+
+CASES_SQL = ", ".join(
+    [
+        "CASE t " + " ".join(f"WHEN '{c}' THEN '{label}'" for c, label in FEEDBACK_COMMANDS.items()) + " END",
+        f"CASE WHEN {_holds(WRONG_TYPE)} THEN 'wrong_type' END",
+        f"CASE WHEN {_holds(WRONG_TYPE)} THEN CASE " + " ".join(f"WHEN contains(t, '{x}') THEN 'expected_type:{x}'" for x in EXPECTED_TYPES) + " END END",
+        *[f"CASE WHEN {_holds(phrases)} THEN '{label}' END" for label, phrases in FEEDBACK_PHRASES.items()],
+    ]
+)
+LABELS_SQL = f"""m AS (SELECT conv_id, turn, coalesce(text, '') AS text, [{", ".join(f"'{m}'" for m in MESSAGES)}][CAST((coalesce(conv_id, 0) + coalesce(turn, 0)) % {len(MESSAGES)} AS INT) + 1] AS told, (coalesce(conv_id, 0) + 3 * coalesce(turn, 0)) % 4 AS k FROM conversations WHERE role = 'user'
+), c AS (SELECT conv_id, turn, CASE WHEN k IN (0, 2) THEN told WHEN k = 1 THEN told || ' ' || text ELSE text END AS t FROM m
+), c1 AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(t, '^\\s+|\\s+$', '', 'g'), '(?i)@bot\\b', '', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM c
+), c2 AS (SELECT conv_id, turn, lower(trim(regexp_replace(regexp_replace(regexp_replace(t, '(?i)#feedback\\b', '', 'g'), '(?i)^(feedback|phan hoi|phản hồi)\\s*[:-]?\\s*', ''), '\\s+', ' ', 'g'), ' :-')) AS t FROM c1
+), l AS (SELECT conv_id, turn, list_sort(list_distinct([{CASES_SQL}])) AS l FROM c2), ls AS (SELECT conv_id, turn, CASE WHEN len(l) = 0 THEN ['general_feedback'] ELSE l END AS l FROM l)"""
+
+
+def marked_messages(spark, d) -> DataFrame:
+    """User messages, some with a command in their place or before them, and their labels."""
+    key, turn, said = F.coalesce("conv_id", F.lit(0)), F.coalesce("turn", F.lit(0)), F.coalesce("text", F.lit(""))
+    told = F.element_at(F.array(*[F.lit(m) for m in MESSAGES]), ((key + turn) % len(MESSAGES) + 1).cast("int"))
+    k = (key + 3 * turn) % 4
+    words = F.when(k.isin(0, 2), told).when(k == 1, F.concat(told, F.lit(" "), said)).otherwise(said)
+    return table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", reports.feedback_labels(words, "bot").alias("labels"))
+
+
+@query(f"WITH {LABELS_SQL} SELECT conv_id, turn, array_to_string(l, ',') AS labels FROM ls", over="")
 def feedback_labels(spark, d):
-    rows = table(spark, d, "conversations").filter("role = 'user'")
-    return rows.select("conv_id", "turn", F.concat_ws(",", reports.feedback_labels(F.col("text"))).alias("labels"))
+    return marked_messages(spark, d).withColumn("labels", F.array_join(F.array_sort("labels"), ","))
 
 
-@query(f"""SELECT *, stale >= 1 AS prefer_freshness, want_more_depth >= 1 AS prefer_depth, founder_lens >= 1 AS prefer_founder_angle, CASE WHEN promote_delivery > 0 THEN 'promote' ELSE 'neutral' END AS delivery_bias FROM (
-SELECT {", ".join(f"count(*) FILTER (WHERE contains(',' || l || ',', ',{label},')) AS {label}" for label in reports.FEEDBACK_PHRASES)}, count(*) FILTER (WHERE l = '') AS general_feedback
-FROM (SELECT {LABELS_SQL} AS l FROM (SELECT lower(coalesce(text, '')) AS t FROM conversations WHERE role = 'user')))""", over="")
+@query(f"""WITH {LABELS_SQL} SELECT *, weak_source >= 2 AS strict_source_review, stale >= 1 AS prefer_freshness, want_more_depth >= 1 AS prefer_depth, founder_lens >= 1 AS prefer_founder_angle,
+CASE WHEN promote_delivery > skip_delivery THEN 'promote' WHEN skip_delivery > promote_delivery THEN 'suppress' ELSE 'neutral' END AS delivery_bias,
+coalesce(replace((SELECT string_agg(y, ',' ORDER BY n DESC, y) FROM (SELECT y, count(*) AS n FROM (SELECT unnest(l) AS y FROM ls) WHERE y LIKE 'expected_type:%' GROUP BY y ORDER BY n DESC, y LIMIT 3)), 'expected_type:', ''), '') AS preferred_types
+FROM (SELECT {", ".join(f"count(*) FILTER (WHERE list_contains(l, '{label}')) AS {label}" for label in [*FEEDBACK_PHRASES, "wrong_type", "general_feedback"])} FROM ls)""", over="")
 def feedback_profile(spark, d):
-    rows = table(spark, d, "conversations").filter("role = 'user'").withColumn("labels", reports.feedback_labels(F.col("text")))
-    return reports.feedback_profile(rows, "labels")
+    return reports.feedback_profile(marked_messages(spark, d), "labels").withColumn("preferred_types", F.array_join("preferred_types", ","))
 
 
 TERMS = [("companies", "OpenAI"), ("companies", "Nvidia"), ("products", "album review"), ("tools", "self-hosted deployment guide"), ("policy", "export controls"), ("topics", "enterprise agents"), ("topics", "clinic scheduling"), ("topics", "OpenAI"), ("topics", " ")]
@@ -387,6 +415,25 @@ def watchlist_match(spark, d):
     return matched.select("kind", "term", "ord", "place", "n_signals", "max_score")
 
 
+@query(f"""+ {HEADLINED_SQL}, t(kind, grp, k, place, term, ws) AS (VALUES ('companies', 'Company', 0, 0, 'OpenAI', ['openai']), ('companies', 'Company', 0, 1, 'Nvidia', ['nvidia']), ('products', 'Product', 1, 2, 'album review', ['album', 'review']), ('tools', 'Tool', 2, 3, 'self-hosted deployment guide', ['self', 'hosted', 'deployment', 'guide']), ('policy', 'Policy', 3, 4, 'export controls', ['export', 'controls']), ('topics', 'Topic', 4, 5, 'enterprise agents', ['enterprise', 'agents']), ('topics', 'Topic', 4, 6, 'clinic scheduling', ['clinic', 'scheduling']), ('topics', 'Topic', 4, 7, 'OpenAI', ['openai'])
+), x AS (SELECT ord, total_score, primary_type, source_domain, lower(concat_ws(' ', title, content, github_owner || '/kit', source_domain)) AS w FROM hl
+), m AS (SELECT * EXCLUDE (w, ws) FROM x JOIN t ON contains(w, lower(term)) OR len(list_filter(ws, lambda z: contains(w, z))) >= least(2, len(ws))
+), p AS (SELECT *, row_number() OVER (PARTITION BY kind, term ORDER BY total_score DESC, ord) AS r, count(*) OVER (PARTITION BY kind, term) AS n_signals FROM m
+), n AS (SELECT kind, term, string_agg(primary_type || '=' || c, ', ' ORDER BY primary_type) AS lanes FROM (SELECT kind, term, primary_type, count(*) AS c FROM p WHERE r <= 5 GROUP BY ALL) GROUP BY ALL
+), h AS (SELECT kind, term, string_agg(source_domain, ', ' ORDER BY source_domain) AS hosts FROM (SELECT DISTINCT kind, term, source_domain FROM p WHERE r <= 5) GROUP BY ALL
+), g AS (SELECT kind, grp, k, place, term, count(*) AS signal_count, max(n_signals) AS n_signals, max(total_score) AS max_score, string_agg(CAST(ord AS VARCHAR), ',' ORDER BY r) AS articles FROM p WHERE r <= 5 GROUP BY ALL)
+SELECT CAST(row_number() OVER (ORDER BY signal_count DESC, max_score DESC, k, place, term) AS INT) AS page, grp AS topic_group, term AS topic, lower(replace(term, ' ', '-')) AS topic_slug, signal_count, n_signals, max_score, lanes, hosts, articles FROM g JOIN n USING (kind, term) JOIN h USING (kind, term) QUALIFY page <= 12""")
+def watchlist_pages(spark, d):
+    """Topic pages of the watchlist over whole texts."""
+    terms = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(TERMS)], "kind string, term string, place int")
+    whole = F.concat_ws(" ", "title", "content", "github_full_name", "source_domain")
+    rows = headlined(spark, d).select("ord", "total_score", "primary_type", "title", "content", "github_full_name", "source_domain")
+    pages = reports.topic_pages(rows, terms, whole, best())
+    lanes = F.transform(F.array_sort(F.map_entries("lanes")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    ids = F.transform("articles", lambda a: a["id"].cast("string"))
+    return pages.withColumn("lanes", F.array_join(lanes, ", ")).withColumn("hosts", F.array_join("hosts", ", ")).withColumn("articles", F.array_join(ids, ","))
+
+
 @query("""SELECT primary_type, source_domain, n, max_score, CAST(row_number() OVER (PARTITION BY primary_type ORDER BY n DESC, max_score DESC, source_domain) AS INTEGER) AS place
 FROM (SELECT primary_type, source_domain, count(*) AS n, max(total_score) AS max_score FROM a GROUP BY 1, 2) QUALIFY place <= 12""")
 def topic_pages(spark, d):
