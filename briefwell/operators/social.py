@@ -18,6 +18,25 @@ SOURCE_WORDS = {"ai": 28, "a.i": 28, "artificial intelligence": 24, "chatgpt": 2
 GROUP_WORDS = ("ai", "chatgpt", "chat gpt", "openclaw", "claude", "llm", "workflow", "automation")
 OFF_SOURCES = r"\b(?:marketplace|watch|gaming|video|messenger|reels|shop|dating|j2team|vật vờ|vat vo studio)\b"
 OLD_HINT = r"^\d+\s*(tháng|năm|month|months|year|years)\b"
+# Words that tell a post's style, tried in this order; a question mark is speculation.
+STYLE_WORDS = {
+    "promo": ("webinar", "event", "sự kiện", "đăng ký", "register", "course", "khóa học", "bán", "sale", "giảm giá", "acc", "tài khoản", "tuyển dụng", "hiring"),
+    "benchmark": ("vs", "benchmark", "so sánh", "compare", "cost", "chi phí", "latency", "quality", "chất lượng", "điểm", "point", "points"),
+    "case_study": ("case study", "production", "triển khai", "workflow", "playbook", "quy trình", "use case", "thực chiến", "mcp", "claude code"),
+    "news_recap": ("roundup", "recap", "tổng hợp", "news recap", "tin tháng", "điểm tin"),
+}
+SPECULATION = ("?", "rumor", "rumour", "leak", "đồn đoán", "tin đồn", "có vẻ", "có thể", "maybe", "sắp ra mắt")
+WORKFLOW, OPINION = ("workflow", "playbook", "mcp", "claude code", "quy trình"), ("mình nghĩ", "quan điểm", "ý kiến", "theo mình")
+# What a style and words are worth, and the authority of sources by type and origin.
+STYLE_POINTS = {"benchmark": 26, "case_study": 18, "workflow": 16, "news_recap": 8, "opinion": 2, "speculation": -18, "promo": -34}
+DEPTH_WORDS = (
+    (10, (" vs ", " so sánh ")),
+    (10, ("openai", "anthropic", "claude", "gpt", "gemini", "minimax", "grok")),
+    (10, ("benchmark", "workflow", "case study", "thực chiến", "production", "chi phí")),
+    (8, ("bài 1", "bài test", "test 1", "kết quả", "yêu cầu", "module", "codebase")),
+)
+TYPE_AUTHORITY, OTHER_AUTHORITY = {"group": 42, "page": 52, "profile": 58}, 45
+ORIGIN_AUTHORITY = {"manual": 14, "followed": 8, "joined": 5}
 #: Styles of posts with substance.
 DEEP_STYLES = ("benchmark", "case_study", "workflow")
 
@@ -68,6 +87,44 @@ def source_state(score: Column, origin: Column) -> Column:
     return F.when(F.coalesce(origin, F.lit("")) == "manual", "auto_active").when(score >= 70, "auto_active").when(score >= 50, "candidate").otherwise("ignored")
 
 
+def content_style(whole: Column, content: Column) -> Column:
+    """The style of a post by the words of its whole text: the first of promo, speculation, benchmark, workflow or case_study, news_recap, opinion; else by length."""
+    word = lambda style: whole.rlike(unicode_pattern(r"\b(" + "|".join(STYLE_WORDS[style]) + r")\b"))
+    return (
+        F.when(word("promo"), "promo")
+        .when(contains_any(whole, SPECULATION), "speculation")
+        .when(word("benchmark"), "benchmark")
+        .when(word("case_study"), F.when(contains_any(whole, WORKFLOW), "workflow").otherwise("case_study"))
+        .when(word("news_recap"), "news_recap")
+        .when(contains_any(whole, OPINION), "opinion")
+        .when(F.length(content) >= 700, "case_study")
+        .when(contains_any(whole, ("tool",)), "workflow")
+        .otherwise("news_recap")
+    )
+
+
+def post_scores(posts: DataFrame) -> DataFrame:
+    """facebook_content_style, facebook_boss_style_score and facebook_authority_score (0 to 100) of posts.
+
+    Depth counts length, digits, names and words of the whole text and the style; authority the source's type, its origin,
+    its score and its author. Missing or null columns count as empty; what posts had in these columns is replaced.
+    """
+    made = ["facebook_content_style", "facebook_boss_style_score", "facebook_authority_score"]
+    own = [c for c in posts.columns if c not in made]
+    rows = with_absent(posts, {"title": "string", "content": "string", "social_author": "string", "source_type": "string", "ai_source_score": "int", "discovery_origin": "string"})
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = rows.withColumn("_whole", F.concat_ws(" ", F.nullif(text("title"), F.lit("")), F.nullif(text("content"), F.lit(""))))
+    rows = rows.withColumn("_style", content_style(F.col("_whole"), text("content")))
+    depth = F.lit(30) + F.least(F.lit(16), F.floor(F.length(text("content")) / 180)) + F.when(F.col("_whole").rlike("[\\p{Nd}²³¹⁰⁴-⁹₀-₉]"), 8).otherwise(0)
+    for points, words in DEPTH_WORDS:
+        depth += F.when(contains_any(F.col("_whole"), words), points).otherwise(0)
+    of = lambda c, points, other: F.coalesce(*[F.when(c == k, n) for k, n in points.items()], F.lit(other))
+    depth += of(F.col("_style"), STYLE_POINTS, 0) - F.when(F.length(F.regexp_replace(text("content"), "(?U)^\\s+|\\s+$", "")) < 180, 18).otherwise(0)
+    authority = of(text("source_type"), TYPE_AUTHORITY, OTHER_AUTHORITY) + of(low("discovery_origin"), ORIGIN_AUTHORITY, 0) + F.when(F.lower(text("social_author")).contains("ai"), 6).otherwise(0)
+    authority += F.least(F.lit(28), F.floor(F.coalesce(F.col("ai_source_score"), F.lit(0)) / 2))
+    return rows.select(*own, F.col("_style").alias(made[0]), clamp(depth, 0, 100).cast("int").alias(made[1]), clamp(authority, 0, 100).cast("int").alias(made[2]))
+
+
 POST_KINDS = {
     "title": "string", "content": "string", "snippet": "string", "note_summary_vi": "string", "community_reactions": "string", "source_domain": "string", "total_score": "int", "confidence_label": "string", "content_available": "boolean", "freshness_unknown": "boolean", "is_stale_candidate": "boolean", "is_old_news": "boolean",
     "age_hours": "double", "event_is_primary": "boolean", "community_signal_strength": "int", "is_ai_relevant": "boolean", "facebook_boss_style_score": "int", "facebook_authority_score": "int", "facebook_content_style": "string", "facebook_sort_mode": "string", "published_hint": "string", "social_signal": "boolean", "facebook_auto": "boolean",

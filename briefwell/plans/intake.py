@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import keywords as K
 from ..config import TOPIC_WORDS
 from ..functions import repair, urls
-from ..operators import classify, delivery, gates, history, routing
+from ..operators import classify, delivery, gates, history, routing, social
 from ..operators.stored import stored
 from .adapters import HEADLINED_SQL, HEADLINES, headlined, table
 from .editorial import FINAL_SQL, JUDGED_SQL, LANE_SQL, PREFILTER_SQL, ROUTED_SQL, SIGNALS_SQL, TIERED, TITLE, any_of, judged, prefiltered, tiered
@@ -495,3 +495,28 @@ def search_results(spark, d):
     url = F.when(n % 10 == 0, "https://www.youtube.com/watch").when(n % 5 == 0, "https://a.example.com/search?q=x").otherwise(F.col("url"))
     rows = table(spark, d, "pages").filter(~F.col("url").contains("utm_source=chatgpt.com")).select(F.concat(F.lit("q"), n % 7).alias("query"), n.alias("place"), F.when(n % 2 == 0, url).alias("href"), F.when(n % 2 == 1, url).alias("link"), F.lit("t").alias("title"), n.cast("string").alias("body"), F.lit(None).cast("string").alias("date"))
     return read(rows).select(F.col("snippet").cast("long").alias("page_id"), F.col("rank").alias("place"))
+
+
+# --- depth and authority of posts --------------------------------------------------------------------------------------
+
+
+def _any(words) -> str:
+    return "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
+
+
+def _word(style: str) -> str:
+    return f"regexp_matches(t, '(^|[^\\p{{L}}\\p{{M}}\\p{{Nd}}_])({'|'.join(social.STYLE_WORDS[style])})($|[^\\p{{L}}\\p{{M}}\\p{{Nd}}_])')"
+
+
+@query(f"""+ {HEADLINED_SQL}, p AS (SELECT ord, coalesce(content, '') AS content, title || CASE WHEN coalesce(content, '') = '' THEN '' ELSE ' ' || content END AS w, lower(w) AS t, ['group', 'page', 'profile', 'other'][CAST(ord % 4 AS INT) + 1] AS kind, ['Manual', 'followed', 'joined', ''][CAST(ord // 4 % 4 AS INT) + 1] AS origin, CAST(ord % 101 AS INT) AS points, source AS author FROM hl
+), s AS (SELECT *, CASE WHEN {_word("promo")} THEN 'promo' WHEN {_any(social.SPECULATION)} THEN 'speculation' WHEN {_word("benchmark")} THEN 'benchmark' WHEN {_word("case_study")} THEN CASE WHEN {_any(social.WORKFLOW)} THEN 'workflow' ELSE 'case_study' END
+  WHEN {_word("news_recap")} THEN 'news_recap' WHEN {_any(social.OPINION)} THEN 'opinion' WHEN length(content) >= 700 THEN 'case_study' WHEN contains(t, 'tool') THEN 'workflow' ELSE 'news_recap' END AS style FROM p)
+SELECT ord, style AS facebook_content_style, CAST(greatest(0, least(100, 30 + least(16, length(content) // 180) + CASE WHEN regexp_matches(w, '[\\p{{Nd}}²³¹⁰⁴-⁹₀-₉]') THEN 8 ELSE 0 END + {" + ".join(f"CASE WHEN {_any(words)} THEN {n} ELSE 0 END" for n, words in social.DEPTH_WORDS)}
+  + CASE style {" ".join(f"WHEN '{k}' THEN {n}" for k, n in social.STYLE_POINTS.items())} ELSE 0 END - CASE WHEN length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) < 180 THEN 18 ELSE 0 END)) AS INT) AS facebook_boss_style_score,
+  CAST(greatest(0, least(100, CASE kind WHEN 'group' THEN 42 WHEN 'page' THEN 52 WHEN 'profile' THEN 58 ELSE 45 END + CASE lower(origin) WHEN 'manual' THEN 14 WHEN 'followed' THEN 8 WHEN 'joined' THEN 5 ELSE 0 END + CASE WHEN contains(lower(author), 'ai') THEN 6 ELSE 0 END + least(28, points // 2))) AS INT) AS facebook_authority_score FROM s""")
+def post_depth_authority(spark, d):
+    """Every article as a post: style, depth and authority over whole texts."""
+    pick = lambda values, c: F.element_at(F.array(*[F.lit(v) for v in values]), (c % len(values) + 1).cast("int"))
+    kind, origin = pick(("group", "page", "profile", "other"), F.col("ord")), pick(("Manual", "followed", "joined", ""), F.floor(F.col("ord") / 4))
+    rows = headlined(spark, d).select("ord", "title", "content", kind.alias("source_type"), origin.alias("discovery_origin"), (F.col("ord") % 101).cast("int").alias("ai_source_score"), F.col("source").alias("social_author"))
+    return social.post_scores(rows).select("ord", "facebook_content_style", "facebook_boss_style_score", "facebook_authority_score")

@@ -50,3 +50,28 @@ def test_topic_pages(spark):
     one = reports.topic_pages(spark.createDataFrame(rows, kind), terms, F.col("title"), order, topics=1)
     assert [p["topic_group"] for p in one.collect()] == ["Tool"]
     assert reports.topic_pages(spark.createDataFrame([], kind), terms, F.col("title"), order).count() == 0
+
+
+def test_post_scores(spark):
+    from briefwell.operators import social
+
+    long = "Chúng tôi thử từng bước một và ghi lại. " * 20
+    rows = [
+        (0, "Bài test GPT vs Claude", long + "kết quả 9", "An AI fan", "profile", 80, " Manual "),
+        (1, "Khóa học mới", "x", None, "group", None, None),
+        (2, "Is it true?", "benchmark", "b", "page", 11, "joined"),
+        (3, None, None, None, None, None, None),
+        (4, "Quy trình production", "y" * 200, "", "other", 500, "followed"),
+        (5, "bánh mì", long, "", "page", -500, ""),
+        (6, "theo mình", "ok", "", "page", 0, ""),
+    ]
+    posts = spark.createDataFrame(rows, "ord int, title string, content string, social_author string, source_type string, ai_source_score int, discovery_origin string")
+    got = {r["ord"]: (r["facebook_content_style"], r["facebook_boss_style_score"], r["facebook_authority_score"]) for r in social.post_scores(posts).collect()}
+    # 30 + length // 180 + digit 8 + vs 10 + names 10 + tests 8 + style 26
+    assert got[0] == ("benchmark", 30 + 4 + 8 + 10 + 10 + 8 + 26, 100)
+    assert got[1] == ("promo", 0, 42) and got[2] == ("speculation", 4, 62) and got[3] == ("news_recap", 20, 45)
+    assert got[4] == ("workflow", 30 + 1 + 10 + 16, 81)
+    assert got[5][0] == "case_study" and got[5][2] == 0 and got[6] == ("opinion", 14, 52)
+    again = social.post_scores(social.post_scores(posts.select("ord", "title")))
+    assert again.columns == ["ord", "title", "facebook_content_style", "facebook_boss_style_score", "facebook_authority_score"] and again.count() == 7
+    assert social.post_scores(posts.limit(0)).count() == 0
