@@ -159,3 +159,24 @@ def test_json_repair(raw, fixed):
 
     got = repaired(raw)
     assert (json.loads(got) if got is not None else None) == fixed
+
+
+def test_members_of_a_large_event_meet_its_leader_only(spark, monkeypatch):
+    """Clusters without pairs of all classes: batch by batch, with as many pairs as members and not as their square."""
+    written = []
+    monkeypatch.setattr(events, "stored", lambda df, name, plain=events.stored: written.append((name, plain(df, name))) or written[-1][1])
+    monkeypatch.setattr(events, "BATCH", 20)
+    rng = random.Random(7)
+    names = "openai mistral agent chip cloud fund raises million bench score tool code open".split()
+    rows = [(i, "quick brown foxes jump over lazy dogs " + "".join(rng.sample("abcdefghij", 8)), rng.randrange(20)) for i in range(150)]
+    rows += [(150 + i, " ".join(rng.sample(names, rng.randint(1, 6))), rng.randrange(20)) for i in range(100)] + [(250, "", 5), (251, None, 5)]
+    frame = spark.createDataFrame(rows, "ord int, title string, total_score int")
+    got = {r.ord: r.leader_id for r in events.event_clusters(frame, None, [-F.col("total_score"), F.col("ord")]).collect()}
+    leaders, expected = [], {}
+    for ord_, title, _ in sorted(rows, key=lambda r: (-r[2], r[0])):
+        first = next((n for n, t in leaders if alike(title or "", t or "")), None)
+        if first is None:
+            leaders.append((ord_, title))
+        expected[ord_] = ord_ if first is None else first
+    assert got == expected
+    assert sum(df.count() for name, df in written if name == "edges") < 1500
