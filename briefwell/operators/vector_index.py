@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranking import top_per_group
-from .recall import _blocks, _matrix, nearer
+from .recall import _blocks, _matrix, nearest
 from .stored import stored
 
 #: Components of all centres together, which the driver and each task hold (32 MB of doubles).
@@ -185,9 +185,7 @@ def search(queries: DataFrame, path: str, k: int, probes: int | None = None, max
                 own, cell = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
                 for c in np.unique(cell):
                     rows, asks = np.flatnonzero(cell == c), np.flatnonzero(look[:, c])
-                    distance = np.round(1 - there[rows] @ vectors[asks].T, 4) + 0.0
-                    for j, q in enumerate(asks.tolist()):
-                        best[q] = nearer(best[q], distance[:, j], own[rows], ids[q], k)
+                    nearest(best, asks, ids, vectors, own[rows], there[rows], k)
             found = [(int(ids[q]), i, d) for q, pairs in enumerate(best) for d, i in pairs]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found]) for c in range(3)], ["query_id", "id", "distance"])
