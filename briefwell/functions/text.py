@@ -72,8 +72,13 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "[ \\t\\n\\r]+", " "))
 
 
+#: Texts that are Python strings at once.
+UNPACKED = 256
+
+
 def _plain(values: pa.Array) -> pa.Array:
-    return pa.array([" ".join(html.unescape(v).split()) for v in values.to_pylist()], pa.string())
+    plain = lambda some: pa.array([" ".join(html.unescape(v).split()) for v in some.to_pylist()], pa.string())
+    return pa.concat_arrays([plain(values.slice(k, UNPACKED)) for k in range(0, max(1, len(values)), UNPACKED)])
 
 
 def plain_text(c: Column) -> Column:
