@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ DEPTH_WORDS = (
 )
 TYPE_AUTHORITY, OTHER_AUTHORITY = {"group": 42, "page": 52, "profile": 58}, 45
 ORIGIN_AUTHORITY = {"manual": 14, "followed": 8, "joined": 5}
+#: From its first to its last character that is no blank, a text of at least 180.
+LONG_TEXT = r"(?sU)\S.{178,}?\S"
 #: Styles of posts with substance.
 DEEP_STYLES = ("benchmark", "case_study", "workflow")
 
@@ -87,18 +91,28 @@ def source_state(score: Column, origin: Column) -> Column:
     return F.when(F.coalesce(origin, F.lit("")) == "manual", "auto_active").when(score >= 70, "auto_active").when(score >= 50, "candidate").otherwise("ignored")
 
 
-def content_style(whole: Column, content: Column) -> Column:
-    """The style of a post by the words of its whole text: the first of promo, speculation, benchmark, workflow or case_study, news_recap, opinion; else by length."""
-    word = lambda style: whole.rlike(unicode_pattern(r"\b(" + "|".join(STYLE_WORDS[style]) + r")\b"))
+def _any_in(low: Column, words) -> Column:
+    """Whether any of the words occurs in a text that is in lower case already."""
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+
+
+def content_style(whole: Column, content: Column, low: Column | None = None) -> Column:
+    """The style of a post by the words of its whole text: the first of promo, speculation, benchmark, workflow or case_study, news_recap, opinion; else by length.
+
+    ``low``: the text in lower case, if it is there. Patterns, which are slow, are tried only where one of their words occurs at all.
+    """
+    low = F.lower(whole) if low is None else low
+    # Letters that match s and i without case, but stay what they are in lower case.
+    word = lambda style: _any_in(low, (*STYLE_WORDS[style], "ſ", "ı")) & whole.rlike(unicode_pattern(r"\b(" + "|".join(STYLE_WORDS[style]) + r")\b"))
     return (
         F.when(word("promo"), "promo")
-        .when(contains_any(whole, SPECULATION), "speculation")
+        .when(_any_in(low, SPECULATION), "speculation")
         .when(word("benchmark"), "benchmark")
-        .when(word("case_study"), F.when(contains_any(whole, WORKFLOW), "workflow").otherwise("case_study"))
+        .when(word("case_study"), F.when(_any_in(low, WORKFLOW), "workflow").otherwise("case_study"))
         .when(word("news_recap"), "news_recap")
-        .when(contains_any(whole, OPINION), "opinion")
+        .when(_any_in(low, OPINION), "opinion")
         .when(F.length(content) >= 700, "case_study")
-        .when(contains_any(whole, ("tool",)), "workflow")
+        .when(low.contains("tool"), "workflow")
         .otherwise("news_recap")
     )
 
@@ -114,12 +128,13 @@ def post_scores(posts: DataFrame) -> DataFrame:
     rows = with_absent(posts, {"title": "string", "content": "string", "social_author": "string", "source_type": "string", "ai_source_score": "int", "discovery_origin": "string"})
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = rows.withColumn("_whole", F.concat_ws(" ", F.nullif(text("title"), F.lit("")), F.nullif(text("content"), F.lit(""))))
-    rows = rows.withColumn("_style", content_style(F.col("_whole"), text("content")))
+    rows = rows.withColumn("_low", F.lower("_whole"))
+    rows = rows.withColumn("_style", content_style(F.col("_whole"), text("content"), F.col("_low")))
     depth = F.lit(30) + F.least(F.lit(16), F.floor(F.length(text("content")) / 180)) + F.when(F.col("_whole").rlike("[\\p{Nd}²³¹⁰⁴-⁹₀-₉]"), 8).otherwise(0)
     for points, words in DEPTH_WORDS:
-        depth += F.when(contains_any(F.col("_whole"), words), points).otherwise(0)
+        depth += F.when(_any_in(F.col("_low"), words), points).otherwise(0)
     of = lambda c, points, other: F.coalesce(*[F.when(c == k, n) for k, n in points.items()], F.lit(other))
-    depth += of(F.col("_style"), STYLE_POINTS, 0) - F.when(F.length(F.regexp_replace(text("content"), "(?U)^\\s+|\\s+$", "")) < 180, 18).otherwise(0)
+    depth += of(F.col("_style"), STYLE_POINTS, 0) - F.when(text("content").rlike(LONG_TEXT), 0).otherwise(18)
     authority = of(text("source_type"), TYPE_AUTHORITY, OTHER_AUTHORITY) + of(low("discovery_origin"), ORIGIN_AUTHORITY, 0) + F.when(F.lower(text("social_author")).contains("ai"), 6).otherwise(0)
     authority += F.least(F.lit(28), F.floor(F.coalesce(F.col("ai_source_score"), F.lit(0)) / 2))
     return rows.select(*own, F.col("_style").alias(made[0]), clamp(depth, 0, 100).cast("int").alias(made[1]), clamp(authority, 0, 100).cast("int").alias(made[2]))
